@@ -106,8 +106,8 @@ proj AS (
   SELECT d.article_id, t.topic, sum(d.tfidf * t.weight) AS s
   FROM doc_terms d JOIN topic_terms t USING (term) GROUP BY 1, 2),
 raw_dt AS MATERIALIZED (
-  SELECT s.article_id, k.topic, coalesce(p.s, 0.0) AS raw, s.n_words
-  FROM scorable s CROSS JOIN (SELECT range AS topic FROM range({FIXTURE_TOPICS})) k
+  SELECT s.article_id, k.topic, coalesce(p.s, 0.0) AS raw, s.n_words, s.clean_text
+  FROM scorable s CROSS JOIN (SELECT CAST(range AS INTEGER) AS topic FROM range({FIXTURE_TOPICS})) k
   LEFT JOIN proj p ON p.article_id = s.article_id AND p.topic = k.topic),
 dt AS (
   SELECT article_id, CAST(topic AS INTEGER) AS topic, raw / n_words AS weight,

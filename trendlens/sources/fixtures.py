@@ -137,3 +137,26 @@ def build_fixture(spark: SparkSession, sf_dir: str) -> Fixture:
     model = load_model(tfm, t["topic_terms"], n_topics=FIXTURE_TOPICS)
     return Fixture(t["articles"], t["doc_terms"], tfm, t["topic_terms"],
                    topics_table(t["topic_terms"]), model, t["doc_topics"], t["raw_doc_topics"])
+
+
+LANDED_FIELDS = ["article_id", "web_url", "pub_date", "type_of_material", "document_type",
+                 "headline", "lead_paragraph"]
+
+
+def search_pages_from_articles(articles: DataFrame, bucket: int = 100,
+                               page_size: int = 10) -> DataFrame:
+    """Search-result pages (query, page, response) as the search API would have
+    returned them: query 'bucket-<article_id div bucket>', hits = bucket size,
+    pages of ``page_size`` records in article_id order. Each group holds at most
+    ``bucket`` records whatever the key skew of the table."""
+    grp = F.floor(F.col("article_id") / bucket).cast("long")
+    g = articles.groupBy(grp.alias("b")).agg(
+        F.sort_array(F.collect_list(F.struct(*LANDED_FIELDS))).alias("docs"))
+    n = F.size("docs")
+    pages = F.transform(F.sequence(F.lit(0), F.ceil(n / page_size).cast("int") - 1),
+                        lambda p: F.slice(F.col("docs"), p * page_size + 1, page_size))
+    return g.select(F.concat(F.lit("bucket-"), F.col("b").cast("string")).alias("query"),
+                    n.cast("long").alias("hits"), F.posexplode(pages).alias("page", "docs")
+                    ).select("query", F.col("page").cast("int").alias("page"),
+                             F.struct(F.struct(F.col("hits")).alias("meta"),
+                                      F.col("docs")).alias("response"))
