@@ -55,7 +55,8 @@ def q_store_topic_weights(spark, sf):
 
 # ------------------------------------------------------------------------- trends
 def _trend_sql(ranked: bool, normalize: bool, interval: int = 3, rank_number: int = 3,
-               threshold: float = .001) -> str:
+               threshold: float = .001, tail: str | None = None) -> str:
+    """Trend SQL; with ``tail`` the trend becomes CTE ``trend`` followed by ``tail``."""
     start = f"2001-0{10 - interval}"
     if ranked:
         hits = f"""
@@ -64,9 +65,14 @@ ranked AS (SELECT article_id, topic FROM (
   FROM dt) WHERE rn <= {rank_number}),"""
     else:
         hits = f"ranked AS (SELECT article_id, topic FROM dt WHERE weight > {threshold}),"
-    value = "CASE WHEN cnt = 3 THEN v END"
+    value = f"CASE WHEN cnt = {interval} THEN v END"
     if normalize:
-        value = ("CASE WHEN cnt = 3 AND tot_cnt = 3 AND tv <> 0 THEN v / tv END")
+        value = (f"CASE WHEN cnt = {interval} AND tot_cnt = {interval} AND tv <> 0 THEN v / tv END")
+    final = (f"SELECT CAST(last_day(mdate) - {14 * interval} AS DATE) AS date, topic, "
+             f"round(coalesce({value}, 0.0), 6) AS value FROM rolled")
+    if tail:
+        final = f", trend AS ({final})\n{tail}"
+        final = final.lstrip()
     return fixture_sql(f""",
 scored AS (SELECT a.article_id, substr(a.pub_date, 1, 7) AS month FROM carts a
   WHERE a.type_of_material = 'News' AND a.pub_date > '{start}'
@@ -88,8 +94,7 @@ monthly AS (SELECT s.month, s.mdate, s.topic,
 rolled AS (SELECT mdate, topic, avg(value) OVER w AS v, count(value) OVER w AS cnt,
   avg(total) OVER w AS tv, count(total) OVER w AS tot_cnt FROM monthly
   WINDOW w AS (PARTITION BY topic ORDER BY month ROWS BETWEEN {interval - 1} PRECEDING AND CURRENT ROW))
-SELECT CAST(last_day(mdate) - {14 * interval} AS DATE) AS date, topic,
-  round(coalesce({value}, 0.0), 6) AS value FROM rolled""")
+{final}""")
 
 
 def _trend(spark, sf, **kw):
