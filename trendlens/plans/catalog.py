@@ -27,4 +27,4 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from . import queries_core, queries_io, queries_more  # noqa: F401
+    from . import queries_core, queries_io, queries_model, queries_more  # noqa: F401
