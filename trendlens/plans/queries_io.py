@@ -394,3 +394,27 @@ def q_topic_terms_lookup(spark, sf):
 
 
 __all__ = ["_best_sql", "_months_sql", "_TOPIC_SPINE"]
+
+
+# ------------------------------------------------------------------ streaming
+@register("stream_ingest", fixture_sql(_PAGE_OK + """
+SELECT a.article_id, coalesce(pg.ok, false) AS has_text,
+  CASE WHEN coalesce(pg.ok, false) THEN NULL ELSE true END AS failed_scrape,
+  (a.type_of_material = 'News' AND coalesce(pg.ok, false)) AS has_clean
+FROM articles a LEFT JOIN pg USING (article_id)"""))
+def q_stream_ingest(spark, sf):
+    """Land search pages derived from the articles as JSON files, run the
+    streaming ingest over them (availableNow, one file per micro-batch) and
+    read back the article table it wrote."""
+    from ..session import scratch_path
+    from ..streaming.ingest import stream_ingest, write_landing
+    fx = build_fixture(spark, sf)
+    landing = write_landing(search_pages_from_articles(load_articles(spark, sf)),
+                            scratch_path(spark, "landing"))
+    out, ckpt = scratch_path(spark, "ingest"), scratch_path(spark, "ingest-ckpt")
+    q = stream_ingest(spark, landing, pages_by_url(scan_pages(spark, sf)), fx.model, out, ckpt,
+                      "fixture", TEST_PROFILE_RULES, max_files_per_trigger=1)
+    q.awaitTermination()
+    a = spark.read.parquet(f"{out}/articles")
+    return a.select("article_id", (F.col("full_text") != "").alias("has_text"), "failed_scrape",
+                    F.col("clean_text").isNotNull().alias("has_clean"))
