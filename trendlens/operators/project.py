@@ -87,9 +87,16 @@ def store_topic_weights(articles: DataFrame, model: TopicModel, model_name: str
     docs_p = docs.repartition(text_partitions(docs.sparkSession), "article_id")
     tf = term_frequencies(docs_p, model.tfidf.ngram_range)
     x = weight_terms(tf, model.tfidf.vocab, model.tfidf.max_features)
-    proj = project_topics(x, model)
+    return score_terms(x, docs_p.select("article_id", "n_words"), model, model_name, normalize)
+
+
+def score_terms(doc_terms: DataFrame, docs: DataFrame, model: TopicModel, model_name: str = "model",
+                normalize: str = "linear") -> DataFrame:
+    """doc_topics from an existing doc-term table; ``docs`` (article_id, n_words)
+    is the document spine, so documents without vocabulary terms get zeros."""
+    proj = project_topics(doc_terms, model)
     zeros = F.array_repeat(F.lit(0.0), model.n_topics)
-    out = docs_p.select("article_id", "n_words").join(proj, "article_id", "left")
+    out = docs.join(proj, "article_id", "left")
     w = normalise_weights(F.coalesce(F.col("weights"), zeros), F.col("n_words"), normalize)
     return out.select("article_id", F.lit(model_name).alias("model_name"), w.alias("weights"))
 

@@ -95,17 +95,28 @@ def weight_terms(tf: DataFrame, vocab: DataFrame, max_features: int | None) -> D
     return x.select("article_id", "term", (F.col("w") / norm).alias("tfidf"))
 
 
+def fit_vocab(tf: DataFrame, n_docs, max_features: int | None = 5000, max_df=0.8) -> DataFrame:
+    """Vocabulary (term, term_id, df, ctf, idf) from per-document term counts."""
+    stats = prune_max_df(term_df_ctf(tf), n_docs, max_df)
+    return with_idf(vocab_topk(stats, max_features), n_docs)
+
+
 def tfidf_fit(docs: DataFrame, max_features: int | None = 5000, ngram_range=(1, 1),
-              max_df=0.8, id_col: str = "article_id",
-              text_col: str = "clean_text") -> tuple[DataFrame, TfidfModel]:
+              max_df=0.8, id_col: str = "article_id", text_col: str = "clean_text",
+              checkpoint_tf: bool = True) -> tuple[DataFrame, TfidfModel]:
     """Fit vocabulary + idf on ``docs`` and return (doc_terms, model).
 
-    ``docs`` is every document of the fit (empty texts count in N)."""
+    ``docs`` is every document of the fit (empty texts count in N). The
+    per-document term counts feed both the term statistics and the doc-term
+    table; they are checkpointed once (eagerly, like any estimator fit) so the
+    n-gram explosion runs a single time and a lost executor does not redo it.
+    The checkpoint keeps the article_id partitioning."""
     docs_p = partition_docs(docs, id_col, text_col)
     n_docs = docs_p.select(F.count(F.lit(1)).cast("double")).scalar()
     tf = term_frequencies(docs_p, ngram_range)
-    stats = prune_max_df(term_df_ctf(tf), n_docs, max_df)
-    vocab = with_idf(vocab_topk(stats, max_features), n_docs)
+    if checkpoint_tf:
+        tf = tf.checkpoint(eager=True)
+    vocab = fit_vocab(tf, n_docs, max_features, max_df)
     doc_terms = weight_terms(tf, vocab, max_features)
     return doc_terms, TfidfModel(vocab, tuple(ngram_range), max_features)
 

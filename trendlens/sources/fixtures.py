@@ -12,8 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ingest import clean_missing
-from ..operators.project import TopicModel, load_model, store_topic_weights
-from ..operators.tfidf import TfidfModel, tfidf_fit, tfidf_transform
+from ..functions.text import doc_word_count
+from ..operators.project import (TopicModel, load_model, normalise_weights, scorable,
+                                 score_terms)
+from ..operators.tfidf import (TfidfModel, fit_vocab, partition_docs, term_frequencies,
+                              weight_terms)
 from ..session import text_partitions, write_table
 from .tables import read_table
 
@@ -113,20 +116,26 @@ def _stage_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
                              .repartition(text_partitions(spark), "article_id"))
         paths["articles"] = write_table(arts, "articles")
         arts = spark.read.parquet(paths["articles"])
-        doc_terms, tf = tfidf_fit(corpus(arts), FIXTURE_MAX_FEATURES, FIXTURE_NGRAMS,
-                                  FIXTURE_MAX_DF)
-        paths["vocab"] = write_table(tf.vocab, "vocab")
+        docs_p = partition_docs(corpus(arts))
+        n_docs = float(docs_p.count())
+        tf = term_frequencies(docs_p, FIXTURE_NGRAMS).checkpoint(eager=True)
+        paths["vocab"] = write_table(
+            fit_vocab(tf, F.lit(n_docs), FIXTURE_MAX_FEATURES, FIXTURE_MAX_DF), "vocab")
         vocab = spark.read.parquet(paths["vocab"])
         tfm = TfidfModel(vocab, FIXTURE_NGRAMS, FIXTURE_MAX_FEATURES)
-        doc_terms = tfidf_transform(corpus(arts), tfm)
-        paths["doc_terms"] = write_table(doc_terms, "doc_terms")
+        paths["doc_terms"] = write_table(weight_terms(tf, vocab, FIXTURE_MAX_FEATURES), "doc_terms")
         doc_terms = spark.read.parquet(paths["doc_terms"])
         paths["topic_terms"] = write_table(fixed_topic_terms(doc_terms), "topic_terms")
         model = load_model(tfm, spark.read.parquet(paths["topic_terms"]), n_topics=FIXTURE_TOPICS)
-        paths["doc_topics"] = write_table(
-            store_topic_weights(arts, model, MODEL_NAME, normalize="linear"), "doc_topics")
-        paths["raw_doc_topics"] = write_table(
-            store_topic_weights(arts, model, MODEL_NAME, normalize="none"), "raw_doc_topics")
+        spine = scorable(arts).select("article_id", doc_word_count("clean_text").alias("n_words"))
+        raw = score_terms(doc_terms, spine, model, MODEL_NAME, normalize="none")
+        raw_path = write_table(raw.join(spine, "article_id"), "raw_doc_topics")
+        raw = spark.read.parquet(raw_path)
+        paths["raw_doc_topics"] = write_table(raw.drop("n_words"), "raw_doc_topics")
+        paths["doc_topics"] = write_table(raw.select(
+            "article_id", "model_name",
+            normalise_weights(F.col("weights"), F.col("n_words"), "linear").alias("weights")),
+            "doc_topics")
         _TABLES[key] = paths
     return {k: spark.read.parquet(v) for k, v in paths.items()}
 
