@@ -1,6 +1,8 @@
 """Text cleaning and n-gram Column functions (built-in expressions only)."""
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,22 +28,22 @@ ADDITIONAL_STOPWORDS = [
 ALL_STOPWORDS = sorted(set(ENGLISH_STOPWORDS + ADDITIONAL_STOPWORDS))
 # Non-ASCII characters become a space; the 32 ASCII punctuation characters are deleted.
 NON_ASCII = r"[^\x00-\x7F]"
-PUNCTUATION = r"[!-/:-@\[-`{-~]"
-# Word-tokenizer splits that need no apostrophe (can+not, gim+me, gon+na, got+ta,
-# lem+me, wan+na followed by a space).
-CONTRACTIONS = [
-    (r"\b(can)(not)\b", "$1 $2"),
-    (r"\b(gim)(me)\b", "$1 $2"),
-    (r"\b(gon)(na)\b", "$1 $2"),
-    (r"\b(got)(ta)\b", "$1 $2"),
-    (r"\b(lem)(me)\b", "$1 $2"),
-    (r"\b(wan)(na) ", "$1 $2 "),
-]
-# One whitespace class for every engine.
+PUNCTUATION_CHARS = string.punctuation
+PUNCTUATION = r"[!-/:-@\[-`{-~]"          # the same 32 characters as a regex class
+# Word-tokenizer splits that need no apostrophe: (first part, second part); the
+# last one applies only when a space follows.
+CONTRACTION_SPLITS = [("can", "not"), ("gim", "me"), ("gon", "na"), ("got", "ta"),
+                      ("lem", "me"), ("wan", "na")]
+# ---------------------------------------------------------------------------
+_SPACE_AFTER = {("wan", "na")}
+# one pass: insert a space after the first part when the whole word matches
+CONTRACTION_REGEX = r"\b(" + "|".join(
+    f"{a}(?={b}{' ' if (a, b) in _SPACE_AFTER else chr(92) + 'b'})"
+    for a, b in CONTRACTION_SPLITS) + ")"
+# one whitespace class for every engine
 WHITESPACE = r"[\t\n\x0B\f\r\x1C-\x1F ]+"
-# Tokens the vectorizer sees: runs of at least two word characters.
+# tokens the vectorizer sees: runs of at least two word characters
 VECTOR_TOKEN = r"[a-z0-9]{2,}"
-# ---------------------------------------------------------------------------
 
 
 def _col(c) -> Column:
@@ -51,11 +53,10 @@ def _col(c) -> Column:
 def clean_tokens(text) -> Column:
     """array<string>: ASCII-fold, lower, strip punctuation, split, drop stopwords."""
     s = F.lower(F.regexp_replace(_col(text), NON_ASCII, " "))
-    s = F.regexp_replace(s, PUNCTUATION, "")
+    s = F.translate(s, PUNCTUATION_CHARS, "")
     # padding mirrors the tokenizer, which surrounds the text with spaces
     s = F.concat(F.lit(" "), s, F.lit(" "))
-    for pattern, repl in CONTRACTIONS:
-        s = F.regexp_replace(s, pattern, repl)
+    s = F.regexp_replace(s, CONTRACTION_REGEX, "$1 ")
     toks = F.split(s, WHITESPACE)
     return F.filter(toks, lambda t: (t != "") & ~t.isin(*ALL_STOPWORDS))
 

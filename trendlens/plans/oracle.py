@@ -7,22 +7,16 @@ weights. Doubles are rounded to 6 decimals before any ranking on both sides.
 """
 from __future__ import annotations
 
-from ..functions.text import (ALL_STOPWORDS, NON_ASCII, PUNCTUATION, VECTOR_TOKEN,
-                              WHITESPACE)
+from ..functions.text import (ALL_STOPWORDS, CONTRACTION_SPLITS, NON_ASCII, PUNCTUATION,
+                              VECTOR_TOKEN, WHITESPACE)
 from ..sources.fixtures import (FIXTURE_MAX_DF, FIXTURE_MAX_FEATURES, FIXTURE_NGRAMS,
                                 FIXTURE_TOPICS, MODEL_NAME)
 
 _STOP = ", ".join(f"'{w}'" for w in ALL_STOPWORDS)
 
-# RE2 replacement syntax for the same contraction rules
-_CONTRACTIONS = [
-    (r"\b(can)(not)\b", r"\1 \2"),
-    (r"\b(gim)(me)\b", r"\1 \2"),
-    (r"\b(gon)(na)\b", r"\1 \2"),
-    (r"\b(got)(ta)\b", r"\1 \2"),
-    (r"\b(lem)(me)\b", r"\1 \2"),
-    (r"\b(wan)(na) ", r"\1 \2 "),
-]
+# RE2 has no lookahead: one replacement per contraction split
+_CONTRACTIONS = [(rf"\b({a})({b}) ", r"\1 \2 ") if (a, b) == ("wan", "na")
+                 else (rf"\b({a})({b})\b", r"\1 \2") for a, b in CONTRACTION_SPLITS]
 
 
 def clean_expr(col: str) -> str:
