@@ -116,7 +116,7 @@ class MultiplicativeNMF:
         ensure_checkpoint_dir(self.spark)
         self.k = n_topics
         self.seed = seed
-        n = text_partitions(self.spark)
+        n = self.n = text_partitions(self.spark)
         self.X = (doc_terms.select("article_id", "term", F.col("tfidf").alias("x"))
                   .repartition(n, "article_id").persist(StorageLevel.MEMORY_AND_DISK))
         self.terms = terms.select("term", "term_id")
@@ -172,8 +172,13 @@ class MultiplicativeNMF:
                 break
             prev = obj
         hist = self.spark.createDataFrame(history, "iteration int, objective double")
+        self.close()
         return NMFResult(W, H, hist, self.k)
 
+    def close(self) -> None:
+        """Release the cached X (W and H live in checkpoint files)."""
+        self.X.unpersist()
+
 
 def nmf_fit(doc_terms: DataFrame, terms: DataFrame, n_topics: int = 20, max_iter: int = 200,
             tol: float = 1e-4, seed: int = 0, max_features: int | None = None) -> NMFResult:
@@ -188,4 +193,5 @@ def nmf_step(doc_terms: DataFrame, terms: DataFrame, n_topics: int, seed: int =
     W, H = m.init()
     W1, wtw = m.step_w(W, H, m._gram(H, "h"))
     H1, _, _ = m.step_h(W1, H, wtw)
+    m.close()
     return W1, H1
