@@ -371,7 +371,7 @@ def q_trend_max(spark, sf):
 
 
 @register("trend_stack_max", _trend_sql(True, False, tail=f", wide AS ({_WIDE})\n"
-                                        f"SELECT max({' + '.join(KEPT_NAMES)}) AS max_total FROM wide"))
+                                        f"SELECT round(max({' + '.join(KEPT_NAMES)}), 6) AS max_total FROM wide"))
 def q_trend_stack_max(spark, sf):
     return SV.trend_stack_max(_wide(spark, sf), _kept_names(spark, sf)).select(
         r6("max_total").alias("max_total"))
