@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import spread_if_narrow
+
 # Elements that never hold children.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param",
         "source", "track", "wbr"}
@@ -142,5 +144,6 @@ def body_udf(rules=DEFAULT_RULES):
 
 def extract_body(pages: DataFrame, rules=DEFAULT_RULES, url_col: str = "web_url") -> DataFrame:
     """(web_url, body, rule) for every page; body '' when no rule matches."""
-    return (pages.select(F.col(url_col).alias("web_url"), body_udf(rules)(F.col("html")).alias("b"))
+    src = spread_if_narrow(pages.select(F.col(url_col).alias("web_url"), "html"))
+    return (src.select("web_url", body_udf(rules)(F.col("html")).alias("b"))
             .select("web_url", "b.body", "b.rule"))

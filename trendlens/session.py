@@ -99,3 +99,12 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
     sc.addPyFile(zpath)
     _SHIPPED.add(app)
+
+
+def spread_if_narrow(df):
+    """Round-robin repartition to the default parallelism only when the input has
+    fewer partitions than that (e.g. one large file with one row group) and the
+    next step is CPU-heavy per row. Inputs stored as many files are left alone,
+    so large inputs are never shuffled just for parallelism."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df

@@ -17,7 +17,7 @@ from ..operators.project import (TopicModel, load_model, normalise_weights, scor
                                  score_terms)
 from ..operators.tfidf import (TfidfModel, fit_vocab, partition_docs, term_frequencies,
                               weight_terms)
-from ..session import text_partitions, write_table
+from ..session import spread_if_narrow, write_table
 from .tables import read_table
 
 # --- fixed test-profile parameters ------------------------------------------
@@ -112,8 +112,7 @@ def _stage_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     paths = _TABLES.get(key)
     if paths is None:
         paths = {}
-        arts = clean_missing(load_articles(spark, sf_dir)
-                             .repartition(text_partitions(spark), "article_id"))
+        arts = clean_missing(spread_if_narrow(load_articles(spark, sf_dir)))
         paths["articles"] = write_table(arts, "articles")
         arts = spark.read.parquet(paths["articles"])
         docs_p = partition_docs(corpus(arts))
