@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import day_key
 from ..functions.text import doc_word_count
+from ..session import broadcast_small
 
 # --- fixed values: URL prefixes known to fail to scrape ---------------------
 URLS_TO_IGNORE = [
@@ -83,7 +84,7 @@ def filter_relevant(df: DataFrame, threshold: float, col: str = "relevance") ->
 def filter_topic_keep(topic_rows: DataFrame, topics: DataFrame) -> DataFrame:
     """Rows of ``topic_rows`` whose topic is kept; ``topics`` has one row per topic."""
     kept = topics.filter(F.col("keep")).select("topic")
-    return topic_rows.join(F.broadcast(kept), "topic", "left_semi")
+    return topic_rows.join(broadcast_small(kept), "topic", "left_semi")
 
 
 def filter_recent_days(articles: DataFrame, n_days: int = 7, as_of: str | None = None) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import doc_word_count
-from ..session import BROADCAST_MAX_ROWS, text_partitions
+from ..session import BROADCAST_MAX_ROWS, broadcast_small, text_partitions
 from .tfidf import TfidfModel, term_frequencies, weight_terms
 
 # K above which the per-topic sums use the vector aggregate instead of K columns
@@ -123,6 +123,6 @@ def load_model(tfidf: TfidfModel, topic_terms: DataFrame, topics: DataFrame | No
     kept = (topics.filter(F.col("keep")).select("topic")
             .withColumn("new_topic", (F.row_number().over(Window.orderBy("topic")) - 1).cast("int")))
     n_kept = kept.count()
-    tt = (topic_terms.join(F.broadcast(kept), "topic")
+    tt = (topic_terms.join(broadcast_small(kept), "topic")
           .select(F.col("new_topic").alias("topic"), "term", "weight"))
     return TopicModel(tfidf, tt, n_kept)

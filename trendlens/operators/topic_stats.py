@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import month_key, month_sequence, next_month, weights_sum as _wsum
+from ..session import broadcast_small
 from .filters import date_range_predicate
 from .windows import argmax_topic
 
@@ -133,7 +134,7 @@ def article_relevance(doc_topics: DataFrame, topics: DataFrame) -> DataFrame:
     """(article_id, value): sum over topics of weight x topic relevance. The
     relevance vector (K values, a model parameter) is broadcast."""
     long = doc_topics.select("article_id", F.posexplode("weights").alias("topic", "weight"))
-    rel = F.broadcast(topics.select("topic", F.col("relevance").cast("double")))
+    rel = broadcast_small(topics.select("topic", F.col("relevance").cast("double")))
     return (long.join(rel, "topic").groupBy("article_id")
             .agg(F.sum(F.col("weight") * F.col("relevance")).alias("value")))
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import broadcast_small
+
 
 def topic_top_terms(topic_terms: DataFrame, n_top_words: int = 20) -> DataFrame:
     """(topic, rank, term, pct): the n_top_words-1 heaviest terms per topic (the
@@ -42,4 +44,4 @@ def sample_topics(topics: DataFrame, n: int = 3, seed: int = 0) -> DataFrame:
 
 def join_topic_names(df: DataFrame, topics: DataFrame) -> DataFrame:
     """Attach topic names; ``topics`` has one row per topic (bounded by K)."""
-    return df.join(F.broadcast(topics.select("topic", "name")), "topic")
+    return df.join(broadcast_small(topics.select("topic", "name")), "topic")

@@ -8,6 +8,7 @@ from ..operators.filters import filter_relevant
 from ..operators.nmf import NMFResult, nmf_fit
 from ..operators.tfidf import TfidfModel, tfidf_fit
 from ..operators.topic_terms import topic_top_terms
+from ..session import broadcast_small
 
 
 def _docs(articles: DataFrame, predicate: Column | None) -> DataFrame:
@@ -31,7 +32,7 @@ def article_relevance_w(W: DataFrame, relevance: DataFrame) -> DataFrame:
     """(article_id, relevance) = W . relevance vector; ``relevance`` has one row
     per topic (topic, relevance) — bounded by K, broadcast."""
     long = W.select("article_id", F.posexplode("w").alias("topic", "w"))
-    rel = F.broadcast(relevance.select("topic", F.col("relevance").cast("double").alias("r")))
+    rel = broadcast_small(relevance.select("topic", F.col("relevance").cast("double").alias("r")))
     return long.join(rel, "topic").groupBy("article_id").agg(
         F.sum(F.col("w") * F.col("r")).alias("relevance"))
 

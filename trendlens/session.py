@@ -108,3 +108,12 @@ def spread_if_narrow(df):
     so large inputs are never shuffled just for parallelism."""
     n = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
+def broadcast_small(df, max_rows: int = BROADCAST_MAX_ROWS):
+    """Broadcast ``df`` only after proving it has at most ``max_rows`` rows
+    (counts at most max_rows + 1 rows); otherwise leave the join to a shuffle.
+    Meant for dimension tables such as the K-row topics table."""
+    from pyspark.sql import functions as F
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import day_key, weights_sum
+from ..session import broadcast_small
 
 
 def _write_json(df: DataFrame, path: str | None) -> None:
@@ -22,7 +23,7 @@ def sink_trend_csv(trend: DataFrame, topics: DataFrame, path: str | None = None)
     the model, in topic order), nulls as 0. The K names are read to the driver
     so the pivot gets explicit values (K is a model parameter)."""
     names = [r["name"] for r in topics.select("topic", "name").orderBy("topic").collect()]
-    wide = (trend.join(F.broadcast(topics.select("topic", "name")), "topic")
+    wide = (trend.join(broadcast_small(topics.select("topic", "name")), "topic")
             .groupBy("date").pivot("name", names).agg(F.first("value")).na.fill(0.0))
     wide = wide.select("date", *names)
     if path:
@@ -89,7 +90,7 @@ def sink_topic_terms_json(concise: DataFrame, topics: DataFrame, path: str | Non
     """(name, terms) for kept topics: 'term1, term2, ...' in rank order."""
     kept = topics.filter(F.col("keep")).select("topic", "name")
     per = concise.groupBy("topic").agg(F.sort_array(F.collect_list(F.struct("rank", "term"))).alias("t"))
-    out = per.join(F.broadcast(kept), "topic").select(
+    out = per.join(broadcast_small(kept), "topic").select(
         "name", F.concat_ws(", ", F.transform("t", lambda x: x["term"])).alias("terms"))
     _write_json(out, path)
     return out
