@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ngrams, vector_tokens
-from ..session import BROADCAST_MAX_ROWS, text_partitions
+from ..session import BROADCAST_MAX_ROWS, ensure_checkpoint_dir, text_partitions
 
 
 @dataclass
@@ -115,6 +115,7 @@ def tfidf_fit(docs: DataFrame, max_features: int | None = 5000, ngram_range=(1,
     n_docs = docs_p.select(F.count(F.lit(1)).cast("double")).scalar()
     tf = term_frequencies(docs_p, ngram_range)
     if checkpoint_tf:
+        ensure_checkpoint_dir(docs.sparkSession)
         tf = tf.checkpoint(eager=True)
     vocab = fit_vocab(tf, n_docs, max_features, max_df)
     doc_terms = weight_terms(tf, vocab, max_features)

@@ -258,6 +258,25 @@ def q_sink_trend_csv(spark, sf):
     return _wide(spark, sf)
 
 
+@register("sink_empire_csv", fixture_sql(f""",
+inr AS (SELECT d.article_id, d.topic, d.rw, substr(a.pub_date, 1, 7) AS month
+  FROM dt d JOIN carts a USING (article_id)
+  WHERE a.pub_date >= '2001-10' AND a.pub_date < '2014-12'),
+mx AS (SELECT article_id, max(rw) AS m FROM inr GROUP BY 1),
+best AS (SELECT i.article_id, any_value(i.month) AS month, min(i.topic) AS topic
+  FROM inr i JOIN mx USING (article_id) WHERE i.rw = mx.m GROUP BY 1),
+c AS (SELECT month, topic, count(*) AS n FROM best GROUP BY 1, 2),
+grid AS (SELECT m.month, k.topic, coalesce(c.n, 0) AS n
+  FROM {_months_sql('2001-10', '2014-12')} m CROSS JOIN {_TOPIC_SPINE} k
+  LEFT JOIN c ON c.month = m.month AND c.topic = k.topic)
+SELECT month AS date, """ + ", ".join(
+    f'max(CASE WHEN topic = {k} THEN n END) AS "{k}"' for k in range(8)) + """
+FROM grid GROUP BY month"""))
+def q_sink_empire_csv(spark, sf):
+    fx = build_fixture(spark, sf)
+    return SK.sink_empire_csv(TS.empire_counts(fx.doc_topics, fx.articles), fx.model.n_topics)
+
+
 def _best_json(spark, sf):
     fx = build_fixture(spark, sf)
     return SK.sink_best_json(TS.best_overall(fx.doc_topics, fx.articles), fx.articles, fx.topics)

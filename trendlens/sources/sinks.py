@@ -101,3 +101,15 @@ def sink_daily_counts_json(daily: DataFrame, path: str | None = None) -> DataFra
     out = daily.select("day", "n")
     _write_json(out, path)
     return out
+
+
+def sink_empire_csv(counts: DataFrame, n_topics: int, path: str | None = None) -> DataFrame:
+    """Wide month x topic counts from ``empire_counts``: column ``date`` (the
+    month) then one column per topic index "0".."K-1", rows in month order (the
+    topic names are not applied, as in the reference export)."""
+    keys = list(range(n_topics))
+    wide = counts.groupBy(F.col("month").alias("date")).pivot("topic", keys).agg(F.first("n"))
+    wide = wide.select("date", *[F.col(str(k)) for k in keys])
+    if path:
+        wide.coalesce(1).orderBy("date").write.mode("overwrite").option("header", True).csv(path)
+    return wide
