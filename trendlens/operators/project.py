@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import doc_word_count
 from ..session import BROADCAST_MAX_ROWS, broadcast_small, text_partitions
-from .tfidf import TfidfModel, term_frequencies, weight_terms
+from .tfidf import TfidfModel, l2_normalise, vocab_term_weights
 
 # K above which the per-topic sums use the vector aggregate instead of K columns
 WIDE_K = 64
@@ -85,8 +85,7 @@ def store_topic_weights(articles: DataFrame, model: TopicModel, model_name: str
     if min_doc_length is not None:
         docs = docs.filter(F.col("n_words") >= min_doc_length)
     docs_p = docs.repartition(text_partitions(docs.sparkSession), "article_id")
-    tf = term_frequencies(docs_p, model.tfidf.ngram_range)
-    x = weight_terms(tf, model.tfidf.vocab, model.tfidf.max_features)
+    x = l2_normalise(vocab_term_weights(docs_p, model.tfidf))
     return score_terms(x, docs_p.select("article_id", "n_words"), model, model_name, normalize)
 
 

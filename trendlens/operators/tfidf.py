@@ -43,6 +43,24 @@ def term_frequencies(docs_p: DataFrame, ngram_range=(1, 1)) -> DataFrame:
     return grams.groupBy("article_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def vocab_term_weights(docs_p: DataFrame, model: "TfidfModel") -> DataFrame:
+    """(article_id, term, w = tf * idf) for a frozen vocabulary. The broadcast
+    vocabulary is joined right after the n-gram explode, so n-grams outside it
+    are dropped before the per-document count instead of after."""
+    toks = docs_p.select("article_id", vector_tokens("clean_text").alias("toks"))
+    grams = toks.select("article_id", F.explode(ngrams("toks", model.ngram_range)).alias("term"))
+    v = _maybe_broadcast(model.vocab.select("term", "idf"), model.max_features)
+    return (grams.join(v, "term").groupBy("article_id", "term", "idf")
+            .agg((F.count(F.lit(1)) * F.col("idf")).alias("w")).select("article_id", "term", "w"))
+
+
+def l2_normalise(x: DataFrame) -> DataFrame:
+    """(article_id, term, tfidf) with unit L2 norm per document (partition-local
+    when x is partitioned by article_id)."""
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("article_id")))
+    return x.select("article_id", "term", (F.col("w") / norm).alias("tfidf"))
+
+
 def term_df_ctf(tf: DataFrame) -> DataFrame:
     """(term, df, ctf): document frequency and corpus term frequency."""
     return tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("ctf"))
@@ -90,9 +108,7 @@ def _maybe_broadcast(df: DataFrame, bound: int | None) -> DataFrame:
 def weight_terms(tf: DataFrame, vocab: DataFrame, max_features: int | None) -> DataFrame:
     """(article_id, term, tfidf) with unit L2 norm per document over known terms."""
     v = _maybe_broadcast(vocab.select("term", "idf"), max_features)
-    x = tf.join(v, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("article_id")))
-    return x.select("article_id", "term", (F.col("w") / norm).alias("tfidf"))
+    return l2_normalise(tf.join(v, "term").withColumn("w", F.col("tf") * F.col("idf")))
 
 
 def fit_vocab(tf: DataFrame, n_docs, max_features: int | None = 5000, max_df=0.8) -> DataFrame:
@@ -125,8 +141,7 @@ def tfidf_fit(docs: DataFrame, max_features: int | None = 5000, ngram_range=(1,
 def tfidf_transform(docs: DataFrame, model: TfidfModel, id_col: str = "article_id",
                     text_col: str = "clean_text") -> DataFrame:
     """TF-IDF of documents in a frozen vocabulary; unknown terms are dropped."""
-    tf = term_frequencies(partition_docs(docs, id_col, text_col), model.ngram_range)
-    return weight_terms(tf, model.vocab, model.max_features)
+    return l2_normalise(vocab_term_weights(partition_docs(docs, id_col, text_col), model))
 
 
 def l2_norm_per_doc(doc_terms: DataFrame, value_col: str = "tfidf") -> DataFrame:
