@@ -1,5 +1,3 @@
-from pyspark.sql import functions as F
-
 from trendlens.operators import ingest as IN
 from trendlens.operators.html import TEST_PROFILE_RULES, extract_one
 from trendlens.sources.tables import ARTICLE_SCHEMA
@@ -79,4 +77,3 @@ def test_land_articles_pages_limit(spark):
     assert IN.land_articles(df, max_pages=2).count() == 20
     cur = IN.ingest_cursor(IN.land_articles(df)).first()
     assert cur["last_date"] == "20020125"
-    assert F is not None

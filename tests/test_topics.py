@@ -1,7 +1,3 @@
-import datetime as dt
-
-from pyspark.sql import functions as F
-
 from trendlens.operators import topic_stats as TS
 from trendlens.operators.topic_terms import topic_top_terms, topic_concise_terms
 from trendlens.operators.windows import argmax_topic, rank_topics_per_doc, rolling_month_mean

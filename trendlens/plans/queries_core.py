@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.project import doc_topics_long, store_topic_weights
+from ..operators.project import store_topic_weights
 from ..operators.tfidf import tfidf_fit
 from ..sources.fixtures import (FIXTURE_MAX_DF, FIXTURE_MAX_FEATURES, FIXTURE_NGRAMS,
                                 FIXTURE_TOPICS, MODEL_NAME, build_fixture, corpus)
@@ -117,5 +117,3 @@ def q_smooth_trend_threshold(spark, sf):
 def q_smooth_trend_normalized(spark, sf):
     return _trend(spark, sf, ranked=True, normalize=True)
 
-
-__all__ = ["doc_topics_long"]

@@ -17,7 +17,7 @@ from ..plans import serve as SV
 from .catalog import register
 from .oracle import clean_expr, fixture_sql
 from .queries_core import _trend, _trend_sql, r6
-from .queries_more import _best_sql, _months_sql, _TOPIC_SPINE, _top_terms_sql
+from .queries_more import _TOPIC_SPINE, _months_sql, _top_terms_sql
 
 SPLIT = "2003"   # articles published before this were ingested by an earlier run
 
@@ -412,8 +412,6 @@ def q_topic_terms_lookup(spark, sf):
     return SV.topic_terms_lookup(_terms_json(spark, sf), LOOKUP_NAMES)
 
 
-__all__ = ["_best_sql", "_months_sql", "_TOPIC_SPINE"]
-
 
 # ------------------------------------------------------------------ streaming
 @register("stream_ingest", fixture_sql(_PAGE_OK + """
