@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ngrams, vector_tokens
-from ..session import BROADCAST_MAX_ROWS, ensure_checkpoint_dir, text_partitions
+from ..session import BROADCAST_MAX_ROWS, text_partitions
 
 
 @dataclass
@@ -105,12 +105,6 @@ def _maybe_broadcast(df: DataFrame, bound: int | None) -> DataFrame:
     return F.broadcast(df) if bound is not None and bound <= BROADCAST_MAX_ROWS else df
 
 
-def weight_terms(tf: DataFrame, vocab: DataFrame, max_features: int | None) -> DataFrame:
-    """(article_id, term, tfidf) with unit L2 norm per document over known terms."""
-    v = _maybe_broadcast(vocab.select("term", "idf"), max_features)
-    return l2_normalise(tf.join(v, "term").withColumn("w", F.col("tf") * F.col("idf")))
-
-
 def fit_vocab(tf: DataFrame, n_docs, max_features: int | None = 5000, max_df=0.8) -> DataFrame:
     """Vocabulary (term, term_id, df, ctf, idf) from per-document term counts."""
     stats = prune_max_df(term_df_ctf(tf), n_docs, max_df)
@@ -118,24 +112,21 @@ def fit_vocab(tf: DataFrame, n_docs, max_features: int | None = 5000, max_df=0.8
 
 
 def tfidf_fit(docs: DataFrame, max_features: int | None = 5000, ngram_range=(1, 1),
-              max_df=0.8, id_col: str = "article_id", text_col: str = "clean_text",
-              checkpoint_tf: bool = True) -> tuple[DataFrame, TfidfModel]:
+              max_df=0.8, id_col: str = "article_id",
+              text_col: str = "clean_text") -> tuple[DataFrame, TfidfModel]:
     """Fit vocabulary + idf on ``docs`` and return (doc_terms, model).
 
-    ``docs`` is every document of the fit (empty texts count in N). The
-    per-document term counts feed both the term statistics and the doc-term
-    table; they are checkpointed once (eagerly, like any estimator fit) so the
-    n-gram explosion runs a single time and a lost executor does not redo it.
-    The checkpoint keeps the article_id partitioning."""
+    ``docs`` is every document of the fit (empty texts count in N). Two passes
+    over the one text exchange: term statistics (explode, per-document count,
+    partial aggregation by term), then the weighting pass, which keeps only
+    vocabulary n-grams before counting and normalises inside the article_id
+    partitions. Re-running the explode costs CPU; materialising the per-document
+    counts instead would add a shuffle of rows several times the text size."""
     docs_p = partition_docs(docs, id_col, text_col)
     n_docs = docs_p.select(F.count(F.lit(1)).cast("double")).scalar()
-    tf = term_frequencies(docs_p, ngram_range)
-    if checkpoint_tf:
-        ensure_checkpoint_dir(docs.sparkSession)
-        tf = tf.checkpoint(eager=True)
-    vocab = fit_vocab(tf, n_docs, max_features, max_df)
-    doc_terms = weight_terms(tf, vocab, max_features)
-    return doc_terms, TfidfModel(vocab, tuple(ngram_range), max_features)
+    vocab = fit_vocab(term_frequencies(docs_p, ngram_range), n_docs, max_features, max_df)
+    model = TfidfModel(vocab, tuple(ngram_range), max_features)
+    return l2_normalise(vocab_term_weights(docs_p, model)), model
 
 
 def tfidf_transform(docs: DataFrame, model: TfidfModel, id_col: str = "article_id",

@@ -16,8 +16,8 @@ from ..operators.ingest import clean_missing
 from ..functions.text import doc_word_count
 from ..operators.project import (TopicModel, load_model, normalise_weights, scorable,
                                  score_terms)
-from ..operators.tfidf import (TfidfModel, fit_vocab, partition_docs, term_frequencies,
-                              weight_terms)
+from ..operators.tfidf import (TfidfModel, fit_vocab, l2_normalise, partition_docs,
+                              term_frequencies, vocab_term_weights)
 from ..session import spread_if_narrow, write_table
 from .tables import read_table
 
@@ -108,7 +108,7 @@ def clean_articles_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stage_tables(spark, sf_dir)["articles"]
 
 
-STAGE_VERSION = "1"
+STAGE_VERSION = "2"
 
 
 def _fs(spark: SparkSession, path: str):
@@ -170,10 +170,10 @@ def _build_stage_tables(spark: SparkSession, sf_dir: str, root: str | None) -> d
     arts = put("articles", clean_missing(spread_if_narrow(load_articles(spark, sf_dir))))
     docs_p = partition_docs(corpus(arts))
     n_docs = float(docs_p.count())
-    tf = term_frequencies(docs_p, FIXTURE_NGRAMS).checkpoint(eager=True)
-    vocab = put("vocab", fit_vocab(tf, F.lit(n_docs), FIXTURE_MAX_FEATURES, FIXTURE_MAX_DF))
+    vocab = put("vocab", fit_vocab(term_frequencies(docs_p, FIXTURE_NGRAMS), F.lit(n_docs),
+                                   FIXTURE_MAX_FEATURES, FIXTURE_MAX_DF))
     tfm = TfidfModel(vocab, FIXTURE_NGRAMS, FIXTURE_MAX_FEATURES)
-    doc_terms = put("doc_terms", weight_terms(tf, vocab, FIXTURE_MAX_FEATURES))
+    doc_terms = put("doc_terms", l2_normalise(vocab_term_weights(docs_p, tfm)))
     topic_terms = put("topic_terms", fixed_topic_terms(doc_terms))
     model = load_model(tfm, topic_terms, n_topics=FIXTURE_TOPICS)
     spine = scorable(arts).select("article_id", doc_word_count("clean_text").alias("n_words"))
