@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ngrams, vector_tokens
-from ..session import BROADCAST_MAX_ROWS, text_partitions
+from ..session import BROADCAST_MAX_ROWS, ensure_checkpoint_dir, text_partitions
 
 
 @dataclass
@@ -116,15 +116,20 @@ def tfidf_fit(docs: DataFrame, max_features: int | None = 5000, ngram_range=(1,
               text_col: str = "clean_text") -> tuple[DataFrame, TfidfModel]:
     """Fit vocabulary + idf on ``docs`` and return (doc_terms, model).
 
-    ``docs`` is every document of the fit (empty texts count in N). Two passes
-    over the one text exchange: term statistics (explode, per-document count,
-    partial aggregation by term), then the weighting pass, which keeps only
-    vocabulary n-grams before counting and normalises inside the article_id
-    partitions. Re-running the explode costs CPU; materialising the per-document
-    counts instead would add a shuffle of rows several times the text size."""
+    ``docs`` is every document of the fit (empty texts count in N). Like any
+    estimator fit it runs jobs eagerly: the pruned term statistics (one row per
+    distinct n-gram) and the vocabulary (<= max_features rows) are checkpointed
+    to the shared folder, so the cut-off subquery and the top-k read stored rows.
+    The returned doc-term table is lazy: it re-explodes the text over the same
+    article_id partitions, keeps vocabulary n-grams before counting and
+    normalises partition-locally — cheaper than shuffling materialised
+    per-document counts, which are several times the text size."""
+    ensure_checkpoint_dir(docs.sparkSession)
     docs_p = partition_docs(docs, id_col, text_col)
-    n_docs = docs_p.select(F.count(F.lit(1)).cast("double")).scalar()
-    vocab = fit_vocab(term_frequencies(docs_p, ngram_range), n_docs, max_features, max_df)
+    n_docs = F.lit(float(docs_p.count()))
+    stats = prune_max_df(term_df_ctf(term_frequencies(docs_p, ngram_range)), n_docs, max_df)
+    stats = stats.checkpoint(eager=True)
+    vocab = with_idf(vocab_topk(stats, max_features), n_docs).checkpoint(eager=True)
     model = TfidfModel(vocab, tuple(ngram_range), max_features)
     return l2_normalise(vocab_term_weights(docs_p, model)), model
 

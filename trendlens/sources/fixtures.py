@@ -16,8 +16,9 @@ from ..operators.ingest import clean_missing
 from ..functions.text import doc_word_count
 from ..operators.project import (TopicModel, load_model, normalise_weights, scorable,
                                  score_terms)
-from ..operators.tfidf import (TfidfModel, fit_vocab, l2_normalise, partition_docs,
-                              term_frequencies, vocab_term_weights)
+from ..operators.tfidf import (TfidfModel, l2_normalise, partition_docs, prune_max_df,
+                              term_df_ctf, term_frequencies, vocab_term_weights, vocab_topk,
+                              with_idf)
 from ..session import spread_if_narrow, write_table
 from .tables import read_table
 
@@ -170,8 +171,9 @@ def _build_stage_tables(spark: SparkSession, sf_dir: str, root: str | None) -> d
     arts = put("articles", clean_missing(spread_if_narrow(load_articles(spark, sf_dir))))
     docs_p = partition_docs(corpus(arts))
     n_docs = float(docs_p.count())
-    vocab = put("vocab", fit_vocab(term_frequencies(docs_p, FIXTURE_NGRAMS), F.lit(n_docs),
-                                   FIXTURE_MAX_FEATURES, FIXTURE_MAX_DF))
+    stats = prune_max_df(term_df_ctf(term_frequencies(docs_p, FIXTURE_NGRAMS)), F.lit(n_docs),
+                         FIXTURE_MAX_DF).checkpoint(eager=True)
+    vocab = put("vocab", with_idf(vocab_topk(stats, FIXTURE_MAX_FEATURES), F.lit(n_docs)))
     tfm = TfidfModel(vocab, FIXTURE_NGRAMS, FIXTURE_MAX_FEATURES)
     doc_terms = put("doc_terms", l2_normalise(vocab_term_weights(docs_p, tfm)))
     topic_terms = put("topic_terms", fixed_topic_terms(doc_terms))
