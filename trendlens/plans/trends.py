@@ -1,9 +1,10 @@
 """Composite topic trend over time (ranked, threshold and normalised variants).
 
-Plan: scored News articles -> per-article topic hits (array ops, no shuffle) ->
-one groupBy(month, topic) with partial aggregation -> a generated month x topic
-spine (months of the filtered data) -> rolling mean per topic -> label shift.
-Everything after the groupBy is months x topics rows.
+Plan: scored News articles (one join) -> per-article topic hits plus a total
+pseudo-topic (array ops, no shuffle) -> one groupBy(month, topic) with partial
+aggregation -> a generated month x topic spine (months of the filtered data) ->
+rolling mean per topic -> label shift. Everything after the groupBy is
+months x topics rows.
 """
 from __future__ import annotations
 
@@ -26,10 +27,10 @@ def _scored_news(doc_topics: DataFrame, articles: DataFrame, start: str) -> Data
         doc_topics.select("article_id", "weights"), "article_id")
 
 
-def month_topic_spine(scored: DataFrame, n_topics: int) -> DataFrame:
-    """(month, topic) for every month from the first to the last month present
-    in ``scored`` and every topic; generated from one aggregate row."""
-    bounds = scored.agg(F.min("month").alias("lo"), F.max("month").alias("hi"))
+def month_topic_spine(monthly: DataFrame, n_topics: int) -> DataFrame:
+    """(month, mdate, topic) for every month from the first to the last month in
+    ``monthly`` and every topic; generated from one aggregate row."""
+    bounds = monthly.agg(F.min("month").alias("lo"), F.max("month").alias("hi"))
     months = bounds.select(F.explode(F.sequence(
         F.to_date(F.concat("lo", F.lit("-01"))), F.to_date(F.concat("hi", F.lit("-01"))),
         F.expr("interval 1 month"))).alias("mdate"))
@@ -37,20 +38,28 @@ def month_topic_spine(scored: DataFrame, n_topics: int) -> DataFrame:
                          F.explode(F.sequence(F.lit(0), F.lit(n_topics - 1))).alias("topic"))
 
 
+TOTAL = -1   # pseudo-topic carrying the monthly article total in the same aggregate
+
+
 def smooth_trend(doc_topics: DataFrame, articles: DataFrame, n_topics: int, ranked: bool = True,
                  rank_number: int = 3, topic_threshold: float = .001, month_interval: int = 3,
                  normalize: bool = False, empty_month: str = "null") -> DataFrame:
-    """Long trend (date, topic, value)."""
+    """Long trend (date, topic, value).
+
+    One join of articles with weights and one groupBy(month, topic): every
+    article emits its hit topics plus the pseudo-topic -1, so the same
+    aggregate gives per-topic counts, monthly totals and the month range."""
     scored = _scored_news(doc_topics, articles, trend_start(month_interval))
     if ranked:
-        hits = scored.select("month", F.explode(ranked_topics_col("weights", rank_number))
-                             .alias("s")).select("month", F.col("s.topic").alias("topic"))
+        topics = F.transform(ranked_topics_col("weights", rank_number), lambda s: s["topic"])
     else:
-        hits = (scored.select("month", F.posexplode("weights").alias("topic", "w"))
-                .filter(F.col("w") > F.lit(topic_threshold)).select("month", "topic"))
-    counts = hits.groupBy("month", "topic").agg(F.count(F.lit(1)).alias("n"))
-    totals = scored.groupBy("month").agg(F.count(F.lit(1)).alias("total"))
-    spine = month_topic_spine(scored, n_topics)
+        topics = F.filter(F.transform("weights", lambda w, i: F.when(w > F.lit(topic_threshold), i)),
+                          lambda t: t.isNotNull())
+    hits = scored.select("month", F.explode(F.concat(F.array(F.lit(TOTAL)), topics)).alias("topic"))
+    agg = hits.groupBy("month", "topic").agg(F.count(F.lit(1)).alias("n"))
+    totals = agg.filter(F.col("topic") == TOTAL).select("month", F.col("n").alias("total"))
+    counts = agg.filter(F.col("topic") != TOTAL)
+    spine = month_topic_spine(totals, n_topics)
     m = spine.join(totals, "month", "left").join(counts, ["month", "topic"], "left")
     if empty_month == "null":
         value = F.when(F.col("total").isNull(), F.lit(None)).otherwise(F.coalesce("n", F.lit(0)))
