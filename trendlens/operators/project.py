@@ -20,6 +20,19 @@ from .tfidf import TfidfModel, l2_normalise, vocab_term_weights
 
 # K above which the per-topic sums use the vector aggregate instead of K columns
 WIDE_K = 64
+# Article columns stored next to the weights (the weights live on the record), so
+# trend / ranking queries filter the doc-topic table without joining articles.
+RECORD_COLUMNS = ("pub_date", "type_of_material")
+
+
+def with_record_columns(doc_topics: DataFrame, articles: DataFrame, cols) -> DataFrame:
+    """doc_topics with the article columns ``cols``: taken from doc_topics when
+    stored there, else joined from ``articles`` on article_id."""
+    cols = list(cols)
+    if all(c in doc_topics.columns for c in cols):
+        return doc_topics
+    dt = doc_topics.drop(*[c for c in cols if c in doc_topics.columns])
+    return dt.join(articles.select("article_id", *cols), "article_id")
 
 
 @dataclass
@@ -80,24 +93,30 @@ def store_topic_weights(articles: DataFrame, model: TopicModel, model_name: str
     docs = scorable(articles)
     if existing is not None:
         docs = filter_unscored(docs, existing, model_name)
+    carry = [c for c in RECORD_COLUMNS if c in docs.columns]
     docs = docs.select("article_id", "clean_text",
-                       doc_word_count("clean_text").alias("n_words"))
+                       doc_word_count("clean_text").alias("n_words"), *carry)
     if min_doc_length is not None:
         docs = docs.filter(F.col("n_words") >= min_doc_length)
     docs_p = docs.repartition(text_partitions(docs.sparkSession), "article_id")
     x = l2_normalise(vocab_term_weights(docs_p, model.tfidf))
-    return score_terms(x, docs_p.select("article_id", "n_words"), model, model_name, normalize)
+    return score_terms(x, docs_p.select("article_id", "n_words", *carry), model, model_name,
+                       normalize)
 
 
 def score_terms(doc_terms: DataFrame, docs: DataFrame, model: TopicModel, model_name: str = "model",
                 normalize: str = "linear") -> DataFrame:
-    """doc_topics from an existing doc-term table; ``docs`` (article_id, n_words)
-    is the document spine, so documents without vocabulary terms get zeros."""
+    """doc_topics from an existing doc-term table; ``docs`` (article_id, n_words,
+    optional record columns) is the document spine, so documents without
+    vocabulary terms get zeros. Record columns (publication date, type) are
+    carried onto the weights, as the weights live on the article record."""
     proj = project_topics(doc_terms, model)
     zeros = F.array_repeat(F.lit(0.0), model.n_topics)
     out = docs.join(proj, "article_id", "left")
     w = normalise_weights(F.coalesce(F.col("weights"), zeros), F.col("n_words"), normalize)
-    return out.select("article_id", F.lit(model_name).alias("model_name"), w.alias("weights"))
+    carry = [c for c in RECORD_COLUMNS if c in docs.columns]
+    return out.select("article_id", F.lit(model_name).alias("model_name"), w.alias("weights"),
+                      *carry)
 
 
 def filter_unscored(articles: DataFrame, doc_topics: DataFrame, model_name: str) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import month_key, month_sequence, next_month, weights_sum as _wsum
 from ..session import broadcast_small
+from .project import with_record_columns
 from .filters import date_range_predicate
 from .windows import argmax_topic
 
@@ -25,11 +26,11 @@ def topics_of(doc_topics: DataFrame) -> DataFrame:
 
 
 def _in_range(doc_topics: DataFrame, articles: DataFrame, start, end, bounds="closed") -> DataFrame:
-    """Documents with clean text and weights whose pub_date is within string bounds."""
-    a = articles.filter(F.col("clean_text").isNotNull() & (F.col("clean_text") != "")
-                        & date_range_predicate(start, end, bounds))
-    return a.select("article_id", "pub_date").join(doc_topics.select("article_id", "weights"),
-                                                   "article_id")
+    """Documents with weights (hence with a non-empty clean text) whose pub_date
+    is within string bounds."""
+    dt = with_record_columns(doc_topics, articles, ["pub_date"])
+    return dt.filter(date_range_predicate(start, end, bounds)).select(
+        "article_id", "pub_date", "weights")
 
 
 def topic_freq(doc_topics: DataFrame, articles: DataFrame, start: str, end: str,
@@ -98,9 +99,9 @@ def best_overall(doc_topics: DataFrame, articles: DataFrame, start: str = "2001-
                  end: str = "2014-11", top_count: int = 25) -> DataFrame:
     """(topic, rank, article_id, weight): top ``top_count`` News articles per
     topic with start < pub_date < end (strict string bounds)."""
-    a = articles.filter((F.col("type_of_material") == "News")
-                        & date_range_predicate(start, end, "open")).select("article_id")
-    long = a.join(doc_topics.select("article_id", "weights"), "article_id").select(
+    dt = with_record_columns(doc_topics, articles, ["pub_date", "type_of_material"])
+    long = dt.filter((F.col("type_of_material") == "News")
+                     & date_range_predicate(start, end, "open")).select(
         "article_id", F.posexplode("weights").alias("topic", "weight"))
     return best_in_range(long, top_count)
 
@@ -110,10 +111,10 @@ def best_per_month(doc_topics: DataFrame, articles: DataFrame, start: str = "200
     """(month, topic, article_id, weight): per month start..end and topic, the
     News article with the highest weight > 0 (ties: lowest id); (null, 0.0)
     where none."""
-    a = articles.filter((F.col("type_of_material") == "News") & (F.col("pub_date") >= F.lit(start))
-                        & (F.col("pub_date") < next_month(F.lit(end))))
-    long = (a.select("article_id", month_key("pub_date").alias("month"))
-            .join(doc_topics.select("article_id", "weights"), "article_id")
+    dt = with_record_columns(doc_topics, articles, ["pub_date", "type_of_material"])
+    a = dt.filter((F.col("type_of_material") == "News") & (F.col("pub_date") >= F.lit(start))
+                  & (F.col("pub_date") < next_month(F.lit(end))))
+    long = (a.select("article_id", month_key("pub_date").alias("month"), "weights")
             .select("month", "article_id", F.posexplode("weights").alias("topic", "weight"))
             .filter(F.col("weight") > 0))
     best = long.groupBy("month", "topic").agg(F.max_by(

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import month_key, shift_back_weeks
+from ..operators.project import with_record_columns
 from ..operators.windows import ranked_topics_col, rolling_month_mean
 
 
@@ -22,9 +23,9 @@ def trend_start(month_interval: int) -> str:
 
 
 def _scored_news(doc_topics: DataFrame, articles: DataFrame, start: str) -> DataFrame:
-    a = articles.filter((F.col("type_of_material") == "News") & (F.col("pub_date") > F.lit(start)))
-    return a.select("article_id", month_key("pub_date").alias("month")).join(
-        doc_topics.select("article_id", "weights"), "article_id")
+    dt = with_record_columns(doc_topics, articles, ["pub_date", "type_of_material"])
+    a = dt.filter((F.col("type_of_material") == "News") & (F.col("pub_date") > F.lit(start)))
+    return a.select("article_id", month_key("pub_date").alias("month"), "weights")
 
 
 def month_topic_spine(monthly: DataFrame, n_topics: int) -> DataFrame:

@@ -109,7 +109,7 @@ def clean_articles_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stage_tables(spark, sf_dir)["articles"]
 
 
-STAGE_VERSION = "2"
+STAGE_VERSION = "3"
 
 
 def _fs(spark: SparkSession, path: str):
@@ -178,13 +178,15 @@ def _build_stage_tables(spark: SparkSession, sf_dir: str, root: str | None) -> d
     doc_terms = put("doc_terms", l2_normalise(vocab_term_weights(docs_p, tfm)))
     topic_terms = put("topic_terms", fixed_topic_terms(doc_terms))
     model = load_model(tfm, topic_terms, n_topics=FIXTURE_TOPICS)
-    spine = scorable(arts).select("article_id", doc_word_count("clean_text").alias("n_words"))
+    spine = scorable(arts).select("article_id", doc_word_count("clean_text").alias("n_words"),
+                                  "pub_date", "type_of_material")
     raw = put("raw_n_words", score_terms(doc_terms, spine, model, MODEL_NAME, normalize="none")
-              .join(spine, "article_id"))
+              .join(spine.select("article_id", "n_words"), "article_id"))
     put("raw_doc_topics", raw.drop("n_words"))
     put("doc_topics", raw.select(
         "article_id", "model_name",
-        normalise_weights(F.col("weights"), F.col("n_words"), "linear").alias("weights")))
+        normalise_weights(F.col("weights"), F.col("n_words"), "linear").alias("weights"),
+        "pub_date", "type_of_material"))
     return {n: paths[n] for n in STAGE_NAMES}
 
 
