@@ -19,8 +19,11 @@ from .filters import date_range_predicate
 from .windows import argmax_topic
 
 
-def topics_of(doc_topics: DataFrame) -> DataFrame:
-    """(topic) for every index of the weight vectors, taken from one row."""
+def topics_of(doc_topics: DataFrame, n_topics: int | None = None) -> DataFrame:
+    """(topic) for every index of the weight vectors: 0..n_topics-1 when the
+    model's K is given, else read from one row of ``doc_topics``."""
+    if n_topics is not None:
+        return doc_topics.sparkSession.range(n_topics).select(F.col("id").cast("int").alias("topic"))
     one = doc_topics.select(F.size("weights").alias("k")).limit(1)
     return one.select(F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("topic"))
 
@@ -57,12 +60,13 @@ def best_in_range(long: DataFrame, n_articles: int) -> DataFrame:
             .select("topic", "rank", "article_id", "weight"))
 
 
-def topic_count_best(doc_topics: DataFrame, articles: DataFrame, start: str, end: str) -> DataFrame:
+def topic_count_best(doc_topics: DataFrame, articles: DataFrame, start: str, end: str,
+                     n_topics: int | None = None) -> DataFrame:
     """(topic, n): documents in [start, end] whose best topic is t; every topic
     listed. ``doc_topics`` should hold length-normalised ('linear') weights."""
     docs = _in_range(doc_topics, articles, start, end)
     counts = docs.groupBy(argmax_topic("weights").alias("topic")).agg(F.count(F.lit(1)).alias("n"))
-    return (topics_of(doc_topics).join(counts, "topic", "left")
+    return (topics_of(doc_topics, n_topics).join(counts, "topic", "left")
             .select("topic", F.coalesce("n", F.lit(0)).alias("n")))
 
 
@@ -77,7 +81,7 @@ def topic_count_threshold(doc_topics: DataFrame, articles: DataFrame, start: str
 
 def empire_counts(doc_topics: DataFrame, articles: DataFrame, start: str = "2001-10",
                   end: str = "2014-11", only_best_match: bool = True,
-                  doc_topic_threshold: float = .1) -> DataFrame:
+                  doc_topic_threshold: float = .1, n_topics: int | None = None) -> DataFrame:
     """(month, topic, n) for every month start..end plus one trailing all-zero
     month; one groupBy over all months, zeros from a generated month x topic spine."""
     docs = _in_range(doc_topics, articles, start, None, "closed").filter(
@@ -90,7 +94,7 @@ def empire_counts(doc_topics: DataFrame, articles: DataFrame, start: str = "2001
                            F.posexplode("weights").alias("topic", "weight"))
         counts = long.groupBy("month", "topic").agg(
             F.sum((F.col("weight") > F.lit(doc_topic_threshold)).cast("long")).alias("n"))
-    spine = month_sequence(topics_of(doc_topics), start, end, extra=1)
+    spine = month_sequence(topics_of(doc_topics, n_topics), start, end, extra=1)
     return (spine.join(counts, ["month", "topic"], "left")
             .select("month", "topic", F.coalesce("n", F.lit(0)).alias("n")))
 
@@ -107,7 +111,7 @@ def best_overall(doc_topics: DataFrame, articles: DataFrame, start: str = "2001-
 
 
 def best_per_month(doc_topics: DataFrame, articles: DataFrame, start: str = "2001-09",
-                   end: str = "2014-11") -> DataFrame:
+                   end: str = "2014-11", n_topics: int | None = None) -> DataFrame:
     """(month, topic, article_id, weight): per month start..end and topic, the
     News article with the highest weight > 0 (ties: lowest id); (null, 0.0)
     where none."""
@@ -120,7 +124,7 @@ def best_per_month(doc_topics: DataFrame, articles: DataFrame, start: str = "200
     best = long.groupBy("month", "topic").agg(F.max_by(
         F.struct("article_id", "weight"),
         F.struct(F.round("weight", 6), -F.col("article_id"))).alias("b"))
-    spine = month_sequence(topics_of(doc_topics), start, end, extra=0)
+    spine = month_sequence(topics_of(doc_topics, n_topics), start, end, extra=0)
     return (spine.join(best, ["month", "topic"], "left")
             .select("month", "topic", F.col("b.article_id").alias("article_id"),
                     F.coalesce(F.col("b.weight"), F.lit(0.0)).alias("weight")))

@@ -274,7 +274,7 @@ SELECT month AS date, """ + ", ".join(
 FROM grid GROUP BY month"""))
 def q_sink_empire_csv(spark, sf):
     fx = build_fixture(spark, sf)
-    return SK.sink_empire_csv(TS.empire_counts(fx.doc_topics, fx.articles), fx.model.n_topics)
+    return SK.sink_empire_csv(TS.empire_counts(fx.doc_topics, fx.articles, n_topics=fx.model.n_topics), fx.model.n_topics)
 
 
 def _best_json(spark, sf):
@@ -307,7 +307,7 @@ wsum AS (SELECT article_id, sum(weight) AS ws FROM dt GROUP BY 1)"""
 
 def _best_month_json(spark, sf):
     fx = build_fixture(spark, sf)
-    bpm = TS.best_per_month(fx.doc_topics, fx.articles)
+    bpm = TS.best_per_month(fx.doc_topics, fx.articles, n_topics=fx.model.n_topics)
     return SK.sink_best_month_json(bpm, fx.articles, fx.doc_topics, fx.topics)
 
 

@@ -106,7 +106,7 @@ c AS (SELECT topic, count(*) AS n FROM best GROUP BY 1)
 SELECT k.topic, coalesce(c.n, 0) AS n FROM {_TOPIC_SPINE} k LEFT JOIN c USING (topic)"""))
 def q_topic_count_best(spark, sf):
     fx = fx_(spark, sf)
-    return TS.topic_count_best(fx.doc_topics, fx.articles, *FULL)
+    return TS.topic_count_best(fx.doc_topics, fx.articles, *FULL, n_topics=fx.model.n_topics)
 
 
 @register("topic_count_threshold", fixture_sql(_INR_LIN + """
@@ -127,7 +127,7 @@ FROM {_months_sql('2001-10', '2014-12')} m CROSS JOIN {_TOPIC_SPINE} k
 LEFT JOIN c ON c.month = m.month AND c.topic = k.topic"""))
 def q_empire_counts(spark, sf):
     fx = fx_(spark, sf)
-    return TS.empire_counts(fx.doc_topics, fx.articles)
+    return TS.empire_counts(fx.doc_topics, fx.articles, n_topics=fx.model.n_topics)
 
 
 @register("term_df_ctf", fixture_sql(
@@ -222,7 +222,7 @@ FROM {_months_sql('2001-09', '2014-11')} m CROSS JOIN {_TOPIC_SPINE} k
 LEFT JOIN b ON b.month = m.month AND b.topic = k.topic"""))
 def q_best_per_month(spark, sf):
     fx = fx_(spark, sf)
-    return TS.best_per_month(fx.doc_topics, fx.articles).select(
+    return TS.best_per_month(fx.doc_topics, fx.articles, n_topics=fx.model.n_topics).select(
         "month", "topic", "article_id", r6("weight").alias("weight"))
 
 
