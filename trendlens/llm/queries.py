@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitpack, fmindex, pieces, secrets, warc
+from . import bitpack, fmindex, pieces, secrets, toxicity, warc
 from .common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,11 @@ def op5_assignment_secrets(spark, sf_dir):
     return secrets.digests(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
+@query
+def op7_kneser_ney_toxicity(spark, sf_dir):
+    return toxicity.judged(toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
 @query
 def op8_warc_dictionary(spark, sf_dir):
     return warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages"))).drop("url", "payload")
