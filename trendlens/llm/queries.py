@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitpack, fmindex, pieces, secrets, toxicity, warc
+from . import bitpack, dartminhash, fmindex, pieces, secrets, suffixsort, toxicity, warc
 from .common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,16 @@ def op2_fm_index_decontamination(spark, sf_dir):
     return fmindex.digests(fmindex.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+@query
+def op3_dart_minhash(spark, sf_dir):
+    return dartminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_prefix_merge_sort(spark, sf_dir):
+    return suffixsort.digests(suffixsort.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 @query
 def op5_assignment_secrets(spark, sf_dir):
     return secrets.digests(secrets.find_secrets(table(spark, sf_dir, "documents")))
