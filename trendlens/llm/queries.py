@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitpack, dartminhash, fmindex, pieces, secrets, suffixsort, toxicity, warc
+from . import bitpack, dartminhash, fmindex, pieces, pq, secrets, suffixsort, toxicity, urlfilter, warc
 from .common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,11 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op1_product_quantisation(spark, sf_dir):
+    return pq.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op2_fm_index_decontamination(spark, sf_dir):
     return fmindex.digests(fmindex.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
@@ -48,6 +53,11 @@ def op5_assignment_secrets(spark, sf_dir):
     return secrets.digests(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
+@query
+def op6_boosted_url_filter(spark, sf_dir):
+    return urlfilter.judge_urls(table(spark, sf_dir, "pages"))
+
+
 @query
 def op7_kneser_ney_toxicity(spark, sf_dir):
     return toxicity.judged(toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
@@ -67,3 +77,20 @@ def op9_bit_packed_tokens(spark, sf_dir):
 @query
 def op10_sentencepiece_backtracking(spark, sf_dir):
     return pieces.digests(pieces.encode_and_decode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model")))
+
+
+ORACLE["op1_product_quantisation"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND list_aggregate(list_transform(embedding, lambda x: abs(x)), 'sum') > 0),
+links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+reach(x, y) AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+n AS (SELECT x, count(*) AS n_links FROM links GROUP BY x),
+c AS (SELECT x, min(y) AS low FROM reach GROUP BY x)
+SELECT e.vec_id, coalesce(n.n_links, 0)::BIGINT AS n_links, least(e.vec_id, coalesce(c.low, e.vec_id)) AS component_id,
+       e.vec_id = least(e.vec_id, coalesce(c.low, e.vec_id)) AS kept
+FROM embeddings e LEFT JOIN n ON e.vec_id = n.x LEFT JOIN c ON e.vec_id = c.x
+"""
