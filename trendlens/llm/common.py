@@ -1,8 +1,11 @@
 """Shared helpers of the training-data operators."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +48,18 @@ def utf8_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def chunks(texts: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
+    """Index ranges of about ``most`` bytes of text each, at least one row."""
+    a, size = 0, 0
+    for i, n in enumerate(pc.binary_length(texts).fill_null(0).to_pylist()):
+        size += n
+        if size >= most:
+            yield a, i + 1
+            a, size = i + 1, 0
+    if a < len(texts):
+        yield a, len(texts)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """(node, component): smallest node reachable over undirected ``edges`` (a, b).
 

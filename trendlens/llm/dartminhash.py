@@ -13,9 +13,9 @@ text costs its shingles plus about k ln k darts.
 Equal texts form one class first. Classes that agree on a whole band are
 candidates; each is compared with the smallest of its bucket by exact
 similarity, and where a bucket then still holds several components, their
-members are compared across components (by sketch, then exactly). So every
-pair of a bucket is either compared or already connected, and no bucket lists
-all its pairs.
+members are compared across components (by sketch, then exactly) until they are
+connected. So every pair of a bucket is either compared or connected, and no
+bucket lists all its pairs.
 """
 from __future__ import annotations
 
@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, stored
+from .common import chunks, connected_components, stored
 from .fmindex import words_of
 
 WORDS = 5
 SIMILARITY = 0.8
 COORDINATES, BANDS = 128, 32
-BLOCK = 1024                       # members of a bucket compared with each other in one task
+BLOCK, BLOCK_ELEMENTS = 1024, 1 << 21      # members and elements of a bucket's block
 _U = np.uint64
 
 
@@ -129,8 +129,8 @@ def sign(docs: DataFrame, weights: str, k: int = COORDINATES, bands: int = BANDS
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
         for batch in batches:
-            for a in range(0, batch.num_rows, 2000):
-                ids, texts = (c[a:a + 2000].to_pylist() for c in batch.columns)
+            for a, b in chunks(batch.column(1)):
+                ids, texts = (c[a:b].to_pylist() for c in batch.columns)
                 sets = [_weigh(t, weights) for t in texts]
                 sig = signatures(sets, k)
                 with np.errstate(over="ignore"):
@@ -154,8 +154,8 @@ def weighted_sets(docs: DataFrame, weights: str) -> DataFrame:
     """(id, elements array<long>, weights array<long>) of texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                ids, texts = (c[a:a + 1000] for c in batch.columns)
+            for a, b in chunks(batch.column(1)):
+                ids, texts = (c[a:b] for c in batch.columns)
                 sets = [_weigh(t, weights) for t in texts.to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [ids, pa.array([s[0].view(np.int64) for s in sets], pa.list_(pa.int64())),
@@ -179,35 +179,52 @@ def similar(pairs: DataFrame, docs: DataFrame, weights: str, least: float) -> Da
             keep = []
             for i in range(batch.num_rows):
                 ea, wa, eb, wb = (np.asarray(batch.column(c)[i].values) for c in ("ea", "wa", "eb", "wb"))
-                _, ia, ib = np.intersect1d(ea, eb, assume_unique=True, return_indices=True)
-                shared = np.minimum(wa[ia], wb[ib]).sum()
-                union = wa.sum() + wb.sum() - shared
-                keep.append(bool(union) and shared >= least * union)
+                keep.append(bool(jaccard_at_least((ea, wa, wa.sum()), (eb, wb, wb.sum()), least)))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
     return joined.select("a", "b", "ea", "wa", "eb", "wb").mapInArrow(run, "a long, b long").distinct()
 
 
+def jaccard_at_least(x, y, least: float) -> bool:
+    """Exact weighted Jaccard of two sorted (elements, weights) against ``least``."""
+    (ea, wa, ta), (eb, wb, tb) = x, y
+    if min(ta, tb) < least * max(ta, tb):
+        return False
+    _, ia, ib = np.intersect1d(ea, eb, assume_unique=True, return_indices=True)
+    shared = np.minimum(wa[ia], wb[ib]).sum()
+    return shared >= least * (ta + tb - shared)
+
+
 def across(rows: DataFrame, k: int, least: float) -> DataFrame:
-    """Candidate pairs (a, b) of bucket members (key, id, component, sketch) of
-    different components, by sketch: a margin of five standard deviations below
-    ``least``. Large buckets are cut into blocks, and each pair of blocks is one
-    group, so no task holds more than two blocks."""
+    """Links (a, b) between members of a bucket (key, id, component, sketch, elements,
+    weights) that are in different components, enough of them to connect all
+    that are linked: a pair is skipped once its ends are connected, and compared
+    exactly if the sketches come within five standard deviations of ``least``.
+    Large buckets are cut into blocks by members and elements; each pair of
+    blocks is one group, and a group returns fewer links than it has members."""
     need = k * max(0.0, least - 5 * (least * (1 - least) / k) ** 0.5)
-    size = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    size = rows.groupBy("key").agg(F.greatest(
+        F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.size("elements")) / BLOCK_ELEMENTS)).cast("int").alias("blocks"))
     cut = (rows.join(size, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-           .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-                   "id", "component", "sketch"))
+           .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block",
+                   "id", "component", "sketch", "elements", "weights"))
 
     def compare(t: pa.Table) -> pa.Table:
-        ids, component = t.column("id").to_numpy(), t.column("component").to_numpy()
+        ids, block = t.column("id").to_numpy(), t.column("block").to_numpy()
+        _, root = np.unique(t.column("component").to_numpy(), return_inverse=True)
         sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)
-        found = []
+        e, w = t.column("elements").combine_chunks(), t.column("weights").combine_chunks()
+        sets = [(np.asarray(x.values), np.asarray(y.values), np.asarray(y.values).sum()) for x, y in zip(e, w)]
+        two = t.column("i")[0] != t.column("j")[0]
+        a, b = [], []
         for x in range(len(ids)):
-            other = np.flatnonzero((component != component[x]) & (ids > ids[x]))
+            other = np.flatnonzero((root != root[x]) & (block > block[x] if two else np.arange(len(ids)) > x))
             other = other[(sketch[other] == sketch[x]).sum(1) >= need]
-            found += [(ids[x], y) for y in ids[other]]
-        a, b = zip(*found) if found else ((), ())
+            for y in other.tolist():
+                if root[x] != root[y] and jaccard_at_least(sets[x], sets[y], least):
+                    root[root == root[y]] = root[x]
+                    a.append(ids[x])
+                    b.append(ids[y])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
     return cut.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
@@ -240,11 +257,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weights: st
     mixed = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
     sketches = own.select(F.col("doc_id").alias("id"), "sketch").dropDuplicates(["id"])
     rest = stored(named.join(mixed.select("key"), "key", "left_semi").join(sketches, "id"), "minhash-rest")
-    more = across(rest, k, similarity).join(pairs, ["a", "b"], "left_anti")
-    more = stored(more, "minhash-more")
+    sets = weighted_sets(docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+                         .join(rest.select("id").distinct(), "id", "left_semi").dropDuplicates(), weights)
+    more = stored(across(rest.join(stored(sets, "minhash-sets"), "id"), k, similarity), "minhash-more")
     if not more.isEmpty():
-        links = links.union(similar(more, docs, weights, similarity))
-        found = stored(connected_components(links), "minhash-components")
+        found = stored(connected_components(links.union(more)), "minhash-components")
     return (signed.select("doc_id", "h1", "h2").join(classes, ["h1", "h2"], "left")
             .join(found.withColumnRenamed("node", "rep"), "rep", "left")
             .select("doc_id", F.col("rep").alias("text_class"), F.coalesce("component", "rep").alias("class_id"))

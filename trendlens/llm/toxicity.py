@@ -13,10 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import chunks, stored
 
 ORDER = 7                        # symbols; a gram is a 56-bit number
 OWN = 4                          # shortest grams counted per class
@@ -79,12 +80,10 @@ def count_grams(rows: DataFrame) -> DataFrame:
     """(gram, t, o): occurrences in toxic and in ordinary rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            toxic = np.asarray(batch.column(1).to_pylist())
-            texts = batch.column(0).to_pylist()
             for y in (0, 1):
-                own = [t for t, z in zip(texts, toxic) if z == y]
-                for a in range(0, len(own), 2000):
-                    key, n = np.unique(grams(flat(own[a:a + 2000])[0]), return_counts=True)
+                own = batch.column(0).filter(pc.equal(batch.column(1), y))
+                for a, b in chunks(own, 1 << 21):
+                    key, n = np.unique(grams(flat(own[a:b].to_pylist())[0]), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n * y), pa.array(n * (1 - y))],
                                                      names=["gram", "t", "o"])
 
@@ -222,18 +221,6 @@ def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return np.concatenate([[w[0] - slopes @ middle], slopes])
 
 
-def chunks(texts: list, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Index ranges of about ``most`` characters each."""
-    a, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= most:
-            yield a, i + 1
-            a, size = i + 1, 0
-    if a < len(texts):
-        yield a, len(texts)
-
-
 def score_toxicity(docs: DataFrame, labels: DataFrame, model_docs: int = MODEL_DOCS, curve_docs: int = CURVE_DOCS,
                    max_grams: int = MAX_GRAMS) -> DataFrame:
     """(doc_id, held_out, score): a score from 0 to 1 for every whole text.
@@ -258,9 +245,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, model_docs: int = MODEL_D
     def measured(curve):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                texts = batch.column(1).to_pylist()
-                for a, b in chunks(texts):
-                    mean, peak = features(texts[a:b], shared.value)
+                for a, b in chunks(batch.column(1)):
+                    mean, peak = features(batch.column(1)[a:b].to_pylist(), shared.value)
                     if curve is not None:
                         z = curve[0] + curve[1] * mean + curve[2] * peak
                         mean = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
