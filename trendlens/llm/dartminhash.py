@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -214,14 +215,27 @@ def across(rows: DataFrame, k: int, least: float) -> DataFrame:
         _, root = np.unique(t.column("component").to_numpy(), return_inverse=True)
         sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)
         e, w = t.column("elements").combine_chunks(), t.column("weights").combine_chunks()
-        sets = [(np.asarray(x.values), np.asarray(y.values), np.asarray(y.values).sum()) for x, y in zip(e, w)]
+        _, element = np.unique(np.asarray(e.flatten()), return_inverse=True)
+        weight = np.asarray(w.flatten())
+        ends = np.cumsum([0, *pc.list_value_length(e).to_pylist()])
+        total = np.add.reduceat(weight, ends[:-1])
+        own = np.zeros(element.max() + 1, weight.dtype)
         two = t.column("i")[0] != t.column("j")[0]
         a, b = [], []
         for x in range(len(ids)):
             other = np.flatnonzero((root != root[x]) & (block > block[x] if two else np.arange(len(ids)) > x))
             other = other[(sketch[other] == sketch[x]).sum(1) >= need]
-            for y in other.tolist():
-                if root[x] != root[y] and jaccard_at_least(sets[x], sets[y], least):
+            if not len(other):
+                continue
+            mine = slice(ends[x], ends[x + 1])
+            own[element[mine]] = weight[mine]             # weights of x by element, then shared ones of the others
+            many = ends[other + 1] - ends[other]
+            at = np.cumsum(many) - many
+            taken = np.arange(many.sum()) - np.repeat(at - ends[other], many)
+            shared = np.add.reduceat(np.minimum(own[element[taken]], weight[taken]), at)
+            own[element[mine]] = 0
+            for y in other[shared >= least * (total[x] + total[other] - shared)].tolist():
+                if root[x] != root[y]:
                     root[root == root[y]] = root[x]
                     a.append(ids[x])
                     b.append(ids[y])
