@@ -80,10 +80,10 @@ def month_sequence(df: DataFrame, start: str, end: str, extra: int = 1) -> DataF
 
 
 def normalise_vector(v) -> Column:
-    """v / sum(v) for an array<double>."""
+    """v / sum(v) for an array<double>; nulls where the sum is zero."""
     c = _col(v)
     total = F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(c, lambda x: x / total)
+    return F.transform(c, lambda x: F.try_divide(x, total))
 
 
 def weights_sum(v) -> Column:

@@ -71,12 +71,16 @@ def semi_join_in_table(batch: DataFrame, articles: DataFrame) -> DataFrame:
 def upsert_articles(existing: DataFrame, batch: DataFrame,
                     order_col: str = "batch_pos") -> tuple[DataFrame, DataFrame]:
     """Insert batch records with a new web_url (first per URL wins), with an empty
-    body; an existing record with the same id is replaced whole.
+    body; an existing record with the same id is replaced whole, and of several
+    new URLs under one id the last in the batch stays.
 
     Returns (articles snapshot, ignored ids)."""
     first = first_per_url(batch, order_col)
     new = anti_join_new(first, existing)
-    new_rows = new.select(
+    cols = [c for c in new.columns if c != "article_id"]
+    last = (new.groupBy("article_id").agg(F.max_by(F.struct(*cols), F.struct(order_col, "web_url")).alias("r"))
+            .select("article_id", "r.*"))
+    new_rows = last.select(
         *[(F.lit("").alias(c) if c == "full_text"
            else F.lit(None).cast(ARTICLE_SCHEMA[c].dataType).alias(c)
            if c in ("failed_scrape", "clean_text") else F.col(c))
@@ -85,7 +89,7 @@ def upsert_articles(existing: DataFrame, batch: DataFrame,
                                                   "left_anti")
     snapshot = kept.unionByName(new_rows)
     ignored = (batch.select("article_id", order_col)
-               .join(new.select("article_id", order_col), ["article_id", order_col], "left_anti")
+               .join(last.select("article_id", order_col), ["article_id", order_col], "left_anti")
                .select("article_id").distinct())
     return snapshot, ignored
 

@@ -44,7 +44,7 @@ def init_w(doc_ids: DataFrame, n_topics: int, seed: int = 0) -> DataFrame:
     """W0[d, k] = ((d*7919 + k*104729 + seed*1000003) mod 1000 + 1) / 1000."""
     return doc_ids.select("article_id", F.transform(
         F.sequence(F.lit(0), F.lit(n_topics - 1)),
-        lambda k: ((F.col("article_id") * INIT_DOC_MUL + k * INIT_DOC_TOPIC_MUL
+        lambda k: ((F.pmod(F.col("article_id"), F.lit(INIT_MOD)) * INIT_DOC_MUL + k * INIT_DOC_TOPIC_MUL
                     + seed * INIT_SEED_MUL) % INIT_MOD + 1) / float(INIT_MOD)).alias("w"))
 
 

@@ -14,11 +14,11 @@ from ..session import broadcast_small
 def topic_top_terms(topic_terms: DataFrame, n_top_words: int = 20) -> DataFrame:
     """(topic, rank, term, pct): the n_top_words-1 heaviest terms per topic (the
     reference's reversed slice keeps n-1), pct = 100 * weight / sum of the kept
-    weights. Ties: rounded weight desc, then the alphabetically later term."""
+    weights, null for a topic without weight. Ties: rounded weight desc, then the alphabetically later term."""
     w = Window.partitionBy("topic").orderBy(F.desc(F.round("weight", 6)), F.desc("term"))
     top = (topic_terms.withColumn("rank", F.row_number().over(w))
            .filter(F.col("rank") <= n_top_words - 1))
-    pct = F.lit(100.0) * F.col("weight") / F.sum("weight").over(Window.partitionBy("topic"))
+    pct = F.try_divide(F.lit(100.0) * F.col("weight"), F.sum("weight").over(Window.partitionBy("topic")))
     return top.select("topic", "rank", "term", pct.alias("pct"))
 
 
@@ -36,9 +36,9 @@ def topic_terms_ranked(top_terms: DataFrame) -> DataFrame:
 
 
 def sample_topics(topics: DataFrame, n: int = 3, seed: int = 0) -> DataFrame:
-    """n distinct topics in a seeded pseudo-random order (a multiplicative hash
-    of the topic id, reproducible in any engine)."""
-    key = (F.col("topic").cast("long") * F.lit(2654435761) + F.lit(seed * 40503)) % F.lit(4294967296)
+    """n distinct topics in a seeded pseudo-random order (MD5 of topic and seed,
+    reproducible in any engine)."""
+    key = F.md5(F.concat(F.col("topic").cast("string"), F.lit(f"|{seed}")).cast("binary"))
     return topics.select("topic", key.alias("_k")).orderBy("_k", "topic").limit(n).select("topic")
 
 

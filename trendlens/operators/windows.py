@@ -46,5 +46,5 @@ def rolling_month_mean(monthly: DataFrame, interval: int = 3, value_col: str = "
 
 
 def share_of_total(col: str) -> Column:
-    """x / sum(x) over all rows (used on K-row per-topic tables)."""
-    return F.col(col) / F.sum(F.col(col)).over(Window.partitionBy())
+    """x / sum(x) over all rows (used on K-row per-topic tables); null where the sum is zero."""
+    return F.try_divide(F.col(col), F.sum(F.col(col)).over(Window.partitionBy()))

@@ -260,7 +260,7 @@ def q_topic_terms_ranked(spark, sf):
 
 
 @register("sample_topics", fixture_sql("""
-SELECT topic FROM topics ORDER BY (CAST(topic AS BIGINT) * 2654435761 + 0) % 4294967296, topic
+SELECT topic FROM topics ORDER BY md5(CAST(topic AS VARCHAR) || '|0'), topic
 LIMIT 3"""))
 def q_sample_topics(spark, sf):
     return TT.sample_topics(fx_(spark, sf).topics, 3, seed=0)

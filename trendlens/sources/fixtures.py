@@ -6,7 +6,6 @@ oracle sees identical inputs.
 """
 from __future__ import annotations
 
-import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,11 +54,6 @@ def load_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return articles_from_documents(read_table(spark, sf_dir, "documents"))
 
 
-def load_clean_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Articles after ``clean_missing``: News rows with a body carry clean_text."""
-    return clean_missing(load_articles(spark, sf_dir))
-
-
 def pages_by_url(pages: DataFrame) -> DataFrame:
     """Pages keyed by the article URL they belong to (page_id -> article_id)."""
     return pages.select(F.concat(F.lit("http://example.com/"), F.col("page_id").cast("string"))
@@ -97,75 +91,27 @@ class Fixture:
     raw_doc_topics: DataFrame    # same with normalize='none'
 
 
-# Written tables per (application, sf_dir): later queries of the same session read
-# the stored tables instead of recomputing the ingest and model stages.
+# Written tables per (application, sf_dir); another application builds its own.
 _TABLES: dict[tuple[str, str], dict[str, str]] = {}
 
 
-def clean_articles_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The article table after ``clean_missing``, written once per session. Rows
-    are hash-partitioned by article_id before cleaning so the text work spreads
-    over all tasks even when the source is a single file."""
-    return _stage_tables(spark, sf_dir)["articles"]
-
-
-STAGE_VERSION = "3"
-
-
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def _stage_key(spark: SparkSession, sf_dir: str) -> str:
-    """Stable key of the stage tables: input file identity + fixture parameters."""
-    p, fs = _fs(spark, f"{sf_dir.rstrip('/')}/documents.parquet")
-    st = fs.getFileStatus(p)
-    ident = (f"{STAGE_VERSION}|{p.toString()}|{st.getLen()}|{st.getModificationTime()}|"
-             f"{FIXTURE_MAX_FEATURES}|{FIXTURE_NGRAMS}|{FIXTURE_MAX_DF}|{FIXTURE_TOPICS}")
-    return hashlib.sha1(ident.encode()).hexdigest()[:16]
-
-
-def _stage_root(spark: SparkSession) -> str:
-    """Shared folder for reusable stage tables: under ``spark.checkpoint.dir``
-    when configured (cluster); a fixed local folder only when it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir", None) or "/tmp/trendlens-stage"
-    return f"{base.rstrip('/')}/trendlens-stage"
-
-
 def _stage_tables(spark: SparkSession, sf_dir: str, reuse: bool = True) -> dict[str, DataFrame]:
     key = (spark.sparkContext.applicationId, sf_dir)
-    paths = _TABLES.get(key) if reuse else None
-    if paths is None:
-        root = f"{_stage_root(spark)}/{_stage_key(spark, sf_dir)}" if reuse else None
-        marker = _fs(spark, f"{root}/_COMPLETE") if root else None
-        if marker and marker[1].exists(marker[0]):
-            paths = {n: f"{root}/{n}" for n in STAGE_NAMES}
-        else:
-            paths = _build_stage_tables(spark, sf_dir, root)
-            if marker:
-                marker[1].create(marker[0], True).close()
-        if reuse:
-            _TABLES[key] = paths
-    return {k: spark.read.parquet(v) for k, v in paths.items()}
+    if not reuse or key not in _TABLES:
+        _TABLES[key] = _build_stage_tables(spark, sf_dir)
+    return {k: spark.read.parquet(v) for k, v in _TABLES[key].items()}
 
 
 STAGE_NAMES = ("articles", "vocab", "doc_terms", "topic_terms", "raw_doc_topics", "doc_topics")
 
 
-def _build_stage_tables(spark: SparkSession, sf_dir: str, root: str | None) -> dict[str, str]:
-    """Build the stage tables into ``root`` (or fresh scratch paths) and return
-    their paths; each stage reads the previous one back from storage."""
+def _build_stage_tables(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    """Build the stage tables in fresh scratch folders and return their paths; each
+    stage reads the previous one back from storage."""
     paths: dict[str, str] = {}
 
     def put(name: str, df: DataFrame) -> DataFrame:
-        if root:
-            paths[name] = f"{root}/{name}"
-            df.write.mode("overwrite").parquet(paths[name])
-        else:
-            paths[name] = write_table(df, name)
+        paths[name] = write_table(df, name)
         return spark.read.parquet(paths[name])
 
     arts = put("articles", clean_missing(spread_if_narrow(load_articles(spark, sf_dir))))
@@ -191,9 +137,8 @@ def _build_stage_tables(spark: SparkSession, sf_dir: str, root: str | None) -> d
 
 
 def build_fixture(spark: SparkSession, sf_dir: str, reuse: bool = True) -> Fixture:
-    """The test-profile tables. With ``reuse`` (default) they are built once per
-    input and kept in the shared stage folder; ``reuse=False`` always rebuilds
-    (the benchmark measures the build)."""
+    """The test-profile tables, built by this application's code in a fresh folder
+    and shared inside this application only; ``reuse=False`` builds them anew."""
     t = _stage_tables(spark, sf_dir, reuse)
     tfm = TfidfModel(t["vocab"], FIXTURE_NGRAMS, FIXTURE_MAX_FEATURES)
     model = load_model(tfm, t["topic_terms"], n_topics=FIXTURE_TOPICS)
