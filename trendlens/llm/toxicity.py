@@ -1,11 +1,14 @@
 """Toxicity scores from class-conditional Kneser-Ney models.
 
-Two interpolated Kneser-Ney models over character 7-grams, one of toxic and one of
-ordinary training texts. Grams of four characters and more are counted per class; all shorter ones are
+Two interpolated Kneser-Ney models over the 7-grams of words' characters, one of toxic and
+one of ordinary training texts; no gram reaches into the word before. Grams of four characters and more are counted per class; all shorter ones are
 continuation counts of both classes together, so a rare expression backs off to
-the same probability under both and says nothing. A text is compared by its length-normalised log-likelihood ratio, over the whole
-text and over its most toxic stretch, and a logistic curve fitted on training
-rows the models have not seen turns the two into a score.
+the same probability under both and says nothing. A gram's log ratio departs from that of the next shorter gram
+only by what exceeds its standard error, so that a few texts of a class do not make
+their ordinary words telling. A text is compared by its
+log-likelihood ratio, normalised by its length and by the length's root, and over its
+most toxic stretch; a logistic curve fitted on training rows the models have not seen
+turns these into a score.
 """
 from __future__ import annotations
 
@@ -23,7 +26,9 @@ ORDER = 7                        # symbols; a gram is a 56-bit number
 OWN = 4                          # shortest grams counted per class
 DISCOUNT = 0.75
 STRETCH = 24                     # symbols of the stretch
-TRUST = 5.0                     # ratios from n occurrences count n / (n + TRUST)
+ERRORS = 2.0                     # standard errors taken off every log ratio
+TELLING, FEW = 1.0, 20           # log ratio a word must exceed to tell; words added to every text
+CURVE_SHARE = 5                  # one labelled row in so many is kept for the curve
 MODEL_DOCS = 6000                # training rows a class, at most
 CURVE_DOCS = 2000                # rows a class for the logistic curve, at most
 MAX_GRAMS = 1 << 22              # grams and contexts kept in the broadcast model
@@ -49,11 +54,16 @@ def flat(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def grams(data: np.ndarray) -> np.ndarray:
-    """The gram that ends at each symbol from the first gap's end on."""
+    """The gram that ends at each symbol from the first gap's end on. Symbols before
+    the word that holds (or ends before) the symbol are spaces."""
     n = len(data) - ORDER
+    space = data == 32
+    at = np.arange(len(data))
+    before = np.maximum.accumulate(np.where(space, at, 0))      # last space up to each symbol
+    start = np.append(0, before[:-1])                           # last space before each symbol
     key = np.zeros(n, np.int64)
     for k in range(1, ORDER + 1):
-        key = key << 8 | data[k:k + n]
+        key = key << 8 | np.where(at[k:k + n] > start[ORDER:], data[k:k + n], 32)
     return key
 
 
@@ -67,7 +77,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, model_docs: int, curve_doc
     chosen = None
     for toxic in (0, 1):
         for part, most in (("model", model_docs), ("curve", curve_docs)):
-            fold = fold_of(F.col("doc_id")) == 3
+            fold = F.pmod(F.xxhash64("doc_id", F.lit("curve")), F.lit(CURVE_SHARE)) == 0
             few = (known.where((F.col("toxic") == toxic) & (fold if part == "curve" else ~fold))
                    .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).withColumn("part", F.lit(part)))
             chosen = few if chosen is None else chosen.union(few)
@@ -118,7 +128,7 @@ def log_ratios(counted: DataFrame) -> DataFrame:
         p = level.join(sums, "context").join(tail, low(n - 1) == F.col("tail")).select(
             "gram", ((F.greatest(F.col("c") - d, spread) + d * F.col("kinds") * F.col("tail_p"))
                      / F.col("n")).alias("p"))
-    p = p.select("gram", F.col("p").alias("pt"), F.col("p").alias("po"))
+    p = p.select("gram", F.col("p").alias("pt"), F.col("p").alias("po"), spread.alias("ratio"))
     found = None
     for n in range(OWN, ORDER + 1):
         level = levels[n].withColumn("context", F.shiftright("gram", 8))
@@ -128,20 +138,23 @@ def log_ratios(counted: DataFrame) -> DataFrame:
                  for c in "to"}
         own = {c: F.when(F.col("n" + c) > 0, F.greatest(F.col(c) - d, spread) / F.col("n" + c)).otherwise(spread)
                for c in "to"}
-        tail = p.select(F.col("gram").alias("tail"), F.col("pt").alias("tail_t"), F.col("po").alias("tail_o"))
+        tail = p.select(F.col("gram").alias("tail"), F.col("pt").alias("tail_t"), F.col("po").alias("tail_o"),
+                        F.col("ratio").alias("tail_ratio"))
         p = stored(level.join(sums, "context").join(tail, low(n - 1) == F.col("tail")).select(
             "gram", *((own[c] + after[c] * F.col("tail_" + c)).alias("p" + c) for c in "to"),
-            (F.col("t") + F.col("o")).alias("seen")), "kn")
-        both = p.select(tagged(F.col("gram"), n, 0).alias("key"),
-                        trusted(F.log(F.col("pt") / F.col("po")), F.col("seen"))).union(
+            "t", "o", "tail_ratio").withColumn("ratio", F.col("tail_ratio") + trusted(
+                F.log(F.col("pt") / F.col("po")) - F.col("tail_ratio"), F.col("t"), F.col("o"))), "kn")
+        both = p.select(tagged(F.col("gram"), n, 0).alias("key"), "ratio").union(
             sums.select(tagged(F.col("context"), n, 1).alias("key"),
-                        trusted(F.log(after["t"] / after["o"]), F.col("nt") + F.col("no"))))
+                        trusted(F.log(after["t"] / after["o"]), F.col("kt"), F.col("ko")).alias("ratio")))
         found = both if found is None else found.union(both)
     return found
 
 
-def trusted(ratio: Column, seen: Column) -> Column:
-    return (ratio * seen / (seen + TRUST)).alias("ratio")
+def trusted(ratio: Column, t: Column, o: Column) -> Column:
+    """The part of a log ratio from ``t`` and ``o`` counts beyond its standard errors."""
+    error = ERRORS * F.sqrt(1 / (t + 0.5) + 1 / (o + 0.5))
+    return F.signum(ratio) * F.greatest(F.abs(ratio) - error, F.lit(0.0))
 
 
 def tagged(key, n: int, context: int):
@@ -187,8 +200,10 @@ def ratios_of(model: tuple[np.ndarray, np.ndarray], gram: np.ndarray) -> np.ndar
     return out
 
 
-def features(texts: list[str | None], model) -> tuple[np.ndarray, np.ndarray]:
-    """Mean log ratio a symbol of each text, and that of its highest stretch."""
+def features(texts: list[str | None], model) -> np.ndarray:
+    """Per text, signed roots of: the mean log ratio a symbol, the sum over the root of
+    the length, the mean in the highest stretch, and what words have beyond
+    ``TELLING``, over the number of words and ``FEW`` more."""
     data, starts = flat(texts)
     key = grams(data)
     starts = starts - ORDER
@@ -199,7 +214,14 @@ def features(texts: list[str | None], model) -> tuple[np.ndarray, np.ndarray]:
     size = ends - starts
     until = np.minimum(np.arange(len(key)) + STRETCH, np.repeat(ends, size))
     peak = np.maximum.reduceat(total[until] - total[:-1], starts) / STRETCH
-    return (total[ends] - total[starts]) / size, peak
+    whole = total[ends] - total[starts]
+    first = np.flatnonzero(np.append(True, (key[:-1] & 255) == 32))      # a word, or a lone space, begins
+    word = np.append(first, len(key))
+    telling = np.concatenate([[0.0], np.cumsum(np.maximum(0, np.diff(total[word]) - TELLING))])
+    real = np.concatenate([[0], np.cumsum(np.diff(word) > 1)])
+    a, b = np.searchsorted(first, starts), np.searchsorted(first, ends)
+    x = np.column_stack([whole / size, whole / np.sqrt(size), peak, (telling[b] - telling[a]) / (real[b] - real[a] + FEW)])
+    return np.sign(x) * np.sqrt(np.abs(x))
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-4) -> np.ndarray:
@@ -242,28 +264,29 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, model_docs: int = MODEL_D
     counted = stored(count_grams(rows.where("part = 'model'")), "kn-grams")
     shared = spark.sparkContext.broadcast(bounded(log_ratios(counted), max_grams))
 
+    names = ["mean", "root", "peak", "telling"]
+
     def measured(curve):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for a, b in chunks(batch.column(1)):
-                    mean, peak = features(batch.column(1)[a:b].to_pylist(), shared.value)
+                    x = features(batch.column(1)[a:b].to_pylist(), shared.value)
                     if curve is not None:
-                        z = curve[0] + curve[1] * mean + curve[2] * peak
-                        mean = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
-                    yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(mean), pa.array(peak)],
-                                                     names=["doc_id", "score", "peak"])
+                        x = 1 / (1 + np.exp(-np.clip(curve[0] + x @ curve[1:], -700, 700)))[:, None]
+                    yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], *(pa.array(c) for c in x.T.copy())],
+                                                     names=["doc_id", *(names if curve is None else ["score"])])
         return run
 
     part = "curve" if {("curve", 0), ("curve", 1)} <= have else "model"
     known = (rows.where(F.col("part") == part).select(F.col("toxic").cast("long").alias("doc_id"), "text")
-             .mapInArrow(measured(None), "doc_id long, score double, peak double").toPandas().sort_values(
-                 ["doc_id", "score", "peak"]))
+             .mapInArrow(measured(None), "doc_id long, mean double, root double, peak double, telling double").toPandas().sort_values(
+                 ["doc_id", *names]))
     y = known["doc_id"].to_numpy(float)
     share = sizes[1] / (sizes[0] + sizes[1])
     weight = np.where(y == 1, share / max(1, y.sum()), (1 - share) / max(1, (1 - y).sum()))
-    curve = fit_curve(known[["score", "peak"]].to_numpy(float), y, weight)
+    curve = fit_curve(known[names].to_numpy(float), y, weight)
     scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        measured([float(w) for w in curve]), "doc_id long, score double, peak double")
+        measured(curve), "doc_id long, score double")
     return scored.select("doc_id", held, "score")
 
 
