@@ -6,6 +6,8 @@ compared as strings, exactly as the reference's database predicates did, so
 """
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +41,13 @@ def day_key(pub_date) -> Column:
     return F.substring(_col(pub_date), 1, 10)
 
 
+def day_bounds(pub_date, first: str, last: str) -> Column:
+    """Days first..last ('yyyymmdd', both included) as bounds on the ISO string."""
+    since = datetime.strptime(first, "%Y%m%d").date().isoformat()
+    until = (datetime.strptime(last, "%Y%m%d").date() + timedelta(days=1)).isoformat()
+    return (_col(pub_date) >= since) & (_col(pub_date) < until)
+
+
 def month_start(month) -> Column:
     """'YYYY-MM' -> date of the first day."""
     return F.to_date(F.concat(_col(month), F.lit("-01")))

@@ -90,12 +90,14 @@ def filter_topic_keep(topic_rows: DataFrame, topics: DataFrame) -> DataFrame:
 def filter_recent_days(articles: DataFrame, n_days: int = 7, as_of: str | None = None) -> DataFrame:
     """Articles published in the ``n_days`` days up to ``as_of`` (default: the
     latest publication day in the table, computed as a scalar subquery)."""
-    day = F.to_date(day_key("pub_date"))
+    day = day_key("pub_date").try_cast("date")
     if as_of is None:
-        ref = articles.select(F.max(F.to_date(day_key("pub_date")))).scalar()
+        ref = articles.select(F.max(day)).scalar()
     else:
         ref = F.to_date(F.lit(as_of))
-    return articles.filter((day > F.date_sub(ref, n_days)) & (day <= ref))
+    # ISO strings compare like their days, so the bounds need no cast of the column
+    since, until = (F.date_add(ref, n).cast("string") for n in (1 - n_days, 1))
+    return articles.filter((F.col("pub_date") >= since) & (F.col("pub_date") < until) & day.isNotNull())
 
 
 def filter_ignore_urls(articles: DataFrame, prefixes=None) -> DataFrame:

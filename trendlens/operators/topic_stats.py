@@ -9,10 +9,12 @@ ships at most k rows per topic.
 """
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dates import month_key, month_sequence, next_month, weights_sum as _wsum
+from ..functions.dates import day_bounds, month_key, month_sequence, next_month, weights_sum as _wsum
 from ..session import broadcast_small
 from .project import with_record_columns
 from .filters import date_range_predicate
@@ -156,8 +158,9 @@ def daily_counts(articles: DataFrame, start: str = "20130101", end: str = "20131
     if not start < end:
         raise ValueError("daily_counts needs start < end")
     s, e = F.to_date(F.lit(start), "yyyyMMdd"), F.to_date(F.lit(end), "yyyyMMdd")
-    day = F.to_date(F.substring("pub_date", 1, 10))
-    counts = (articles.filter((day > s) & (day <= e)).groupBy(day.alias("d"))
+    first = (datetime.strptime(start, "%Y%m%d") + timedelta(days=1)).strftime("%Y%m%d")
+    day = F.substring("pub_date", 1, 10).try_cast("date")
+    counts = (articles.filter(day_bounds("pub_date", first, end)).groupBy(day.alias("d"))
               .agg(F.count(F.lit(1)).alias("n")))
     spine = articles.sparkSession.range(1).select(
         F.explode(F.sequence(F.date_add(s, 1), e)).alias("d"))

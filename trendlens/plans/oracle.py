@@ -53,12 +53,12 @@ articles AS (
          'http://example.com/' || CAST(doc_id AS VARCHAR) AS web_url,
          strftime(date '2001-09-01' + CAST(doc_id * 37 % 1000 AS INTEGER), '%Y-%m-%d')
            || 'T00:00:00Z' AS pub_date,
-         CASE WHEN lang = 'en' THEN 'News' WHEN lang = 'de' THEN 'Op-Ed'
-              WHEN lang = 'fr' THEN 'Letter' ELSE 'Review' END AS type_of_material,
+         CASE source WHEN 'src16' THEN 'Op-Ed' WHEN 'src17' THEN 'Letter'
+              WHEN 'src18' THEN 'Review' ELSE 'News' END AS type_of_material,
          CASE WHEN source = 'src19' THEN 'multimedia' ELSE 'article' END AS document_type,
          split_part(text, chr(10), 1) AS headline_main,
-         substring(text, 1, 200) AS lead_paragraph,
-         CASE WHEN doc_id % 25 = 0 THEN '' ELSE text END AS full_text,
+         split_part(text, chr(10), 1) AS lead_paragraph,
+         text AS full_text,
          CAST(NULL AS BOOLEAN) AS failed_scrape
   FROM documents)"""
 

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.dates import date_digits
+from ..functions.dates import date_digits, day_bounds
 from ..operators import ingest as IN
 from ..operators import topic_stats as TS
 from ..operators import topic_terms as TT
 from ..operators.html import TEST_PROFILE_RULES, extract_body
 from ..sources import sinks as SK
-from ..sources.fixtures import (build_fixture, load_articles, pages_by_url,
+from ..sources.fixtures import (build_fixture, load_articles, load_landed_articles, pages_by_url,
                                 search_pages_from_articles)
 from ..sources.tables import scan_pages
 from ..plans import serve as SV
@@ -93,7 +93,11 @@ def corpus_select(articles, queries=CORPUS_QUERIES, text_col: str = "full_text")
         for t in terms.split(","):
             alt = alt | text.contains(t.replace("+", " "))
         cond = cond | (alt & day.between(begin, end))
-    return articles.filter(cond)
+    if not queries:
+        return articles.filter(cond)
+    # the days that any query asks for, as bounds that reach the scan
+    within = day_bounds("pub_date", min(q[1] for q in queries), max(q[2] for q in queries))
+    return articles.filter(within & cond)
 
 
 @register("corpus_select", _corpus_sql())
@@ -178,25 +182,24 @@ def _update_sql(elig_where: str) -> str:
     return fixture_sql(_PAGE_OK + f""",
 elig AS (SELECT article_id FROM articles WHERE {elig_where})
 SELECT a.article_id,
-  CASE WHEN e.article_id IS NOT NULL AND coalesce(pg.ok, false) THEN true
-       ELSE a.full_text <> '' END AS has_text,
+  e.article_id IS NOT NULL AND coalesce(pg.ok, false) AS has_text,
   CASE WHEN e.article_id IS NOT NULL AND NOT coalesce(pg.ok, false) THEN true
        ELSE a.failed_scrape END AS failed_scrape
 FROM articles a LEFT JOIN elig e USING (article_id) LEFT JOIN pg USING (article_id)""")
 
 
 @register("update_bodies", _update_sql(
-    "document_type = 'article' AND full_text = '' AND type_of_material = 'News' "
+    "document_type = 'article' AND type_of_material = 'News' "
     "AND failed_scrape IS NULL"))
 def q_update_bodies(spark, sf):
-    u = IN.update_bodies(load_articles(spark, sf), _bodies(spark, sf))
+    u = IN.update_bodies(load_landed_articles(spark, sf), _bodies(spark, sf))
     return u.select("article_id", (F.col("full_text") != "").alias("has_text"), "failed_scrape")
 
 
 @register("update_bodies_batch", _update_sql(f"pub_date >= '{SPLIT}'"))
 def q_update_bodies_batch(spark, sf):
     batch = _landed(spark, sf).filter(F.col("pub_date") >= SPLIT)
-    u = IN.update_bodies_batch(load_articles(spark, sf), batch, _bodies(spark, sf))
+    u = IN.update_bodies_batch(load_landed_articles(spark, sf), batch, _bodies(spark, sf))
     return u.select("article_id", (F.col("full_text") != "").alias("has_text"), "failed_scrape")
 
 

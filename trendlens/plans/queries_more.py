@@ -412,11 +412,11 @@ def q_filter_news_uncleaned(spark, sf):
 
 
 @register("filter_needs_body", fixture_sql("""
-SELECT article_id FROM articles WHERE document_type = 'article' AND full_text = ''
+SELECT article_id FROM articles WHERE document_type = 'article'
 AND type_of_material = 'News' AND failed_scrape IS NULL"""))
 def q_filter_needs_body(spark, sf):
-    from ..sources.fixtures import load_articles
-    return FL.filter_needs_body(load_articles(spark, sf)).select("article_id")
+    from ..sources.fixtures import load_landed_articles
+    return FL.filter_needs_body(load_landed_articles(spark, sf)).select("article_id")
 
 
 @register("filter_date_range", fixture_sql("""

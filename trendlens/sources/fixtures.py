@@ -34,17 +34,17 @@ def articles_from_documents(documents: DataFrame) -> DataFrame:
     """Article records derived from ``documents`` (dates, types, URL, headline)."""
     d = F.col("doc_id")
     day = F.date_add(F.lit("2001-09-01").cast("date"), ((d * 37) % 1000).cast("int"))
-    lang = F.col("lang")
+    source = F.col("source")
     return documents.select(
         d.alias("article_id"),
         F.concat(F.lit("http://example.com/"), d.cast("string")).alias("web_url"),
         F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T00:00:00Z")).alias("pub_date"),
-        F.when(lang == "en", "News").when(lang == "de", "Op-Ed").when(lang == "fr", "Letter")
-        .otherwise("Review").alias("type_of_material"),
+        F.when(source == "src16", "Op-Ed").when(source == "src17", "Letter").when(source == "src18", "Review")
+        .otherwise("News").alias("type_of_material"),
         F.when(F.col("source") == "src19", "multimedia").otherwise("article").alias("document_type"),
         F.struct(F.substring_index(F.col("text"), "\n", 1).alias("main")).alias("headline"),
-        F.substring(F.col("text"), 1, 200).alias("lead_paragraph"),
-        F.when(d % 25 == 0, F.lit("")).otherwise(F.col("text")).alias("full_text"),
+        F.substring_index(F.col("text"), "\n", 1).alias("lead_paragraph"),
+        F.col("text").alias("full_text"),
         F.lit(None).cast("boolean").alias("failed_scrape"),
         F.lit(None).cast("string").alias("clean_text"),
     )
@@ -54,6 +54,11 @@ def load_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return articles_from_documents(read_table(spark, sf_dir, "documents"))
 
 
+def load_landed_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The articles as they are landed, before any body is fetched."""
+    return load_articles(spark, sf_dir).withColumn("full_text", F.lit(""))
+
+
 def pages_by_url(pages: DataFrame) -> DataFrame:
     """Pages keyed by the article URL they belong to (page_id -> article_id)."""
     return pages.select(F.concat(F.lit("http://example.com/"), F.col("page_id").cast("string"))
