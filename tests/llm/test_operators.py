@@ -135,6 +135,24 @@ def test_repeats_against_brute_force(spark, docs):
     assert sum(r["n_removed"] for r in odd if r["doc_id"] == 7) == 0
 
 
+def test_repeats_across_splitters(spark, monkeypatch):
+    monkeypatch.setattr(suffixsort, "MERGE", 8)
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    shared = [word(56) for _ in range(6)]
+    rows = [(i, " ".join(word(rng.randint(20, 60)) + rng.choice(shared) + word(40) for _ in range(3))) for i in range(120)]
+    first, want = {}, {}
+    for i, t in rows:
+        hit = np.zeros(len(t), bool)
+        for p in range(len(t) - 49):
+            if first.setdefault(t[p:p + 50], i) < i:
+                hit[p:p + 50] = True
+        want[i] = int(hit.sum())
+    assert sum(want.values()) > 10_000
+    got = suffixsort.digests(suffixsort.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {r["doc_id"]: r["n_removed"] for r in got.collect()} == want
+
+
 def test_loser_tree_merges_and_yields_prefixes():
     rng = random.Random(6)
     runs = []

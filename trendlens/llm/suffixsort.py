@@ -427,7 +427,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 def sample_splitters(own: DataFrame, grouped: DataFrame, parts: int) -> list[bytes]:
     """Splitters of the suffix order from a bounded sample of documents, at most 64
-    suffixes each. They only balance the merges."""
+    suffixes each. They only balance the merges: equal strings share the 16 bytes of
+    their anchor at least, and no cut falls between two suffixes with the same 16."""
     few = grouped.orderBy(F.xxhash64("uid"), "uid").limit(SPLITTER_DOCS)
     few = few.withColumn("ats", F.slice("ats", 1, 64))
     rows = own.join(F.broadcast(few), "uid").select("uid", "ord", "text", "ats")   # SPLITTER_DOCS rows
@@ -438,7 +439,7 @@ def sample_splitters(own: DataFrame, grouped: DataFrame, parts: int) -> list[byt
                 yield pa.RecordBatch.from_arrays([pa.array([k.tobytes() for k in contexts(batch)[0]], pa.binary())],
                                                  names=["key"])
     keys = sorted(r["key"] for r in rows.mapInArrow(run, "key binary").collect())
-    cuts = {keys[i * len(keys) // parts].rstrip(b"\0") for i in range(1, parts)} if keys else set()
+    cuts = {keys[i * len(keys) // parts][:KMER].rstrip(b"\0") for i in range(1, parts)} if keys else set()
     return sorted(cuts)
 
 
