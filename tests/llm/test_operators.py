@@ -199,6 +199,22 @@ def test_toxicity_learns_and_handles_no_labels(spark):
     assert none == 0.0
 
 
+def test_toxicity_of_a_model_in_parts(spark, monkeypatch):
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("abcdeinorst") for _ in range(rng.randint(2, 9)))
+    plain = [word() for _ in range(300)]
+    rows = [(i, " ".join([rng.choice(plain) for _ in range(30)] + ["scumbag"] * (i % 3 == 0) + ["scumble"] * (i % 3 == 1)), int(
+        i % 3 == 0)) for i in range(300)] + [(300, None, 0), (301, "", 0)]
+    d = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    score = lambda **k: {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(d, labels, **k).collect()}
+    whole, sizes = score(), []
+    in_parts = toxicity.in_parts
+    monkeypatch.setattr(toxicity, "in_parts", lambda *a: sizes.append(len(x := in_parts(*a))) or x)
+    assert score(max_grams=20) == pytest.approx(whole, abs=1e-6)
+    assert 2 < sizes[0] < 20
+
+
 def test_urls(spark):
     urls = ["http://Example.net/en/1", "http://a.example.net/fr/", "https://x.example.com/de/2", "http://b.org/fr/",
             "http://b.org/en/", None, "no scheme", "http://notexample.net?x=1/en/"] * 5

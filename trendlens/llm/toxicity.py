@@ -31,7 +31,7 @@ TELLING, FEW = 1.0, 20           # log ratio a word must exceed to tell; words a
 CURVE_SHARE = 5                  # one labelled row in so many is kept for the curve
 MODEL_DOCS = 6000                # training rows a class, at most
 CURVE_DOCS = 2000                # rows a class for the logistic curve, at most
-MAX_GRAMS = 1 << 22              # grams and contexts kept in the broadcast model
+MAX_GRAMS = 1 << 22              # grams and contexts of one broadcast; a larger model goes in parts
 THRESHOLD = 0.3
 GAP = " " * ORDER
 
@@ -105,7 +105,8 @@ def log_ratios(counted: DataFrame) -> DataFrame:
     """(key, ratio): log p(toxic) - log p(ordinary) of every gram of ``OWN`` to
     ``ORDER`` symbols that was seen, and of the backoff weight after every context;
     ``tagged`` tells the keys apart. Shorter grams have one shared probability,
-    which cancels."""
+    which cancels. Entries without which ``ratios_of`` gives the same are left out:
+    backoffs of 0, and grams with the next shorter one's ratio after such a context."""
     d, spread = F.lit(DISCOUNT), F.lit(0.0)
 
     def low(n):
@@ -142,11 +143,12 @@ def log_ratios(counted: DataFrame) -> DataFrame:
                         F.col("ratio").alias("tail_ratio"))
         p = stored(level.join(sums, "context").join(tail, low(n - 1) == F.col("tail")).select(
             "gram", *((own[c] + after[c] * F.col("tail_" + c)).alias("p" + c) for c in "to"),
-            "t", "o", "tail_ratio").withColumn("ratio", F.col("tail_ratio") + trusted(
+            "t", "o", "tail_ratio", trusted(F.log(after["t"] / after["o"]), F.col("kt"), F.col("ko")).alias("back")
+        ).withColumn("ratio", F.col("tail_ratio") + trusted(
                 F.log(F.col("pt") / F.col("po")) - F.col("tail_ratio"), F.col("t"), F.col("o"))), "kn")
-        both = p.select(tagged(F.col("gram"), n, 0).alias("key"), "ratio").union(
-            sums.select(tagged(F.col("context"), n, 1).alias("key"),
-                        trusted(F.log(after["t"] / after["o"]), F.col("kt"), F.col("ko")).alias("ratio")))
+        both = p.where("ratio <> tail_ratio or back <> 0").select(tagged(F.col("gram"), n, 0).alias("key"), "ratio").union(
+            sums.select(tagged(F.col("context"), n, 1).alias("key"), trusted(
+                F.log(after["t"] / after["o"]), F.col("kt"), F.col("ko")).alias("ratio")).where("ratio <> 0"))
         found = both if found is None else found.union(both)
     return found
 
@@ -162,15 +164,24 @@ def tagged(key, n: int, context: int):
     return key + ((2 * n + context) << 8 * ORDER)
 
 
-def bounded(ratios: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys and ratios of at most about ``most`` entries, those with ratios
-    farthest from zero: a size-checked table for the broadcast."""
+def part_of(middle, parts: int):
+    """The part of the model for grams with these three symbols before the last one: a
+    gram, its shorter forms and the contexts of all of them have the same."""
+    return middle * 2654435761 % 16777213 % parts
+
+
+def in_parts(ratios: DataFrame, most: int) -> list[DataFrame]:
+    """The whole table, in as many parts as keep each at about ``most`` entries."""
     kept = stored(ratios, "kn-ratios")
-    n = kept.count()
-    if n > most:
-        least = kept.select(F.abs("ratio").alias("x")).approxQuantile("x", [1 - most / n], 1e-3)[0]
-        kept = kept.where(F.abs("ratio") > least)
-    got = kept.toArrow()
+    parts = max(1, -(-kept.count() // most))
+    context = F.shiftright("key", 8 * ORDER).bitwiseAND(F.lit(1)) == 1
+    middle = F.when(context, F.col("key")).otherwise(F.shiftright("key", 8)).bitwiseAND(F.lit(0xFFFFFF))
+    return [kept.where(part_of(middle, parts) == k) for k in range(parts)]
+
+
+def collected(ratios: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and their ratios."""
+    got = ratios.toArrow()
     keys, values = got.column("key").to_numpy(), got.column("ratio").to_numpy()
     order = np.argsort(keys)
     return keys[order], values[order].astype(np.float32)
@@ -200,16 +211,53 @@ def ratios_of(model: tuple[np.ndarray, np.ndarray], gram: np.ndarray) -> np.ndar
     return out
 
 
-def features(texts: list[str | None], model) -> np.ndarray:
-    """Per text, signed roots of: the mean log ratio a symbol, the sum over the root of
-    the length, the mean in the highest stretch, and what words have beyond
-    ``TELLING``, over the number of words and ``FEW`` more."""
+def laid_out(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The gram at each symbol of all texts, and where each text's begin and end."""
     data, starts = flat(texts)
     key = grams(data)
     starts = starts - ORDER
-    ends = np.append(starts[1:], len(key))
+    return key, starts, np.append(starts[1:], len(key))
+
+
+def add_ratios(docs: DataFrame, ratios: list[DataFrame]) -> DataFrame:
+    """(doc_id, text, ratios): the log ratio of the gram at each symbol. Every part of
+    the model is sent by itself and gives the ratios of its own grams."""
+    parts = len(ratios)
+
+    def filled(k, shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for a, b in chunks(batch.column(1)):
+                    key, starts, ends = laid_out(batch.column(1)[a:b].to_pylist())
+                    ratio = (np.frombuffer(b"".join(batch.column(2)[a:b].to_pylist()), np.float32).copy() if k
+                             else np.zeros(len(key), np.float32))
+                    own = np.flatnonzero(part_of(key >> 8 & 0xFFFFFF, parts) == k)
+                    distinct, back = np.unique(key[own], return_inverse=True)
+                    ratio[own] = ratios_of(shared.value, distinct)[back]
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0)[a:b], batch.column(1)[a:b],
+                         pa.array([ratio[i:j].tobytes() for i, j in zip(starts, ends)], pa.binary())],
+                        names=["doc_id", "text", "ratios"])
+        return run
+
+    for k, part in enumerate(ratios):
+        shared = docs.sparkSession.sparkContext.broadcast(collected(part))
+        docs = stored(docs.mapInArrow(filled(k, shared), "doc_id long, text string, ratios binary"), "toxicity-ratios")
+        shared.unpersist()
+    return docs
+
+
+def features(texts: list[str | None], model) -> np.ndarray:
+    """``measures`` of texts by a whole model."""
+    key, starts, ends = laid_out(texts)
     distinct, back = np.unique(key, return_inverse=True)
-    ratio = ratios_of(model, distinct)[back]
+    return measures(key, starts, ends, ratios_of(model, distinct)[back])
+
+
+def measures(key: np.ndarray, starts: np.ndarray, ends: np.ndarray, ratio: np.ndarray) -> np.ndarray:
+    """Per text, signed roots of: the mean log ratio a symbol, the sum over the root of
+    the length, the mean in the highest stretch, and what words have beyond
+    ``TELLING``, over the number of words and ``FEW`` more."""
     total = np.concatenate([[0.0], np.cumsum(ratio, dtype=np.float64)])
     size = ends - starts
     until = np.minimum(np.arange(len(key)) + STRETCH, np.repeat(ends, size))
@@ -262,7 +310,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, model_docs: int = MODEL_D
     if not {("model", 0), ("model", 1)} <= have:
         return docs.select(F.col("doc_id").cast("long"), held, F.lit(0.0).alias("score"))
     counted = stored(count_grams(rows.where("part = 'model'")), "kn-grams")
-    shared = spark.sparkContext.broadcast(bounded(log_ratios(counted), max_grams))
+    ratios = in_parts(log_ratios(counted), max_grams)
+    shared = spark.sparkContext.broadcast(collected(ratios[0])) if len(ratios) == 1 else None
 
     names = ["mean", "root", "peak", "telling"]
 
@@ -270,22 +319,29 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, model_docs: int = MODEL_D
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for a, b in chunks(batch.column(1)):
-                    x = features(batch.column(1)[a:b].to_pylist(), shared.value)
+                    texts = batch.column(1)[a:b].to_pylist()
+                    if shared is not None:
+                        x = features(texts, shared.value)
+                    else:
+                        x = measures(*laid_out(texts), np.frombuffer(b"".join(batch.column(2)[a:b].to_pylist()), np.float32))
                     if curve is not None:
                         x = 1 / (1 + np.exp(-np.clip(curve[0] + x @ curve[1:], -700, 700)))[:, None]
                     yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], *(pa.array(c) for c in x.T.copy())],
                                                      names=["doc_id", *(names if curve is None else ["score"])])
         return run
 
+    def ready(df: DataFrame) -> DataFrame:
+        return df if shared is not None else add_ratios(df, ratios)
+
     part = "curve" if {("curve", 0), ("curve", 1)} <= have else "model"
-    known = (rows.where(F.col("part") == part).select(F.col("toxic").cast("long").alias("doc_id"), "text")
+    known = (ready(rows.where(F.col("part") == part).select(F.col("toxic").cast("long").alias("doc_id"), "text"))
              .mapInArrow(measured(None), "doc_id long, mean double, root double, peak double, telling double").toPandas().sort_values(
                  ["doc_id", *names]))
     y = known["doc_id"].to_numpy(float)
     share = sizes[1] / (sizes[0] + sizes[1])
     weight = np.where(y == 1, share / max(1, y.sum()), (1 - share) / max(1, (1 - y).sum()))
     curve = fit_curve(known[names].to_numpy(float), y, weight)
-    scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
+    scored = ready(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(
         measured(curve), "doc_id long, score double")
     return scored.select("doc_id", held, "score")
 
