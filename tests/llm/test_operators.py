@@ -251,3 +251,16 @@ def test_vectors(spark):
     assert {i: got[i]["n_links"] for i in range(len(x))} == {i: int(near[i].sum()) - 1 for i in range(len(x))}
     assert all(got[i]["component_id"] == got[j]["component_id"] for i, j in pairs)
     assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in (900, 901, 902, 903))
+
+
+def test_vectors_linked_across_lists(spark):
+    rng = np.random.default_rng(11)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    base = unit(rng.normal(size=(3000, 64)))
+    away = unit((w := rng.normal(size=base.shape)) - (w * base).sum(1, keepdims=True) * base)
+    cosine = rng.uniform(.9001, .91, (3000, 1))
+    x = np.concatenate([base, cosine * base + np.sqrt(1 - cosine ** 2) * away])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    near = unit(x) @ unit(x).T >= .9
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in pq.near_duplicates(df, probes=2).collect()}
+    assert got == {i: (int(near[i].sum()) - 1, i % 3000) for i in range(len(x))}

@@ -1,14 +1,16 @@
 """Near-duplicate vectors by product quantisation.
 
 Unit vectors are assigned to coarse inverted lists; the residual to the list's
-centre is coded per subspace. A query visits its nearest lists, estimates
-distances by asymmetric table lookup, and every vector whose estimate is within
-the link distance plus that vector's own coding error (stored with the code, so
-the estimate drops no link) is compared by exact cosine.
-
-Equal vectors form one class first and travel once, with their number. Lists are
-cut into blocks and their visitors too, so a dense list is spread over many
-tasks; a task returns link counts and a spanning forest, never all its pairs.
+centre is coded per subspace. A query visits every list that can hold a vector within
+the link distance, and its nearest ones at least. It estimates distances by asymmetric
+table lookup, and every vector whose estimate is within the link distance plus that
+vector's own coding error (stored with the code, so the estimate drops no link) is
+compared by exact cosine.
+
+Equal vectors form one class first and travel once, with their number. Small lists
+share a bin, which a query is sent to once. Bins are cut into blocks and their
+visitors too, so a dense list is spread over many tasks; a task returns link counts
+and a spanning forest, never all its pairs.
 """
 from __future__ import annotations
 
@@ -23,9 +25,9 @@ COSINE = 0.9
 SAMPLE = 20_000              # vectors the index is fitted on, at most
 LISTS = 4096                 # coarse lists, at most
 SUBSPACES, CODES = 16, 256
-PROBES = 16
+PROBES = 16                  # lists a query visits, at least
 APART = 0.5                  # centres nearer to each other are merged: a dense group is one list
-LIST_BLOCK, QUERY_BLOCK = 1024, 4096
+LIST_BLOCK, QUERY_BLOCK = 4096, 4096
 
 
 def k_means(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
@@ -64,6 +66,20 @@ class Model:
         self.cuts = np.linspace(0, dim, min(SUBSPACES, dim) + 1).astype(int)
         self.books = [k_means(residual[:, a:b], CODES, 8, 1) for a, b in zip(self.cuts, self.cuts[1:])]
 
+    def visits(self, x: np.ndarray, own: np.ndarray, radius: float, probes: int) -> np.ndarray:
+        """Vectors by lists: which lists may hold a vector within ``radius``, given the
+        vectors' own lists. A member is no nearer to another centre than to its own, and
+        the difference of the squares of these distances changes by at most
+        2 * radius * (distance of the centres) on the way."""
+        d = squared(x, self.centres)
+        apart = np.sqrt(squared(self.centres[own], self.centres))
+        to = d - d[np.arange(len(x)), own][:, None] <= 2 * radius * apart
+        if probes < d.shape[1]:
+            to[np.arange(len(x))[:, None], np.argpartition(d, probes - 1, axis=1)[:, :probes]] = True
+        else:
+            to[:] = True
+        return to
+
     def code(self, residual: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of residuals, and the error each is coded with."""
         codes = np.empty((len(residual), len(self.books)), np.uint8)
@@ -85,6 +101,21 @@ def vectors_of(column: pa.Array, dim: int) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(-1, dim)
 
 
+def bins_of(centres: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """The bin of each list: lists that follow each other along the centres' main
+    direction share one of about ``LIST_BLOCK`` vectors."""
+    middle = centres - centres.mean(0)
+    order = np.argsort(middle @ np.linalg.svd(middle, full_matrices=False)[2][0], kind="stable")
+    out = np.empty(len(centres), np.int64)
+    bin_, size = 0, 0
+    for k in order.tolist():
+        if size and size + held[k] > LIST_BLOCK:
+            bin_, size = bin_ + 1, 0
+        out[k] = bin_
+        size += held[k]
+    return out
+
+
 def components(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """Smallest node reachable, over edges among n nodes."""
     label = np.arange(n)
@@ -148,32 +179,51 @@ def _link_dimension(classes: DataFrame, dim: int, rows: int, least: float, probe
             v = vectors_of(batch.column(1), dim)
             v = v / np.abs(v).max(1, keepdims=True)
             v /= np.linalg.norm(v, axis=1, keepdims=True)
-            d = squared(v, m.centres)
-            near = np.argsort(d, axis=1, kind="stable")[:, :probes]
-            codes, error = m.code(v - m.centres[near[:, 0]])
+            own = nearest(v, m.centres)[0]
+            codes, error = m.code(v - m.centres[own])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array([r.tobytes() for r in v], pa.binary()),
-                 pa.array([r.tobytes() for r in codes], pa.binary()), pa.array(error),
-                 pa.array(near.tolist(), pa.list_(pa.int64()))], names=["rep", "n", "unit", "codes", "error", "lists"])
+                 pa.array([r.tobytes() for r in codes], pa.binary()), pa.array(error), pa.array(own)],
+                names=["rep", "n", "unit", "codes", "error", "list"])
 
     rows_ = stored(classes.select("rep", "v", "n").mapInArrow(
-        assign, "rep long, n long, unit binary, codes binary, error double, lists array<long>"), "pq-index")
-    visits = rows_.select(F.explode("lists").alias("list")).groupBy("list").agg(
-        F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("query_blocks"))
-    stocks = rows_.groupBy(F.col("lists")[0].alias("list")).agg(
-        F.ceil(F.count("*") / LIST_BLOCK).cast("int").alias("list_blocks"))
-    size = F.broadcast(stored(visits.join(stocks, "list"), "pq-lists"))               # LISTS rows at most
+        assign, "rep long, n long, unit binary, codes binary, error double, list long"), "pq-index")
+    held = np.zeros(len(model.centres), np.int64)
+    for r in rows_.groupBy("list").count().collect():                                 # LISTS rows at most
+        held[r["list"]] = r["count"]
+    bins = bins_of(model.centres, held)
+    radius = (2 - 2 * least) ** 0.5 + 1e-4
+
+    def visit(batches):
+        m = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                x = np.frombuffer(b"".join(part.column(1).to_pylist())).reshape(-1, dim)
+                to = m.visits(x, part.column(2).to_numpy(), radius, probes)
+                query, to = np.nonzero(to)
+                query, to = np.unique(np.column_stack([query, bins[to]]), axis=0).T
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(query)) for c in part.columns), pa.array(to)],
+                                                 names=["rep", "unit", "own", "bin"])
+
+    of_list = spark.createDataFrame([(i, int(b)) for i, b in enumerate(bins)], "list long, bin long")
+    rows_ = rows_.join(F.broadcast(of_list), "list")                                  # LISTS rows at most
+    visitors = stored(rows_.select("rep", "unit", "list").mapInArrow(
+        visit, "rep long, unit binary, own long, bin long"), "pq-visits")
+    size = F.broadcast(stored(
+        visitors.groupBy("bin").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("query_blocks"))
+        .join(rows_.groupBy("bin").agg(F.ceil(F.count("*") / LIST_BLOCK).cast("int").alias("list_blocks")), "bin"),
+        "pq-bins"))                                                                   # LISTS rows at most
 
     def block(n, salt):
         return F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n)).cast("int")
 
-    stock = (rows_.withColumn("list", F.col("lists")[0]).join(size, "list").withColumn("i", block("list_blocks", 1))
+    stock = (rows_.join(size, "bin").withColumn("i", block("list_blocks", 1))
              .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)))
-             .select("list", "i", "j", "rep", "n", "unit", "codes", "error"))
-    queries = (rows_.withColumn("list", F.explode("lists")).join(size, "list").withColumn("j", block("query_blocks", 2))
+             .select("bin", "i", "j", "rep", "n", "unit", "codes", "error", "list"))
+    queries = (visitors.join(size, "bin").withColumn("j", block("query_blocks", 2))
                .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("list_blocks") - 1)))
-               .select(*(F.col(c).alias("q_" + c) for c in ("list", "i", "j", "rep", "unit"))))
-    radius = (2 - 2 * least) ** 0.5 + 1e-4
+               .select(*(F.col(c).alias("q_" + c) for c in ("bin", "i", "j", "rep", "unit", "own"))))
 
     def compare(q: pa.Table, s: pa.Table) -> pa.Table:
         kind, a, b = [], [], []
@@ -184,14 +234,19 @@ def _link_dimension(classes: DataFrame, dim: int, rows: int, least: float, probe
             codes = np.frombuffer(b"".join(s.column("codes").to_pylist()), np.uint8).reshape(len(su), -1)
             error, n = s.column("error").to_numpy(), s.column("n").to_numpy()
             ids = np.concatenate([q.column("q_rep").to_numpy(), s.column("rep").to_numpy()])
-            centre = m.centres[s.column("list")[0].as_py()]
+            own, of = q.column("q_own").to_numpy(), s.column("list").to_numpy()
+            lists = [(k, np.flatnonzero(of == k)) for k in np.unique(of)]
             x, y = [], []
             for at in range(0, len(qu), 256):
-                close = m.estimates(qu[at:at + 256] - centre, codes) <= radius + error + 1e-4
-                i, j = np.nonzero(close)
-                real = (qu[at + i] * su[j]).sum(1) >= least
-                x.append(i[real] + at)
-                y.append(j[real])
+                to = m.visits(qu[at:at + 256], own[at:at + 256], radius, probes)
+                for k, member in lists:
+                    query = np.flatnonzero(to[:, k]) + at
+                    close = m.estimates(qu[query] - m.centres[k], codes[member]) <= radius + error[member] + 1e-4
+                    i, j = np.nonzero(close)
+                    i, j = query[i], member[j]
+                    real = (qu[i] * su[j]).sum(1) >= least
+                    x.append(i[real])
+                    y.append(j[real])
             x, y = np.concatenate(x), np.concatenate(y)
             hit = np.bincount(x, n[y], len(qu)).astype(np.int64)
             seen = np.flatnonzero(hit)
@@ -204,7 +259,7 @@ def _link_dimension(classes: DataFrame, dim: int, rows: int, least: float, probe
             b = np.concatenate([hit[seen], node[label[joined]]])
         return pa.table({"kind": pa.array(kind, pa.int32()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    keys = ["list", "i", "j"]
+    keys = ["bin", "i", "j"]
     return queries.groupBy(*("q_" + k for k in keys)).cogroup(stock.groupBy(*keys)).applyInArrow(compare, "kind int, a long, b long")
 
 
