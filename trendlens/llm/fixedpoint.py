@@ -24,14 +24,15 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def floors(x: np.ndarray, scale: int, safe: int) -> np.ndarray:
-    """floor(scale * x): as int64 where every result is below ``safe`` in size, else as
+    """floor(scale * x), the product in double precision: as int64 where every result is below ``safe`` in size, else as
     Python integers, which are slower and have no limit."""
     with np.errstate(over="ignore"):
         y = np.floor(x * scale)
     if not y.size or np.abs(y).max() < safe:
         return y.astype(np.int64)
     out = np.empty(x.shape, object)
-    out.ravel()[:] = [math.floor(Fraction(v) * scale) for v in x.ravel().tolist()]
+    out.ravel()[:] = [math.floor(p) if math.isfinite(p) else math.floor(Fraction(v) * scale)
+                      for p, v in zip(y.ravel().tolist(), x.ravel().tolist())]
     return out
 
 
