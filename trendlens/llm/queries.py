@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitpack, dartminhash, fmindex, lloyd, negatives, pieces, pq, secrets, suffixsort, toxicity, urlfilter, warc
+from . import bitpack, dartminhash, fertility, fmindex, lloyd, negatives, pieces, pq, secrets, suffixsort, toxicity, urlfilter, warc
 from .common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,6 +80,12 @@ def op10_sentencepiece_backtracking(spark, sf_dir):
     return pieces.digests(pieces.encode_and_decode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model")))
 
 
+@query
+def op11_tokeniser_fertility(spark, sf_dir):
+    return fertility.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"),
+                                   tokenizer_file("byte_bpe_50k.tiktoken"), tokenizer_file("piece_bpe_32k.model"))
+
+
 @query
 def op12_active_lloyd(spark, sf_dir):
     return lloyd.digests(*lloyd.compress(table(spark, sf_dir, "embeddings")))
