@@ -1,102 +1,74 @@
-"""Distributed non-negative matrix factorisation X ~ W.H by multiplicative updates.
-
-Layout: X is the long (article_id, term, tfidf) table, persisted hash-partitioned
-by article_id; W is (article_id, w array<double>[K]); H is (term, h array<double>[K]).
-
-One iteration (Lee & Seung, squared Frobenius objective):
-  W <- W * (X.Ht) / (W.(H.Ht) + eps)      X.Ht: X join H on term, summed per document
-  H <- H * (Wt.X) / ((Wt.W).H + eps)      Wt.X: X join W on article_id, summed per term
-
-* X.Ht: H is bounded by vocabulary x K (model parameters) and broadcast when that
-  bound is small; X is already partitioned by article_id, so the per-document sum
-  needs no shuffle.
-* Wt.X: W joins X on article_id (co-partitioned), then a per-term partial
-  aggregation shuffles at most terms x K values per partition.
-* The K x K Gram matrices come out of the same mapInPandas pass that applies the
-  update (one partial per partition, summed by Spark); only K*K numbers reach the
-  driver. W and H are checkpointed to the shared checkpoint folder every iteration.
+"""Distributed non-negative matrix factorisation X ~ W.H (squared Frobenius objective).
+
+X is packed into blocks of documents (``blocks.py``); W lives as one dense row block a
+document block, H (terms x K, bounded by the model's parameters) goes out in term blocks.
+
+Start: NNDSVD (Boutsidis & Gallopoulos 2008) from a truncated SVD by a randomised range
+finder (Halko et al. 2011): a sketch of K + 10 columns, power rounds Z <- X'(X orth(Z)),
+a QR of the terms x (K + 10) sketch on the driver, and the eigenvectors of the small
+matrix (XQ)'(XQ). No document id is ever computed with, so ids may be of any type.
+
+Step: hierarchical alternating least squares (Cichocki & Phan 2009). A pass over X takes
+X.H', replaces the columns of W one by one with their exact non-negative minimisers,
+and adds up W'X and W'W; H is then updated in the same way, a chunk of terms a task. Every
+column update minimises the objective exactly, so it never rises. ``solver="mu"`` makes
+the multiplicative updates of Lee & Seung (2001) out of the same products.
 """
 from __future__ import annotations
 
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark import StorageLevel
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Summarizer
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import BROADCAST_MAX_ROWS, ensure_checkpoint_dir, text_partitions
+from .blocks import GRAM, DocBlocks, pack_docs
 
 EPS = 1e-12
-WIDE_K = 64
+OVERSAMPLE, POWER_ROUNDS = 10, 2
+SWEEPS = 3                     # column sweeps of a half step: cheap next to the pass over X
 
-# --- fixed values of the deterministic initialisation -----------------------
-INIT_DOC_MUL, INIT_TERM_MUL = 7919, 7919
-INIT_DOC_TOPIC_MUL, INIT_TERM_TOPIC_MUL = 104729, 6271
-INIT_SEED_MUL, INIT_MOD = 1000003, 1000
+# --- fixed values of the hashed start, as the SQL check has them --------------
+START_DIGITS, START_MOD = 8, 100_000
 # ---------------------------------------------------------------------------
 
 
-def init_w(doc_ids: DataFrame, n_topics: int, seed: int = 0) -> DataFrame:
-    """W0[d, k] = ((d*7919 + k*104729 + seed*1000003) mod 1000 + 1) / 1000."""
-    return doc_ids.select("article_id", F.transform(
-        F.sequence(F.lit(0), F.lit(n_topics - 1)),
-        lambda k: ((F.pmod(F.col("article_id"), F.lit(INIT_MOD)) * INIT_DOC_MUL + k * INIT_DOC_TOPIC_MUL
-                    + seed * INIT_SEED_MUL) % INIT_MOD + 1) / float(INIT_MOD)).alias("w"))
-
+def hashed_start(rows: DataFrame, key: str, name: str, n_topics: int, seed: int = 0) -> DataFrame:
+    """(key, name array): values in (0, 1] from the md5 of key, topic and seed, for keys
+    of any type and seeds of any size."""
+    def value(k):
+        text = F.concat_ws(":", F.col(key).cast("string"), k.cast("string"), F.lit(str(seed)))
+        digits = F.conv(F.substring(F.md5(text.cast("binary")), 1, START_DIGITS), 16, 10).cast("long")
+        return (digits % START_MOD + 1) / float(START_MOD)
+    return rows.select(key, F.transform(F.sequence(F.lit(0), F.lit(n_topics - 1)), value).alias(name))
 
-def init_h(terms: DataFrame, n_topics: int, seed: int = 0) -> DataFrame:
-    """H0[t, k] = ((term_id*7919 + k*6271 + seed*1000003) mod 1000 + 1) / 1000."""
-    return terms.select("term", F.transform(
-        F.sequence(F.lit(0), F.lit(n_topics - 1)),
-        lambda k: ((F.col("term_id").cast("long") * INIT_TERM_MUL + k * INIT_TERM_TOPIC_MUL
-                    + seed * INIT_SEED_MUL) % INIT_MOD + 1) / float(INIT_MOD)).alias("h"))
 
+def hals(current: np.ndarray, product: np.ndarray, gram: np.ndarray, sweeps: int = SWEEPS) -> np.ndarray:
+    """Columns of ``current`` replaced in turn by their exact non-negative minimisers,
+    given product = X.B and gram = B'B for the fixed factor B. A column of B without
+    weight leaves its column as it is."""
+    w = current.copy()
+    for _ in range(sweeps):
+        for k in np.flatnonzero(np.diag(gram) > 0):
+            w[:, k] = np.maximum(w[:, k] + (product[:, k] - w @ gram[:, k]) / gram[k, k], 0)
+    return w
 
-def _array_sum(col: str, weight: str, k: int):
-    if k <= WIDE_K:
-        return F.array(*[F.sum(F.col(col)[i] * F.col(weight)) for i in range(k)])
-    from pyspark.ml.functions import vector_to_array
-    return vector_to_array(Summarizer.sum(array_to_vector(F.col(col)), F.col(weight)))
 
+def multiplied(current: np.ndarray, product: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    return current * product / (current @ gram + EPS)
 
-def _stack(series: pd.Series, k: int) -> np.ndarray:
-    if len(series) == 0:
-        return np.zeros((0, k))
-    return np.stack([np.zeros(k) if v is None else np.asarray(v, dtype=float) for v in series])
 
+SOLVERS = {"hals": hals, "mu": multiplied}
 
-def _update_fn(key: str, cur: str, num: str, k: int, gram: np.ndarray, with_cross: bool):
-    """mapInPandas body: new = cur * num / (cur @ gram + eps); also emits one
-    partial row per partition holding new.T @ new (and sum(num * new))."""
-    def fn(batches):
-        part = np.zeros((k, k))
-        cross = 0.0
-        for pdf in batches:
-            c, n = _stack(pdf[cur], k), _stack(pdf[num], k)
-            new = c * n / (c @ gram + EPS)
-            part += new.T @ new
-            if with_cross:
-                cross += float((n * new).sum())
-            yield pd.DataFrame({key: pdf[key], "v": list(new), "part": None})
-        tail = list(part.ravel()) + [cross]
-        yield pd.DataFrame({key: [None], "v": [None], "part": [tail]})
-    return fn
 
-
-def _sum_parts(df: DataFrame, k: int) -> tuple[np.ndarray, float]:
-    row = df.filter(F.col("part").isNotNull()).agg(
-        Summarizer.sum(array_to_vector("part")).alias("s")).first()
-    s = np.asarray(row["s"].toArray()) if row and row["s"] is not None else np.zeros(k * k + 1)
-    return s[:k * k].reshape(k, k), float(s[k * k])
+def orthonormal(z: np.ndarray) -> np.ndarray:
+    return np.linalg.qr(z)[0] if z.size else z
 
 
 @dataclass
 class NMFResult:
-    W: DataFrame            # (article_id, w array<double>)
+    W: DataFrame            # (article_id, w array<double>), a row for every document
     H: DataFrame            # (term, h array<double>)
     history: DataFrame      # (iteration, objective)
     n_topics: int
@@ -107,91 +79,187 @@ class NMFResult:
             "topic", "term", "weight")
 
 
-class MultiplicativeNMF:
-    """Driver loop of Spark jobs; see module docstring for the plan."""
+class TopicFactors:
+    """Driver loop of Spark jobs; see the module docstring for the plan."""
 
     def __init__(self, doc_terms: DataFrame, terms: DataFrame, n_topics: int, seed: int = 0,
-                 max_features: int | None = None):
-        self.spark = doc_terms.sparkSession
-        ensure_checkpoint_dir(self.spark)
-        self.k = n_topics
-        self.seed = seed
-        n = self.n = text_partitions(self.spark)
-        self.X = (doc_terms.select("article_id", "term", F.col("tfidf").alias("x"))
-                  .repartition(n, "article_id").persist(StorageLevel.MEMORY_AND_DISK))
+                 max_features: int | None = None, docs: DataFrame | None = None, init: str = "nndsvd",
+                 solver: str = "hals"):
+        self.spark, self.k, self.seed, self.init, self.solver = doc_terms.sparkSession, n_topics, seed, init, SOLVERS[solver]
         self.terms = terms.select("term", "term_id")
-        bound = max_features if max_features is not None else None
-        self.broadcast_h = bound is not None and bound * n_topics <= BROADCAST_MAX_ROWS * 8
-        self.xx = float(self.X.agg(F.sum(F.col("x") * F.col("x"))).first()[0] or 0.0)
-
-    def _gram(self, df: DataFrame, col: str) -> np.ndarray:
+        start = None
+        if init == "hash":
+            own = doc_terms.select("article_id") if docs is None else docs.select("article_id")
+            start = hashed_start(own.distinct(), "article_id", "w", n_topics, seed)
+        elif init != "nndsvd":
+            raise ValueError(f"unknown start {init!r}")
+        self.packed = pack_docs(doc_terms, terms, docs, max_features, start)
+        size = self.terms.agg(F.max("term_id").alias("last")).first()["last"]
+        self.x = DocBlocks(self.packed, 0 if size is None else size + 1)
+        self.xx = float(doc_terms.join(F.broadcast(self.terms) if max_features else self.terms, "term").agg(
+            F.sum(F.col("tfidf") * F.col("tfidf"))).first()[0] or 0.0)
+
+    def svd(self) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+        """(state with B = X.Q, R, singular values): B.R has the left vectors, scaled by the
+        values, of the K largest; the right vectors are Q.R."""
+        x, columns = self.x, min(self.k + OVERSAMPLE, self.x.n_terms)
+        z = orthonormal(np.random.default_rng(abs(self.seed)).standard_normal((x.n_terms, columns)))
+        for _ in range(1 + POWER_ROUNDS):
+            state = x.run(z, _product)
+            z = orthonormal(x.transposed(state, columns))
+        state = x.run(z, _product, transposed=False, gram=True)
+        values, vectors = np.linalg.eigh(x.gram(state, columns))
+        order = np.argsort(-values)[:self.k]
+        self.basis = z
+        return state, vectors[:, order], np.sqrt(np.maximum(values[order], 0))
+
+    def start(self) -> tuple[DataFrame, np.ndarray]:
+        """(state with W, H as terms x K)."""
         k = self.k
-        outer = F.flatten(F.transform(F.col(col), lambda a: F.transform(F.col(col), lambda b: a * b)))
-        row = df.agg(Summarizer.sum(array_to_vector(outer)).alias("s")).first()
-        return np.asarray(row["s"].toArray()).reshape(k, k)
-
-    def step_w(self, W: DataFrame, H: DataFrame, hht: np.ndarray) -> tuple[DataFrame, np.ndarray]:
-        h = F.broadcast(H) if self.broadcast_h else H
-        xht = (self.X.join(h, "term").groupBy("article_id")
-               .agg(_array_sum("h", "x", self.k).alias("xht")))
-        joined = W.join(xht, "article_id", "left")
-        out = joined.mapInPandas(_update_fn("article_id", "w", "xht", self.k, hht, False),
-                                 "article_id long, v array<double>, part array<double>")
-        out = out.checkpoint(eager=True)
-        wtw, _ = _sum_parts(out, self.k)
-        W_new = out.filter(F.col("article_id").isNotNull()).select("article_id", F.col("v").alias("w"))
-        return W_new, wtw
-
-    def step_h(self, W: DataFrame, H: DataFrame, wtw: np.ndarray) -> tuple[DataFrame, np.ndarray, float]:
-        wtx = (self.X.join(W, "article_id").groupBy("term")
-               .agg(_array_sum("w", "x", self.k).alias("wtx")))
-        joined = H.join(wtx, "term", "left")
-        out = joined.mapInPandas(_update_fn("term", "h", "wtx", self.k, wtw, True),
-                                 "term string, v array<double>, part array<double>")
-        out = out.checkpoint(eager=True)
-        hht, cross = _sum_parts(out, self.k)
-        H_new = out.filter(F.col("term").isNotNull()).select("term", F.col("v").alias("h"))
-        return H_new, hht, cross
-
-    def init(self) -> tuple[DataFrame, DataFrame]:
-        W = init_w(self.X.select("article_id").distinct(), self.k, self.seed).checkpoint(eager=True)
-        H = init_h(self.terms, self.k, self.seed).checkpoint(eager=True)
-        return W, H
+        if self.init == "hash":
+            h = np.zeros((self.x.n_terms, k))
+            for r in hashed_start(self.terms, "term", "h", k, self.seed).join(self.terms, "term").toLocalIterator():
+                h[r["term_id"]] = r["h"]
+            return self.packed.select("block", F.col("start").alias("dense")), h
+        state, turn, values = self.svd()
+        some = values > EPS * max(1.0, values.max(initial=0))
+        turn = turn[:, some] / values[some]                          # B.turn has unit columns
+        right = self.basis @ (turn * values[some])
+        columns = right.shape[1]
+        sides = state.where("block is not null").select("dense").mapInArrow(
+            _sides(turn), "part binary").select(F.lit(GRAM).alias("chunk"), "part")
+        sums = self.x.merged(sides, True).first()
+        up, down = np.frombuffer(sums["part"]).reshape(2, columns) if sums else np.zeros((2, columns))
+        r_up, r_down = (np.maximum(right, 0) ** 2).sum(0), (np.maximum(-right, 0) ** 2).sum(0)
+        sign = np.where(up * r_up >= down * r_down, 1.0, -1.0)
+        norm_u, norm_r = np.sqrt(np.where(sign > 0, up, down)), np.sqrt(np.where(sign > 0, r_up, r_down))
+        scale = np.sqrt(values[some] * norm_u * norm_r)
+        h, turn_w = np.zeros((self.x.n_terms, k)), np.zeros((turn.shape[0], k))
+        h[:, :columns] = np.maximum(right * sign, 0) * scale / np.maximum(norm_r, EPS)
+        turn_w[:, :columns] = turn * sign * scale / np.maximum(norm_u, EPS)
+        rows = state.where("block is not null").select("block", "dense").mapInArrow(_started(turn_w), "block long, dense binary")
+        return rows, h
+
+    def step_w(self, state: DataFrame, h: np.ndarray) -> tuple[DataFrame, np.ndarray]:
+        """(state with the new W and the parts of W'X, W'W)."""
+        gram, solver = h.T @ h, self.solver
+        state = self.x.run(h, lambda w, xh: solver(w, xh, gram), state, gram=True)
+        return state, self.x.gram(state, self.k)
+
+    def step_h(self, state: DataFrame, h: np.ndarray, wtw: np.ndarray) -> tuple[np.ndarray, DataFrame, float]:
+        """(H, its chunks, the sum of W'X o H). Terms are updated where their W'X is merged;
+        a term that no document has goes to zero."""
+        k, solver, chunk = self.k, self.solver, self.x.chunk_terms(self.k)
+        sent = self.x.sent(h)
+
+        def run(batches):
+            for batch in batches:
+                for c, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    low, own = next((b for b in reversed(sent) if b[0] <= c * chunk))
+                    wtx = np.frombuffer(part).reshape(-1, k)
+                    new = solver(own.value[c * chunk - low:c * chunk - low + len(wtx)], wtx, wtw)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([c], pa.int32()), pa.array([new.tobytes()], pa.binary()), pa.array([float((new * wtx).sum())])],
+                        names=["chunk", "h", "cross"])
+        chunks = self.x.merged(state, False).mapInArrow(run, "chunk int, h binary, cross double").checkpoint(eager=True)
+        new, cross = np.zeros_like(h), 0.0
+        for r in chunks.collect():                                   # terms x K numbers, a model parameter
+            part = np.frombuffer(r["h"]).reshape(-1, k)
+            new[r["chunk"] * chunk:r["chunk"] * chunk + len(part)] = part
+            cross += r["cross"]
+        return new, chunks, cross
+
+    def terms_of(self, chunks: DataFrame | None) -> DataFrame:
+        """(term, h array<double>) of every term of the vocabulary."""
+        k, chunk = self.k, self.x.chunk_terms(self.k)
+
+        def run(batches):
+            for batch in batches:
+                for c, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    values = np.frombuffer(part)
+                    n = len(values) // k
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.arange(n) + c * chunk, pa.int32()),
+                         pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * k, pa.int32()), pa.array(values))],
+                        names=["term_id", "h"])
+        rows = (chunks.select("chunk", "h").mapInArrow(run, "term_id int, h array<double>") if chunks is not None
+                else self.spark.createDataFrame([], "term_id int, h array<double>"))
+        zeros = F.array_repeat(F.lit(0.0), k)
+        return self.terms.join(rows, "term_id", "left").select("term", F.coalesce("h", zeros).alias("h"))
 
     def fit(self, max_iter: int = 200, tol: float = 1e-4) -> NMFResult:
-        W, H = self.init()
-        hht = self._gram(H, "h")
-        history = []
-        prev = None
-        for it in range(1, max_iter + 1):
-            W, wtw = self.step_w(W, H, hht)
-            H, hht, cross = self.step_h(W, H, wtw)
-            obj = self.xx - 2.0 * cross + float((wtw * hht).sum())
-            history.append((it, obj))
-            if prev is not None and prev > 0 and (prev - obj) / prev < tol:
+        """Iterate until the objective falls by less than ``tol`` of itself, or
+        ``max_iter`` times. An empty X has zeros in W and H and no history."""
+        history, chunks, before = [], None, None
+        state, h = self.start() if self.xx > 0 else (None, None)
+        for it in range(1, (max_iter if self.xx > 0 else 0) + 1):
+            state, wtw = self.step_w(state, h)
+            h, chunks, cross = self.step_h(state, h, wtw)
+            now = max(0.0, self.xx - 2.0 * cross + float((wtw * (h.T @ h)).sum()))
+            history.append((it, now))
+            if now == 0 or before is not None and (before - now) / before < tol:
                 break
-            prev = obj
-        hist = self.spark.createDataFrame(history, "iteration int, objective double")
+            before = now
+        if state is None:
+            k = self.k
+            state = self.packed.select("block", "ids").mapInArrow(_zeros(k), "block long, dense binary")
+        w = self.x.rows(state)
+        result = NMFResult(w, self.terms_of(chunks), self.spark.createDataFrame(history, "iteration int, objective double"), self.k)
         self.close()
-        return NMFResult(W, H, hist, self.k)
+        return result
 
     def close(self) -> None:
-        """Release the cached X (W and H live in checkpoint files)."""
-        self.X.unpersist()
+        """Release the kept blocks (W and H live in checkpoint files)."""
+        self.x.close()
+
+
+def _product(_, y):
+    return y
+
+
+def _sides(turn: np.ndarray):
+    """Per task: the squares of the positive and of the negative sides of B.turn."""
+    def run(batches):
+        total = np.zeros((2, turn.shape[1]))
+        for batch in batches:
+            for dense in batch.column(0).to_pylist():
+                u = np.frombuffer(dense).reshape(-1, turn.shape[0]) @ turn
+                total += [(np.maximum(u, 0) ** 2).sum(0), (np.maximum(-u, 0) ** 2).sum(0)]
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
+    return run
+
+
+def _started(turn: np.ndarray):
+    def run(batches):
+        for batch in batches:
+            dense = [np.maximum(np.frombuffer(d).reshape(-1, turn.shape[0]) @ turn, 0).tobytes() for d in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(dense, pa.binary())], names=["block", "dense"])
+    return run
+
+
+def _zeros(k: int):
+    def run(batches):
+        for batch in batches:
+            dense = [np.zeros(len(ids) * k).tobytes() for ids in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(dense, pa.binary())], names=["block", "dense"])
+    return run
 
 
 def nmf_fit(doc_terms: DataFrame, terms: DataFrame, n_topics: int = 20, max_iter: int = 200,
-            tol: float = 1e-4, seed: int = 0, max_features: int | None = None) -> NMFResult:
-    """Factorise X (doc_terms) into W (documents x K) and H (K x terms)."""
-    return MultiplicativeNMF(doc_terms, terms, n_topics, seed, max_features).fit(max_iter, tol)
+            tol: float = 1e-4, seed: int = 0, max_features: int | None = None, docs: DataFrame | None = None,
+            init: str = "nndsvd", solver: str = "hals") -> NMFResult:
+    """Factorise X (doc_terms) into W (documents x K) and H (K x terms). ``docs``
+    (article_id) gives documents without vocabulary terms their (zero) row of W."""
+    return TopicFactors(doc_terms, terms, n_topics, seed, max_features, docs, init, solver).fit(max_iter, tol)
 
 
 def nmf_step(doc_terms: DataFrame, terms: DataFrame, n_topics: int, seed: int = 0,
-             max_features: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """One multiplicative update from the deterministic initialisation: (W1, H1)."""
-    m = MultiplicativeNMF(doc_terms, terms, n_topics, seed, max_features)
-    W, H = m.init()
-    W1, wtw = m.step_w(W, H, m._gram(H, "h"))
-    H1, _, _ = m.step_h(W1, H, wtw)
+             max_features: int | None = None, solver: str = "mu") -> tuple[DataFrame, DataFrame]:
+    """One update of W, then of H, from the hashed start: (W1, H1)."""
+    m = TopicFactors(doc_terms, terms, n_topics, seed, max_features, init="hash", solver=solver)
+    state, h = m.start()
+    state, wtw = m.step_w(state, h)
+    _, chunks, _ = m.step_h(state, h, wtw)
+    out = m.x.rows(state), m.terms_of(chunks)
     m.close()
-    return W1, H1
+    return out

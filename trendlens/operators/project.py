@@ -9,13 +9,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import doc_word_count
-from ..session import BROADCAST_MAX_ROWS, broadcast_small, text_partitions
+from ..session import broadcast_small, text_partitions
+from .blocks import BROADCAST_BYTES, DocBlocks, pack_docs
 from .tfidf import TfidfModel, l2_normalise, vocab_term_weights
 
 # K above which the per-topic sums use the vector aggregate instead of K columns
@@ -51,14 +53,18 @@ def topic_matrix(topic_terms: DataFrame, n_topics: int) -> DataFrame:
 
 
 def _bounded(model: TopicModel) -> bool:
+    """Whether H, as rows of K numbers, may be broadcast."""
     mf = model.tfidf.max_features
-    return mf is not None and mf * max(model.n_topics, 1) <= BROADCAST_MAX_ROWS * 8
+    return mf is not None and mf * max(model.n_topics, 1) * 8 <= BROADCAST_BYTES
 
 
 def project_topics(doc_terms: DataFrame, model: TopicModel) -> DataFrame:
     """(article_id, weights) = sum over terms of tfidf * h; documents without any
-    vocabulary term have no row here (see ``store_topic_weights`` for the spine)."""
+    vocabulary term have no row here (see ``store_topic_weights`` for the spine).
+    Where H is too large to broadcast, X is packed and multiplied by term blocks."""
     k = model.n_topics
+    if model.tfidf.max_features is not None and not _bounded(model):
+        return project_blocks(doc_terms, model)
     h = topic_matrix(model.topic_terms, k)
     h = F.broadcast(h) if _bounded(model) else h
     x = doc_terms.join(h, "term")
@@ -69,6 +75,26 @@ def project_topics(doc_terms: DataFrame, model: TopicModel) -> DataFrame:
     return x.groupBy("article_id").agg(agg.alias("weights"))
 
 
+def project_blocks(doc_terms: DataFrame, model: TopicModel) -> DataFrame:
+    """``project_topics`` by the blocked product: H (terms x K, a model parameter) goes
+    out in term blocks, a task holds one of them at a time."""
+    terms = model.tfidf.vocab.select("term", "term_id")
+    size = terms.agg(F.max("term_id")).first()[0]
+    h = np.zeros((0 if size is None else size + 1, model.n_topics))
+    for r in model.topic_terms.join(terms, "term").select("term_id", "topic", "weight").toLocalIterator():
+        h[r["term_id"], r["topic"]] = r["weight"]
+    x = DocBlocks(pack_docs(doc_terms, terms, max_features=model.tfidf.max_features), len(h))
+    out = x.rows(x.run(h, lambda _, y: y, transposed=False), "weights")
+    x.close()
+    return out
+
+
+def join_relevance(docs: DataFrame, relevance: DataFrame) -> DataFrame:
+    """(article_id, clean_text, relevance): inner join of texts and relevances by id."""
+    return docs.select("article_id", "clean_text").join(
+        relevance.select("article_id", F.col("relevance").cast("double").alias("relevance")), "article_id")
+
+
 def normalise_weights(weights, n_words, normalize: str = "linear"):
     if normalize == "linear":
         return F.transform(weights, lambda w: w / n_words)

@@ -138,12 +138,13 @@ def weights_sum(doc_topics: DataFrame) -> DataFrame:
 
 
 def article_relevance(doc_topics: DataFrame, topics: DataFrame) -> DataFrame:
-    """(article_id, value): sum over topics of weight x topic relevance. The
-    relevance vector (K values, a model parameter) is broadcast."""
-    long = doc_topics.select("article_id", F.posexplode("weights").alias("topic", "weight"))
-    rel = broadcast_small(topics.select("topic", F.col("relevance").cast("double")))
-    return (long.join(rel, "topic").groupBy("article_id")
-            .agg(F.sum(F.col("weight") * F.col("relevance")).alias("value")))
+    """(article_id, value): sum over topics of weight x topic relevance, inside each row.
+    The relevance vector (a number a topic of the model) becomes a literal; topics
+    without one count 0."""
+    known = {r["topic"]: r["r"] for r in topics.select("topic", F.col("relevance").cast("double").alias("r")).collect()}
+    vector = F.array(*[F.lit(float(known.get(k) or 0.0)) for k in range(max(known, default=-1) + 1)]).cast("array<double>")
+    products = F.zip_with("weights", vector, lambda w, r: F.coalesce(w * r, F.lit(0.0)))
+    return doc_topics.select("article_id", F.aggregate(products, F.lit(0.0), lambda a, x: a + x).alias("value"))
 
 
 def records_by_month(articles: DataFrame, predicate=None) -> DataFrame:

@@ -8,12 +8,14 @@ from ..functions.text import doc_word_count, ngrams, vector_tokens
 from ..operators import filters as FL
 from ..operators import topic_stats as TS
 from ..operators import topic_terms as TT
-from ..operators.project import (filter_unscored, load_model, project_topics,
+from ..operators.project import (filter_unscored, join_relevance, project_topics,
                                  store_topic_weights)
 from ..operators.tfidf import l2_norm_per_doc, term_df_ctf, term_frequencies, partition_docs
 from ..operators.tfidf import tfidf_transform
 from ..operators.windows import rank_topics_per_doc, rolling_month_mean, share_of_total
+from ..session import scratch_path
 from ..sources.fixtures import FIXTURE_NGRAMS, MODEL_NAME, build_fixture, corpus
+from ..sources.model_store import open_model, save_model
 from .catalog import register
 from .oracle import fixture_sql, word_count_expr, _ngram_expr
 from .queries_core import r6
@@ -172,9 +174,7 @@ FROM carts c JOIN rel r USING (article_id) WHERE c.clean_text IS NOT NULL"""))
 def q_join_relevance(spark, sf):
     fx = fx_(spark, sf)
     rel = TS.article_relevance(fx.raw_doc_topics, fx.topics).withColumnRenamed("value", "relevance")
-    docs = corpus(fx.articles)
-    return docs.join(rel, "article_id").select("article_id", "clean_text",
-                                               r6("relevance").alias("relevance"))
+    return join_relevance(corpus(fx.articles), rel).withColumn("relevance", r6("relevance"))
 
 
 # ------------------------------------------------------------------ rankings
@@ -273,7 +273,9 @@ SELECT k.new_topic AS topic, t.term, round(t.weight, 6) AS weight
 FROM topic_terms t JOIN kept k USING (topic)"""))
 def q_load_model(spark, sf):
     fx = fx_(spark, sf)
-    m = load_model(fx.tfidf, fx.topic_terms, fx.topics)
+    path = scratch_path(spark, "model")
+    save_model(fx.model, path, model_name=MODEL_NAME)
+    m = open_model(spark, path, fx.topics)
     return m.topic_terms.select("topic", "term", r6("weight").alias("weight"))
 
 
