@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from trendlens.functions.dates import normalise_vector
 from trendlens.operators.ingest import upsert_articles
-from trendlens.operators.nmf import init_w
+from trendlens.operators.nmf import hashed_start
 from trendlens.operators.topic_terms import sample_topics, topic_top_terms
 from trendlens.operators.windows import share_of_total
 from trendlens.sources import fixtures
@@ -33,10 +33,12 @@ def test_sample_topics_follows_its_seed(spark):
     assert len(picks) > 3
 
 
-def test_nmf_start_takes_any_id(spark):
-    ids = spark.createDataFrame([(-5,), (10**16,), (3,)], "article_id long")
-    for r in init_w(ids, 3).collect():
-        assert all(0 < x <= 1 for x in r["w"])
+def test_nmf_start_takes_any_id_and_seed(spark):
+    for kind, ids in (("long", [(-5,), (10**16,), (3,), (1003,)]), ("string", [("a",), ("",), ("nyt://1",), ("é",)])):
+        df = spark.createDataFrame(ids, f"article_id {kind}")
+        starts = [tuple(sorted(tuple(r["w"]) for r in hashed_start(df, "article_id", "w", 3, s).collect())) for s in (0, 1000, 2**70)]
+        assert all(0 < x <= 1 for s in starts for w in s for x in w)
+        assert len(set(starts)) == 3 and all(len(set(s)) == 4 for s in starts)
 
 
 def test_stage_tables_are_not_kept_across_applications():

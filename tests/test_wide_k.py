@@ -1,27 +1,10 @@
 """The vector-aggregate path used above K = 64 gives the same sums as the
 per-topic columns."""
 import numpy as np
-from pyspark.sql import functions as F
-
-from trendlens.operators import nmf as N
 from trendlens.operators import project as P
 from trendlens.operators.tfidf import TfidfModel
 
 
-def test_array_sum_paths_agree(spark):
-    rows = [(d, [float(d + k) for k in range(5)], 0.5 * d) for d in range(1, 7)]
-    df = spark.createDataFrame(rows, "g long, h array<double>, x double").withColumn("g", F.col("g") % 2)
-    narrow = {r["g"]: r["s"] for r in df.groupBy("g").agg(N._array_sum("h", "x", 5).alias("s")).collect()}
-    old = N.WIDE_K
-    try:
-        N.WIDE_K = 0
-        wide = {r["g"]: r["s"] for r in df.groupBy("g").agg(N._array_sum("h", "x", 5).alias("s")).collect()}
-    finally:
-        N.WIDE_K = old
-    for g in narrow:
-        assert np.allclose(narrow[g], wide[g])
-
-
 def test_project_topics_paths_agree(spark):
     x = spark.createDataFrame([(1, "a", 0.6), (1, "b", 0.8), (2, "b", 1.0)],
                               "article_id long, term string, tfidf double")

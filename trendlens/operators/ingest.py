@@ -7,29 +7,35 @@ rather than sorted in one task.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.dates import date_digits
 from ..functions.text import clean_tokenize
-from ..sources.tables import ARTICLE_SCHEMA
+from ..sources.tables import ARTICLE_SCHEMA, DERIVED, landed_schema
 from .filters import filter_needs_body
+from .html import DEFAULT_RULES, extract_body
 
 ARTICLE_COLUMNS = [f.name for f in ARTICLE_SCHEMA.fields]
 
 
-def land_articles(pages: DataFrame, max_pages: int = 10) -> DataFrame:
-    """Flatten landed search pages (query, page, response) into article records.
+PAGE_SIZE = 10                 # results a page of the search
 
-    Per query only pages 0 .. min(max_pages-1, hits // 10) are kept, as the
-    pager requested no further pages. Adds (query, page, pos) lineage columns."""
-    limit = F.least(F.lit(max_pages), F.col("response.meta.hits") / 10 + 1)
-    kept = pages.filter(F.col("page") < F.floor(limit))
-    docs = kept.select("query", "page", F.posexplode("response.docs").alias("pos", "d"))
-    return docs.select(
-        "query", "page", "pos",
-        *[F.col(f"d.{c}").alias(c) for c in ARTICLE_COLUMNS
-          if c not in ("full_text", "failed_scrape", "clean_text")])
+
+def read_landed(spark: SparkSession, path: str, id_type: T.DataType = T.StringType()) -> DataFrame:
+    """Landed search results (JSON lines) with a fixed schema."""
+    return spark.read.schema(landed_schema(id_type)).json(path)
+
+
+def land_articles(landed: DataFrame, max_pages: int = 10) -> DataFrame:
+    """(query, page, pos, article columns) of the landed records that the pager takes: the
+    pages 0 .. min(max_pages - 1, hits // 10) of each query."""
+    pages = F.least(F.lit(max_pages).cast("long"), F.floor(F.col("hits") / PAGE_SIZE).cast("long") + 1)
+    kept = landed.where(F.col("position") < pages * PAGE_SIZE)
+    return kept.select("query", F.floor(F.col("position") / PAGE_SIZE).cast("int").alias("page"),
+                       (F.col("position") % PAGE_SIZE).cast("int").alias("pos"),
+                       *(c for c in ARTICLE_COLUMNS if c not in DERIVED))
 
 
 def ingest_cursor(landed: DataFrame) -> DataFrame:
@@ -68,43 +74,63 @@ def semi_join_in_table(batch: DataFrame, articles: DataFrame) -> DataFrame:
     return batch.join(articles.select("web_url"), "web_url", "left_semi")
 
 
-def upsert_articles(existing: DataFrame, batch: DataFrame,
-                    order_col: str = "batch_pos") -> tuple[DataFrame, DataFrame]:
-    """Insert batch records with a new web_url (first per URL wins), with an empty
-    body; an existing record with the same id is replaced whole, and of several
-    new URLs under one id the last in the batch stays.
-
-    Returns (articles snapshot, ignored ids)."""
+def new_articles(existing: DataFrame, batch: DataFrame, order_col: str = "batch_pos") -> tuple[DataFrame, DataFrame]:
+    """(rows to insert, ignored ids): batch records with a new web_url (first per URL
+    wins), with an empty body; of several new URLs under one id the last in the batch stays."""
     first = first_per_url(batch, order_col)
     new = anti_join_new(first, existing)
     cols = [c for c in new.columns if c != "article_id"]
     last = (new.groupBy("article_id").agg(F.max_by(F.struct(*cols), F.struct(order_col, "web_url")).alias("r"))
             .select("article_id", "r.*"))
-    new_rows = last.select(
+    rows = last.select(
         *[(F.lit("").alias(c) if c == "full_text"
            else F.lit(None).cast(ARTICLE_SCHEMA[c].dataType).alias(c)
            if c in ("failed_scrape", "clean_text") else F.col(c))
           for c in ARTICLE_COLUMNS])
-    kept = existing.select(*ARTICLE_COLUMNS).join(new_rows.select("article_id"), "article_id",
-                                                  "left_anti")
-    snapshot = kept.unionByName(new_rows)
     ignored = (batch.select("article_id", order_col)
                .join(last.select("article_id", order_col), ["article_id", order_col], "left_anti")
                .select("article_id").distinct())
-    return snapshot, ignored
+    return rows, ignored
+
+
+def upsert_articles(existing: DataFrame, batch: DataFrame,
+                    order_col: str = "batch_pos") -> tuple[DataFrame, DataFrame]:
+    """Insert the new records of a batch (``new_articles``); an existing record with the
+    same id is replaced whole. Returns (articles snapshot, ignored ids)."""
+    rows, ignored = new_articles(existing, batch, order_col)
+    kept = existing.select(*ARTICLE_COLUMNS).join(rows.select("article_id"), "article_id", "left_anti")
+    return kept.unionByName(rows), ignored
+
+
+def one_body_per_url(bodies: DataFrame) -> DataFrame:
+    """(web_url, body): a URL that several pages have keeps one body, the last in text
+    order, so any body wins over an empty one."""
+    return bodies.groupBy("web_url").agg(F.max("body").alias("body"))
 
 
 def join_body(articles: DataFrame, bodies: DataFrame) -> DataFrame:
-    """Left join extracted bodies (web_url, body) onto articles."""
-    return articles.join(bodies.select("web_url", "body"), "web_url", "left")
+    """Left join extracted bodies (web_url, body) onto articles, one a URL."""
+    return articles.join(one_body_per_url(bodies), "web_url", "left")
+
+
+def bodies_of(wanted: DataFrame, pages: DataFrame, rules=DEFAULT_RULES) -> DataFrame:
+    """(web_url, body) for the URLs of ``wanted``: pages (web_url, html) nobody asks for
+    are dropped before they are parsed."""
+    asked = pages.join(wanted.select("web_url").distinct(), "web_url", "left_semi")
+    return one_body_per_url(extract_body(asked, rules))
+
+
+def _body_changes(eligible: DataFrame, source: DataFrame, rules) -> DataFrame:
+    """(article_id, body) of eligible rows; '' where there is no body."""
+    bodies = bodies_of(eligible, source, rules) if "html" in source.columns else one_body_per_url(source)
+    return eligible.select("article_id", "web_url").join(bodies, "web_url", "left").select(
+        "article_id", F.coalesce("body", F.lit("")).alias("body"))
 
 
-def _apply_bodies(articles: DataFrame, eligible: DataFrame, bodies: DataFrame) -> DataFrame:
-    """Set full_text (non-empty body) or failed_scrape=true on eligible rows."""
-    hit = (eligible.select("article_id", "web_url").join(bodies.select("web_url", "body"),
-                                                        "web_url", "left")
-           .select("article_id", F.coalesce("body", F.lit("")).alias("body")))
-    out = articles.join(hit, "article_id", "left")
+def with_bodies(articles: DataFrame, changes: DataFrame, how: str = "left") -> DataFrame:
+    """Articles with full_text (non-empty body) or failed_scrape=true set by
+    ``changes`` (article_id, body); ``how="inner"`` gives the changed rows only."""
+    out = articles.join(changes, "article_id", how)
     got = F.col("body").isNotNull() & (F.col("body") != "")
     missed = F.col("body").isNotNull() & (F.col("body") == "")
     return out.select(
@@ -113,15 +139,16 @@ def _apply_bodies(articles: DataFrame, eligible: DataFrame, bodies: DataFrame) -
           else F.col(c) for c in ARTICLE_COLUMNS])
 
 
-def update_bodies(articles: DataFrame, bodies: DataFrame) -> DataFrame:
-    """Attach bodies to every article still needing one (see filter_needs_body)."""
-    return _apply_bodies(articles, filter_needs_body(articles), bodies)
+def update_bodies(articles: DataFrame, source: DataFrame, rules=DEFAULT_RULES) -> DataFrame:
+    """Attach bodies to every article still needing one (see filter_needs_body).
+    ``source`` holds bodies (web_url, body) or pages (web_url, html) to extract them from."""
+    return with_bodies(articles, _body_changes(filter_needs_body(articles), source, rules))
 
 
-def update_bodies_batch(articles: DataFrame, batch: DataFrame, bodies: DataFrame) -> DataFrame:
+def update_bodies_batch(articles: DataFrame, batch: DataFrame, source: DataFrame, rules=DEFAULT_RULES) -> DataFrame:
     """Attach bodies for a batch: table rows whose web_url is in the batch."""
     eligible = articles.join(batch.select("web_url"), "web_url", "left_semi")
-    return _apply_bodies(articles, eligible, bodies)
+    return with_bodies(articles, _body_changes(eligible, source, rules))
 
 
 def clean_missing(articles: DataFrame, overwrite: bool = False) -> DataFrame:

@@ -14,6 +14,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import order_key
 from ..functions.dates import day_bounds, month_key, month_sequence, next_month, weights_sum as _wsum
 from ..session import broadcast_small
 from .project import with_record_columns
@@ -56,8 +57,8 @@ def topic_freq(doc_topics: DataFrame, articles: DataFrame, start: str, end: str,
 
 def best_in_range(long: DataFrame, n_articles: int) -> DataFrame:
     """(topic, rank, article_id, weight): top ``n_articles`` per topic on the
-    weight rounded to 6 decimals, then article_id ascending."""
-    w = Window.partitionBy("topic").orderBy(F.desc(F.round("weight", 6)), F.asc("article_id"))
+    weight's order key, then article_id ascending."""
+    w = Window.partitionBy("topic").orderBy(F.desc(order_key("weight")), F.asc("article_id"))
     return (long.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n_articles)
             .select("topic", "rank", "article_id", "weight"))
 
@@ -123,9 +124,8 @@ def best_per_month(doc_topics: DataFrame, articles: DataFrame, start: str = "200
     long = (a.select("article_id", month_key("pub_date").alias("month"), "weights")
             .select("month", "article_id", F.posexplode("weights").alias("topic", "weight"))
             .filter(F.col("weight") > 0))
-    best = long.groupBy("month", "topic").agg(F.max_by(
-        F.struct("article_id", "weight"),
-        F.struct(F.round("weight", 6), -F.col("article_id"))).alias("b"))
+    best = long.groupBy("month", "topic").agg(F.min_by(
+        F.struct("article_id", "weight"), F.struct(-order_key("weight"), "article_id")).alias("b"))
     spine = month_sequence(topics_of(doc_topics, n_topics), start, end, extra=0)
     return (spine.join(best, ["month", "topic"], "left")
             .select("month", "topic", F.col("b.article_id").alias("article_id"),

@@ -8,14 +8,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import order_key
 from ..session import broadcast_small
 
 
 def topic_top_terms(topic_terms: DataFrame, n_top_words: int = 20) -> DataFrame:
     """(topic, rank, term, pct): the n_top_words-1 heaviest terms per topic (the
     reference's reversed slice keeps n-1), pct = 100 * weight / sum of the kept
-    weights, null for a topic without weight. Ties: rounded weight desc, then the alphabetically later term."""
-    w = Window.partitionBy("topic").orderBy(F.desc(F.round("weight", 6)), F.desc("term"))
+    weights, null for a topic without weight. Ties: order key of the weight desc, then the alphabetically later term."""
+    w = Window.partitionBy("topic").orderBy(F.desc(order_key("weight")), F.desc("term"))
     top = (topic_terms.withColumn("rank", F.row_number().over(w))
            .filter(F.col("rank") <= n_top_words - 1))
     pct = F.try_divide(F.lit(100.0) * F.col("weight"), F.sum("weight").over(Window.partitionBy("topic")))
@@ -24,14 +25,14 @@ def topic_top_terms(topic_terms: DataFrame, n_top_words: int = 20) -> DataFrame:
 
 def topic_concise_terms(top_terms: DataFrame, n: int = 10) -> DataFrame:
     """(topic, rank, term, pct): the n best terms per topic by pct."""
-    w = Window.partitionBy("topic").orderBy(F.desc(F.round("pct", 6)), F.desc("term"))
+    w = Window.partitionBy("topic").orderBy(F.desc(order_key("pct")), F.desc("term"))
     return (top_terms.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
             .select("topic", "rank", "term", "pct"))
 
 
 def topic_terms_ranked(top_terms: DataFrame) -> DataFrame:
     """All described terms of each topic, ranked by descending pct."""
-    w = Window.partitionBy("topic").orderBy(F.desc(F.round("pct", 6)), F.desc("term"))
+    w = Window.partitionBy("topic").orderBy(F.desc(order_key("pct")), F.desc("term"))
     return top_terms.withColumn("rank", F.row_number().over(w)).select("topic", "rank", "term", "pct")
 
 

@@ -10,12 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import order_key
+
 
 def ranked_topics_col(weights, rank_number: int = 3) -> Column:
     """array<struct<rw, topic>> of the ``rank_number`` highest topics of a weight
-    vector; ranking on weights rounded to 6 decimals, ties to the higher topic."""
+    vector by the weights' order keys, ties to the higher topic."""
     w = F.col(weights) if isinstance(weights, str) else weights
-    pairs = F.transform(w, lambda v, i: F.struct(F.round(v, 6).alias("rw"), i.alias("topic")))
+    pairs = F.transform(w, lambda v, i: F.struct(order_key(v).alias("rw"), i.alias("topic")))
     return F.slice(F.sort_array(pairs, asc=False), 1, rank_number)
 
 
@@ -28,10 +30,10 @@ def rank_topics_per_doc(doc_topics: DataFrame, rank_number: int = 3) -> DataFram
 
 
 def argmax_topic(weights) -> Column:
-    """Index of the highest rounded weight; ties and all-zero vectors give the
+    """Index of the highest weight by order key; ties and all-zero vectors give the
     lowest index."""
     w = F.col(weights) if isinstance(weights, str) else weights
-    rw = F.transform(w, lambda v: F.round(v, 6))
+    rw = F.transform(w, order_key)
     return (F.array_position(rw, F.array_max(rw)) - 1).cast("int")
 
 

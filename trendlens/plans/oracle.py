@@ -3,12 +3,13 @@
 ``fixture_sql(body)`` prefixes a query with CTEs that rebuild, in SQL, the same
 test-profile tables the Spark side writes: the article view, cleaning, 1-3-gram
 TF-IDF with its vocabulary, the closed-form topic matrix and the doc-topic
-weights. Doubles are rounded to 6 decimals before any ranking on both sides.
+weights. Rankings compare order keys (``functions.numbers``) on both sides.
 """
 from __future__ import annotations
 
 from ..functions.text import (ALL_STOPWORDS, CONTRACTION_SPLITS, NON_ASCII, PUNCTUATION,
                               VECTOR_TOKEN, WHITESPACE)
+from ..functions.numbers import order_key_sql
 from ..sources.fixtures import (FIXTURE_MAX_DF, FIXTURE_MAX_FEATURES, FIXTURE_NGRAMS,
                                 FIXTURE_TOPICS, MODEL_NAME)
 
@@ -105,7 +106,7 @@ raw_dt AS MATERIALIZED (
   LEFT JOIN proj p ON p.article_id = s.article_id AND p.topic = k.topic),
 dt AS (
   SELECT article_id, CAST(topic AS INTEGER) AS topic, raw / n_words AS weight,
-         round(raw / n_words, 6) AS rw, '{MODEL_NAME}' AS model_name
+         {order_key_sql('(raw / n_words)')} AS rw, '{MODEL_NAME}' AS model_name
   FROM raw_dt)"""
 
 
@@ -115,12 +116,3 @@ def fixture_sql(body: str) -> str:
     body = body.strip()
     sep = "" if body.startswith(",") else "\n"
     return f"WITH {ARTICLES_CTE.strip()},{_model_ctes()}{sep}{body}"
-
-
-def articles_sql(body: str) -> str:
-    """SQL with only the article view (and the cleaned view) as CTEs."""
-    body = body.strip()
-    sep = "" if body.startswith(",") else "\n"
-    return (f"WITH {ARTICLES_CTE.strip()},\ncarts AS (SELECT a.*, CASE WHEN full_text IS NOT NULL "
-            f"AND full_text <> '' AND type_of_material = 'News' THEN {clean_expr('full_text')} "
-            f"END AS clean_text FROM articles a){sep}{body}")

@@ -4,21 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.dates import date_digits, day_bounds
+from ..functions.dates import date_digits, day_bounds, month_key
+from ..functions.numbers import order_key_sql
+from ..functions.text import VECTOR_TOKEN
 from ..operators import ingest as IN
 from ..operators import topic_stats as TS
 from ..operators import topic_terms as TT
 from ..operators.html import TEST_PROFILE_RULES, extract_body
 from ..sources import sinks as SK
-from ..sources.fixtures import (build_fixture, load_articles, load_landed_articles, pages_by_url,
-                                search_pages_from_articles)
-from ..sources.tables import scan_pages
+from ..session import scratch_path
+from ..sources.buckets import BucketedArticles
+from ..sources.fixtures import (FIXTURE_NGRAMS, MODEL_NAME, build_fixture, landed_records, load_articles,
+                                load_landed_articles, pages_by_url)
+from ..sources.tables import ARTICLE_SCHEMA, scan_pages
 from ..plans import serve as SV
 from .catalog import register
-from .oracle import clean_expr, fixture_sql
+from .oracle import _ngram_expr, clean_expr, fixture_sql, word_count_expr
 from .queries_core import _trend, _trend_sql, r6
 from .queries_more import _TOPIC_SPINE, _months_sql, _top_terms_sql
 
+ID_TYPE = ARTICLE_SCHEMA["article_id"].dataType
+SHIFT = 10 ** 9      # ids of records that repeat a URL, and positions late in the batch
+TABLE_BUCKETS = 16
 SPLIT = "2003"   # articles published before this were ingested by an earlier run
 
 # --- fixed test-profile corpus queries: (terms, begin yyyymmdd, end yyyymmdd) ---
@@ -27,8 +34,15 @@ CORPUS_QUERIES = [("thhe", "20010901", "20021231"), ("onen,ouen", "20020101", "2
                   ("the+of", "20010911", "20041031")]
 
 
+def _landing(spark, articles):
+    """Search results as JSON lines, read back with the fixed schema."""
+    path = scratch_path(spark, "landing")
+    landed_records(articles).write.json(path)
+    return IN.read_landed(spark, path, ID_TYPE)
+
+
 def _landed(spark, sf):
-    return IN.land_articles(search_pages_from_articles(load_articles(spark, sf)))
+    return IN.land_articles(_landing(spark, load_articles(spark, sf)))
 
 
 _LANDED_SQL = """,
@@ -64,11 +78,10 @@ ranked AS (SELECT pre || 'bucket-' || CAST(article_id // 100 AS VARCHAR) AS quer
 SELECT query, page, count(*) AS n_docs FROM ranked GROUP BY 1, 2"""))
 def q_union_pages(spark, sf):
     a = load_articles(spark, sf)
-    news = search_pages_from_articles(a.filter(F.col("type_of_material") == "News"))
-    other = search_pages_from_articles(a.filter(F.col("type_of_material") != "News"))
-    u = IN.union_pages(news.withColumn("query", F.concat(F.lit("news-"), "query")),
-                       other.withColumn("query", F.concat(F.lit("other-"), "query")))
-    return u.select("query", "page", F.size("response.docs").cast("long").alias("n_docs"))
+    landed = lambda own, pre: IN.land_articles(_landing(spark, a.filter(own))).withColumn(
+        "query", F.concat(F.lit(pre), "query"))
+    u = IN.union_pages(landed(F.col("type_of_material") == "News", "news-"), landed(F.col("type_of_material") != "News", "other-"))
+    return u.groupBy("query", "page").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
 def _corpus_sql() -> str:
@@ -112,95 +125,143 @@ def q_scan_pages(spark, sf):
 
 # ------------------------------------------------------------------ upserts / dedupe
 def _existing_and_batch(spark, sf):
+    """The articles of an earlier run, and a batch: all articles in a given order, those
+    of every seventh id once more under the same URL with another id, and every eleventh
+    id with another URL."""
     a = load_articles(spark, sf)
     existing = a.filter(F.col("pub_date") < SPLIT)
-    batch = _landed(spark, sf).withColumn("batch_pos", F.struct("query", "page", "pos"))
-    return existing, batch
+    own = a.drop("full_text", "failed_scrape", "clean_text")
+    batch = own.withColumn("batch_pos", F.col("article_id"))
+    again = own.filter(F.col("article_id") % 7 == 0).withColumn("batch_pos", F.col("article_id") + SHIFT).withColumn(
+        "article_id", F.col("article_id") + SHIFT)
+    moved = own.filter(F.col("article_id") % 11 == 0).withColumn("batch_pos", F.col("article_id") + 2 * SHIFT).withColumn(
+        "web_url", F.concat("web_url", F.lit("/moved")))
+    return existing, batch.unionByName(again).unionByName(moved)
+
+
+_BATCH_SQL = f""",
+existing AS (SELECT * FROM articles WHERE pub_date < '{SPLIT}'),
+batch AS (SELECT article_id, web_url, article_id AS batch_pos FROM articles
+  UNION ALL SELECT article_id + {SHIFT}, web_url, article_id + {SHIFT} FROM articles WHERE article_id % 7 = 0
+  UNION ALL SELECT article_id, web_url || '/moved', article_id + {2 * SHIFT} FROM articles WHERE article_id % 11 = 0),
+firsts AS (SELECT web_url, arg_min(article_id, batch_pos) AS article_id, min(batch_pos) AS batch_pos FROM batch GROUP BY 1),
+fresh AS (SELECT * FROM firsts WHERE web_url NOT IN (SELECT web_url FROM existing)),
+lasts AS (SELECT article_id, arg_max(web_url, batch_pos) AS web_url FROM fresh GROUP BY 1)"""
+
 
+_UPSERT_SQL = fixture_sql(_BATCH_SQL + """
+SELECT article_id, web_url, md5(full_text) AS text_md5 FROM existing WHERE article_id NOT IN (SELECT article_id FROM lasts)
+UNION ALL SELECT article_id, web_url, md5('') FROM lasts""")
 
-@register("upsert_articles", fixture_sql(f"""
-SELECT article_id, web_url, full_text <> '' AS has_text FROM articles WHERE pub_date < '{SPLIT}'
-UNION ALL
-SELECT article_id, web_url, false FROM articles
-WHERE web_url NOT IN (SELECT web_url FROM articles WHERE pub_date < '{SPLIT}')"""))
+
+def _snapshot_rows(snapshot):
+    return snapshot.select("article_id", "web_url", F.md5(F.col("full_text").cast("binary")).alias("text_md5"))
+
+
+@register("upsert_articles", _UPSERT_SQL)
 def q_upsert_articles(spark, sf):
+    snap, _ = IN.upsert_articles(*_existing_and_batch(spark, sf))
+    return _snapshot_rows(snap)
+
+
+@register("upsert_articles_ignored", fixture_sql(_BATCH_SQL + """
+SELECT DISTINCT b.article_id FROM batch b LEFT JOIN (SELECT f.article_id, f.batch_pos FROM fresh f JOIN lasts USING (article_id, web_url)) l
+  ON b.article_id = l.article_id AND b.batch_pos = l.batch_pos WHERE l.article_id IS NULL"""))
+def q_upsert_articles_ignored(spark, sf):
+    return IN.upsert_articles(*_existing_and_batch(spark, sf))[1]
+
+
+@register("upsert_articles_buckets", _UPSERT_SQL)
+def q_upsert_articles_buckets(spark, sf):
+    """The same upsert into a bucketed table, of which only touched buckets are written."""
     existing, batch = _existing_and_batch(spark, sf)
-    snap, _ = IN.upsert_articles(existing, batch)
-    return snap.select("article_id", "web_url", (F.col("full_text") != "").alias("has_text"))
+    table = BucketedArticles.create(existing, scratch_path(spark, "articles"), TABLE_BUCKETS)
+    return _snapshot_rows(table.upsert(batch)[0].read())
 
 
-@register("anti_join_new", fixture_sql(f"""
-SELECT article_id FROM articles
-WHERE web_url NOT IN (SELECT web_url FROM articles WHERE pub_date < '{SPLIT}')"""))
+@register("anti_join_new", fixture_sql(_BATCH_SQL + """
+SELECT article_id, web_url, batch_pos FROM batch WHERE web_url NOT IN (SELECT web_url FROM existing)"""))
 def q_anti_join_new(spark, sf):
     existing, batch = _existing_and_batch(spark, sf)
-    return IN.anti_join_new(batch, existing).select("article_id")
+    return IN.anti_join_new(batch, existing).select("article_id", "web_url", "batch_pos")
 
 
-@register("semi_join_known", fixture_sql(f"""
-SELECT DISTINCT article_id FROM articles
-WHERE web_url IN (SELECT web_url FROM articles WHERE pub_date < '{SPLIT}')"""))
+@register("semi_join_known", fixture_sql(_BATCH_SQL + """
+SELECT DISTINCT article_id FROM batch WHERE web_url IN (SELECT web_url FROM existing)"""))
 def q_semi_join_known(spark, sf):
     existing, batch = _existing_and_batch(spark, sf)
     return IN.semi_join_known(batch, existing)
 
 
-@register("semi_join_in_table", fixture_sql(_LANDED_SQL + f"""
-SELECT article_id, query, page, pos FROM landed
-WHERE web_url IN (SELECT web_url FROM articles WHERE pub_date < '{SPLIT}')"""))
+@register("semi_join_in_table", fixture_sql(_BATCH_SQL + """
+SELECT article_id, web_url, batch_pos FROM batch WHERE web_url IN (SELECT web_url FROM existing)"""))
 def q_semi_join_in_table(spark, sf):
     existing, batch = _existing_and_batch(spark, sf)
-    return IN.semi_join_in_table(batch, existing).select("article_id", "query", "page", "pos")
+    return IN.semi_join_in_table(batch, existing).select("article_id", "web_url", "batch_pos")
 
 
 # ------------------------------------------------------------------ bodies
-_PAGE_OK = """,
-pg AS (SELECT page_id AS article_id,
-  regexp_matches(html, '<article[^>]*>.*<p[ >].*</article>') AS ok FROM pages)"""
+# The test pages hold one article of <p> elements. One that is not closed has all text up
+# to the article's end, as later elements nest inside it. Every third page comes twice
+# under one URL, the second time without its text.
+_PLAIN = "replace(replace(regexp_replace({}, '<[^>]*>', '', 'g'), '&quot;', '\"'), '&amp;', '&')"
+_PAGES = f""",
+ps AS (SELECT page_id AS article_id, string_split(regexp_extract(html, '(?s)<article[^>]*>(.*)</article>', 1), '<p>') AS p FROM pages),
+body AS MATERIALIZED (SELECT article_id, array_to_string(list_transform(range(2, len(p) + 1), lambda j: {_PLAIN.format(
+    "(CASE WHEN contains(p[j], '</p>') THEN split_part(p[j], '</p>', 1) ELSE array_to_string(p[j:len(p)], '') END)")}), ' ') AS body
+  FROM ps)"""
 
 
-def _bodies(spark, sf):
-    return extract_body(pages_by_url(scan_pages(spark, sf)), TEST_PROFILE_RULES)
+def _pages(spark, sf):
+    pages = pages_by_url(scan_pages(spark, sf))
+    again = pages.filter(F.crc32("web_url") % 3 == 0).withColumn("html", F.lit("<html></html>"))
+    return pages.unionByName(again)
 
 
-@register("extract_body", fixture_sql(_PAGE_OK + """
-SELECT 'http://example.com/' || CAST(article_id AS VARCHAR) AS web_url,
-  CASE WHEN ok THEN 'article_p' END AS rule, ok AS has_body FROM pg"""))
+@register("extract_body", fixture_sql(_PAGES + """
+SELECT 'http://example.com/' || CAST(article_id AS VARCHAR) AS web_url, 'article_p' AS rule, body FROM body"""))
 def q_extract_body(spark, sf):
-    b = _bodies(spark, sf)
-    return b.select("web_url", "rule", (F.col("body") != "").alias("has_body"))
+    return extract_body(pages_by_url(scan_pages(spark, sf)), TEST_PROFILE_RULES).select("web_url", "rule", "body")
 
 
-@register("join_body", fixture_sql(_PAGE_OK + """
-SELECT a.article_id, coalesce(pg.ok, false) AS has_body FROM articles a LEFT JOIN pg USING (article_id)"""))
+@register("join_body", fixture_sql(_PAGES + """
+SELECT a.article_id, b.body FROM articles a LEFT JOIN body b USING (article_id)"""))
 def q_join_body(spark, sf):
-    j = IN.join_body(load_articles(spark, sf), _bodies(spark, sf))
-    return j.select("article_id", (F.col("body").isNotNull() & (F.col("body") != "")).alias("has_body"))
+    articles = load_articles(spark, sf)
+    return IN.join_body(articles, IN.bodies_of(articles, _pages(spark, sf), TEST_PROFILE_RULES)).select("article_id", "body")
 
 
 def _update_sql(elig_where: str) -> str:
-    return fixture_sql(_PAGE_OK + f""",
+    return fixture_sql(_PAGES + f""",
 elig AS (SELECT article_id FROM articles WHERE {elig_where})
 SELECT a.article_id,
-  e.article_id IS NOT NULL AND coalesce(pg.ok, false) AS has_text,
-  CASE WHEN e.article_id IS NOT NULL AND NOT coalesce(pg.ok, false) THEN true
+  CASE WHEN e.article_id IS NOT NULL THEN coalesce(b.body, '') ELSE '' END AS full_text,
+  CASE WHEN e.article_id IS NOT NULL AND coalesce(b.body, '') = '' THEN true
        ELSE a.failed_scrape END AS failed_scrape
-FROM articles a LEFT JOIN elig e USING (article_id) LEFT JOIN pg USING (article_id)""")
+FROM articles a LEFT JOIN elig e USING (article_id) LEFT JOIN body b USING (article_id)""")
+
 
+_UPDATE_SQL = _update_sql("document_type = 'article' AND type_of_material = 'News' AND failed_scrape IS NULL")
 
-@register("update_bodies", _update_sql(
-    "document_type = 'article' AND type_of_material = 'News' "
-    "AND failed_scrape IS NULL"))
+
+@register("update_bodies", _UPDATE_SQL)
 def q_update_bodies(spark, sf):
-    u = IN.update_bodies(load_landed_articles(spark, sf), _bodies(spark, sf))
-    return u.select("article_id", (F.col("full_text") != "").alias("has_text"), "failed_scrape")
+    u = IN.update_bodies(load_landed_articles(spark, sf), _pages(spark, sf), TEST_PROFILE_RULES)
+    return u.select("article_id", "full_text", "failed_scrape")
+
+
+@register("update_bodies_buckets", _UPDATE_SQL)
+def q_update_bodies_buckets(spark, sf):
+    """The same update of a bucketed table."""
+    table = BucketedArticles.create(load_landed_articles(spark, sf), scratch_path(spark, "articles"), TABLE_BUCKETS)
+    return table.update_bodies(_pages(spark, sf), TEST_PROFILE_RULES).read().select("article_id", "full_text", "failed_scrape")
 
 
 @register("update_bodies_batch", _update_sql(f"pub_date >= '{SPLIT}'"))
 def q_update_bodies_batch(spark, sf):
-    batch = _landed(spark, sf).filter(F.col("pub_date") >= SPLIT)
-    u = IN.update_bodies_batch(load_landed_articles(spark, sf), batch, _bodies(spark, sf))
-    return u.select("article_id", (F.col("full_text") != "").alias("has_text"), "failed_scrape")
+    landed = load_landed_articles(spark, sf)
+    u = IN.update_bodies_batch(landed, landed.filter(F.col("pub_date") >= SPLIT), _pages(spark, sf), TEST_PROFILE_RULES)
+    return u.select("article_id", "full_text", "failed_scrape")
 
 
 # ------------------------------------------------------------------ cleaning updates
@@ -253,7 +314,9 @@ _WIDE = "SELECT date, " + ", ".join(
 
 def _wide(spark, sf):
     fx = build_fixture(spark, sf)
-    return SK.sink_trend_csv(_trend(spark, sf, ranked=True), fx.topics)
+    path = scratch_path(spark, "trend") + ".csv"
+    wide = SK.sink_trend_csv(_trend(spark, sf, ranked=True), fx.topics, path)
+    return SK.read_csv(spark, path, wide.schema)
 
 
 @register("sink_trend_csv", _trend_sql(True, False, tail=_WIDE))
@@ -277,12 +340,16 @@ SELECT month AS date, """ + ", ".join(
 FROM grid GROUP BY month"""))
 def q_sink_empire_csv(spark, sf):
     fx = build_fixture(spark, sf)
-    return SK.sink_empire_csv(TS.empire_counts(fx.doc_topics, fx.articles, n_topics=fx.model.n_topics), fx.model.n_topics)
+    path = scratch_path(spark, "empire") + ".csv"
+    counts = TS.empire_counts(fx.doc_topics, fx.articles, n_topics=fx.model.n_topics)
+    return SK.read_csv(spark, path, SK.sink_empire_csv(counts, fx.model.n_topics, path).schema)
 
 
 def _best_json(spark, sf):
     fx = build_fixture(spark, sf)
-    return SK.sink_best_json(TS.best_overall(fx.doc_topics, fx.articles), fx.articles, fx.topics)
+    path = scratch_path(spark, "best") + ".json"
+    SK.sink_best_json(TS.best_overall(fx.doc_topics, fx.articles), fx.articles, fx.topics, path)
+    return SK.read_best_json(spark, path)
 
 
 _BEST_FLAT = _BEST_CTE + """
@@ -293,8 +360,8 @@ SELECT t.name, b.rank, substr(a.pub_date, 1, 10) AS pub_date, a.lead_paragraph,
 @register("sink_best_json", fixture_sql(_BEST_FLAT))
 def q_sink_best_json(spark, sf):
     j = _best_json(spark, sf)
-    return j.select("name", F.explode("articles").alias("a")).select(
-        "name", "a.rank", "a.pub_date", "a.lead_paragraph",
+    return j.select("name", F.posexplode("articles").alias("pos", "a")).select(
+        "name", (F.col("pos") + 1).alias("rank"), "a.pub_date", "a.lead_paragraph",
         F.col("a.headline.main").alias("headline_main"), "a.web_url")
 
 
@@ -311,7 +378,9 @@ wsum AS (SELECT article_id, sum(weight) AS ws FROM dt GROUP BY 1)"""
 def _best_month_json(spark, sf):
     fx = build_fixture(spark, sf)
     bpm = TS.best_per_month(fx.doc_topics, fx.articles, n_topics=fx.model.n_topics)
-    return SK.sink_best_month_json(bpm, fx.articles, fx.doc_topics, fx.topics)
+    path = scratch_path(spark, "best-month") + ".json"
+    SK.sink_best_month_json(bpm, fx.articles, fx.doc_topics, fx.topics, path)
+    return path
 
 
 @register("sink_best_month_json", fixture_sql(_BPM_CTE + """
@@ -319,9 +388,9 @@ SELECT t.name, b.month, b.article_id AS _id, round(b.weight, 6) AS weight,
   round(w.ws, 6) AS weights_sum, substr(a.pub_date, 1, 10) AS pub_date, a.web_url
 FROM bpm b JOIN carts a USING (article_id) JOIN wsum w USING (article_id) JOIN topics t USING (topic)"""))
 def q_sink_best_month_json(spark, sf):
-    j = _best_month_json(spark, sf)
+    j = SK.read_best_json(spark, _best_month_json(spark, sf), SK.month_entry(ID_TYPE))
     return j.select("name", F.explode("articles").alias("a")).select(
-        "name", "a.month", "a._id", r6("a.weight").alias("weight"),
+        "name", month_key("a.pub_date").alias("month"), "a._id", r6("a.weight").alias("weight"),
         r6("a.weights_sum").alias("weights_sum"), "a.pub_date", "a.web_url")
 
 
@@ -330,20 +399,24 @@ kept AS (SELECT t.name, b.month, b.article_id AS _id, b.weight FROM bpm b JOIN c
   JOIN topics t USING (topic) WHERE b.weight >= 0.001)
 SELECT t.name, k.month, k._id, round(k.weight, 6) AS weight FROM topics t LEFT JOIN kept k USING (name)"""))
 def q_filter_best_json(spark, sf):
-    f = SK.filter_best_json(_best_month_json(spark, sf), .001)
+    path = scratch_path(spark, "filtered") + ".json"
+    SK.filter_best_json(_best_month_json(spark, sf), .001, spark, ID_TYPE, path)
+    f = SK.read_best_json(spark, path, SK.month_entry(ID_TYPE))
     return f.select("name", F.explode_outer("articles").alias("a")).select(
-        "name", "a.month", "a._id", r6("a.weight").alias("weight"))
+        "name", month_key("a.pub_date").alias("month"), "a._id", r6("a.weight").alias("weight"))
 
 
 def _terms_json(spark, sf):
     fx = build_fixture(spark, sf)
     concise = TT.topic_concise_terms(TT.topic_top_terms(fx.topic_terms, 30), 10)
-    return SK.sink_topic_terms_json(concise, fx.topics)
+    path = scratch_path(spark, "terms") + ".json"
+    SK.sink_topic_terms_json(concise, fx.topics, path)
+    return SK.read_object(spark, path, "string", value="terms")
 
 
-_TERMS_CTE = _top_terms_sql(30) + """,
+_TERMS_CTE = _top_terms_sql(30) + f""",
 concise AS (SELECT topic, rank, term FROM (SELECT topic, term, CAST(row_number() OVER
-  (PARTITION BY topic ORDER BY round(pct, 6) DESC, term DESC) AS INTEGER) AS rank FROM top_terms)
+  (PARTITION BY topic ORDER BY {order_key_sql('pct')} DESC, term DESC) AS INTEGER) AS rank FROM top_terms)
   WHERE rank <= 10),
 terms_json AS (SELECT t.name, string_agg(c.term, ', ' ORDER BY c.rank) AS terms
   FROM concise c JOIN topics t USING (topic) WHERE t.keep GROUP BY t.name)"""
@@ -360,8 +433,9 @@ def q_sink_topic_terms_json(spark, sf):
 c AS (SELECT CAST(substr(pub_date, 1, 10) AS DATE) AS d, count(*) AS n FROM articles GROUP BY 1)
 SELECT strftime(days.d, '%Y%m%d') AS day, coalesce(c.n, 0) AS n FROM days LEFT JOIN c USING (d)"""))
 def q_sink_daily_counts_json(spark, sf):
-    return SK.sink_daily_counts_json(TS.daily_counts(build_fixture(spark, sf).articles,
-                                                     "20010831", "20040531"))
+    path = scratch_path(spark, "days") + ".json"
+    SK.sink_daily_counts_json(TS.daily_counts(build_fixture(spark, sf).articles, "20010831", "20040531"), path)
+    return SK.read_object(spark, path, "bigint", "day", "n")
 
 
 # ------------------------------------------------------------------ serving
@@ -405,7 +479,7 @@ SELECT t.name, CAST(b.rank - 1 AS INTEGER) AS pos, b.rank, substr(a.pub_date, 1,
 FROM best b JOIN carts a USING (article_id) JOIN topics t USING (topic) WHERE t.keep"""))
 def q_articles_flatten(spark, sf):
     f = SV.articles_flatten(_best_json(spark, sf), _kept_names(spark, sf))
-    return f.select("name", "pos", "rank", "pub_date", "lead_paragraph",
+    return f.select("name", "pos", (F.col("pos") + 1).alias("rank"), "pub_date", "lead_paragraph",
                     F.col("headline.main").alias("headline_main"), "web_url")
 
 
@@ -417,24 +491,32 @@ def q_topic_terms_lookup(spark, sf):
 
 
 # ------------------------------------------------------------------ streaming
-@register("stream_ingest", fixture_sql(_PAGE_OK + """
-SELECT a.article_id, coalesce(pg.ok, false) AS has_text,
-  CASE WHEN coalesce(pg.ok, false) THEN NULL ELSE true END AS failed_scrape,
-  (a.type_of_material = 'News' AND coalesce(pg.ok, false)) AS has_clean
-FROM articles a LEFT JOIN pg USING (article_id)"""))
+@register("stream_ingest", fixture_sql(_PAGES + f""",
+got AS MATERIALIZED (SELECT a.article_id, a.type_of_material = 'News' AS news, coalesce(b.body, '') AS full_text
+  FROM articles a LEFT JOIN body b USING (article_id)),
+cleaned AS MATERIALIZED (SELECT article_id, full_text, CASE WHEN full_text = '' THEN true END AS failed_scrape,
+  CASE WHEN news AND full_text <> '' THEN {clean_expr('full_text')} END AS clean_text FROM got),
+own AS (SELECT article_id, regexp_extract_all(clean_text, '{VECTOR_TOKEN}') AS t FROM cleaned WHERE clean_text <> ''),
+own_tf AS (SELECT article_id, term, count(*) AS tf FROM (SELECT article_id, unnest({_ngram_expr('t', *FIXTURE_NGRAMS)}) AS term FROM own)
+  GROUP BY 1, 2),
+own_w AS (SELECT article_id, term, tf * idf AS w FROM own_tf JOIN vocab USING (term)),
+own_x AS (SELECT article_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY article_id)) AS tfidf FROM own_w),
+own_s AS (SELECT article_id, sum(tfidf * weight) AS s FROM own_x JOIN topic_terms USING (term) GROUP BY 1)
+SELECT c.article_id, c.full_text, c.failed_scrape, c.clean_text, CASE WHEN c.clean_text <> '' THEN
+  round(coalesce(s.s, 0.0) / {word_count_expr('c.clean_text')}, 6) END AS weights_sum
+FROM cleaned c LEFT JOIN own_s s USING (article_id)"""))
 def q_stream_ingest(spark, sf):
-    """Land search pages derived from the articles as JSON files, run the
-    streaming ingest over them (availableNow, one file per micro-batch) and
-    read back the article table it wrote."""
-    from ..session import scratch_path
+    """Search results that Spark wrote from the articles stream in, some of them twice, a
+    file a micro-batch; the article table and the weights that the job wrote."""
     from ..streaming.ingest import stream_ingest, write_landing
     fx = build_fixture(spark, sf)
-    landing = write_landing(search_pages_from_articles(load_articles(spark, sf)),
-                            scratch_path(spark, "landing"))
+    records = landed_records(load_articles(spark, sf))
+    again = records.filter(F.col("article_id") % 5 == 0).withColumn("query", F.concat(F.lit("z"), "query"))
+    landing = write_landing(records.unionByName(again), scratch_path(spark, "landing"))
     out, ckpt = scratch_path(spark, "ingest"), scratch_path(spark, "ingest-ckpt")
-    q = stream_ingest(spark, landing, pages_by_url(scan_pages(spark, sf)), fx.model, out, ckpt,
-                      "fixture", TEST_PROFILE_RULES, max_files_per_trigger=1)
+    q = stream_ingest(spark, landing, _pages(spark, sf), fx.model, out, ckpt,
+                      MODEL_NAME, TEST_PROFILE_RULES, max_files_per_trigger=1, id_type=ID_TYPE)
     q.awaitTermination()
-    a = spark.read.parquet(f"{out}/articles")
-    return a.select("article_id", (F.col("full_text") != "").alias("has_text"), "failed_scrape",
-                    F.col("clean_text").isNotNull().alias("has_clean"))
+    weights = TS.weights_sum(spark.read.parquet(f"{out}/doc_topics")).withColumnRenamed("value", "weights_sum")
+    return spark.read.parquet(f"{out}/articles").join(weights, "article_id", "left").select(
+        "article_id", "full_text", "failed_scrape", "clean_text", r6("weights_sum").alias("weights_sum"))

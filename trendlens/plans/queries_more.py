@@ -4,8 +4,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dates as D
+from ..functions.numbers import order_key_sql
 from ..functions.text import doc_word_count, ngrams, vector_tokens
 from ..operators import filters as FL
+from ..operators import rollup as RU
 from ..operators import topic_stats as TS
 from ..operators import topic_terms as TT
 from ..operators.project import (filter_unscored, join_relevance, project_topics,
@@ -13,12 +15,13 @@ from ..operators.project import (filter_unscored, join_relevance, project_topics
 from ..operators.tfidf import l2_norm_per_doc, term_df_ctf, term_frequencies, partition_docs
 from ..operators.tfidf import tfidf_transform
 from ..operators.windows import rank_topics_per_doc, rolling_month_mean, share_of_total
-from ..session import scratch_path
+from ..session import scratch_path, write_table
 from ..sources.fixtures import FIXTURE_NGRAMS, MODEL_NAME, build_fixture, corpus
 from ..sources.model_store import open_model, save_model
-from .catalog import register
+from .catalog import ORACLE, register
 from .oracle import fixture_sql, word_count_expr, _ngram_expr
-from .queries_core import r6
+from .queries_core import _trend_sql, r6
+from .trends import smooth_trend_of
 
 K = 8
 FULL = ("2001-09", "2004-06")          # string bounds covering every test article
@@ -73,11 +76,11 @@ inr AS (SELECT d.article_id, d.topic, d.weight, d.rw, substr(a.pub_date, 1, 7) A
   WHERE a.pub_date >= '{FULL[0]}' AND a.pub_date <= '{FULL[1]}')"""
 
 
-@register("topic_freq", fixture_sql(_INR_RAW + """,
+@register("topic_freq", fixture_sql(_INR_RAW + f""",
 sums AS (SELECT topic, sum(weight) AS s FROM inr GROUP BY topic),
 shares AS (SELECT topic, s / sum(s) OVER () AS share FROM sums),
 tops AS (SELECT topic, rank, article_id FROM (SELECT topic, article_id,
-  CAST(row_number() OVER (PARTITION BY topic ORDER BY round(weight, 6) DESC, article_id) AS INTEGER)
+  CAST(row_number() OVER (PARTITION BY topic ORDER BY {order_key_sql('weight')} DESC, article_id) AS INTEGER)
   AS rank FROM inr) WHERE rank <= 1)
 SELECT s.topic, round(s.share, 6) AS share, t.rank, t.article_id
 FROM shares s LEFT JOIN tops t ON t.topic = s.topic AND s.share > 0.1"""))
@@ -229,7 +232,7 @@ def q_best_per_month(spark, sf):
 def _top_terms_sql(n_top: int) -> str:
     return f""",
 ranked_terms AS (SELECT topic, term, weight, CAST(row_number() OVER (PARTITION BY topic
-  ORDER BY round(weight, 6) DESC, term DESC) AS INTEGER) AS rank FROM topic_terms),
+  ORDER BY {order_key_sql('weight')} DESC, term DESC) AS INTEGER) AS rank FROM topic_terms),
 top_terms AS (SELECT topic, rank, term,
   100.0 * weight / sum(weight) OVER (PARTITION BY topic) AS pct
   FROM ranked_terms WHERE rank <= {n_top - 1})"""
@@ -242,17 +245,17 @@ def q_topic_top_terms(spark, sf):
     return t.select("topic", "rank", "term", r6("pct").alias("pct"))
 
 
-@register("topic_concise_terms", fixture_sql(_top_terms_sql(30) + """
+@register("topic_concise_terms", fixture_sql(_top_terms_sql(30) + f"""
 SELECT topic, rank, term, round(pct, 6) AS pct FROM (SELECT topic, term, pct, CAST(row_number()
-  OVER (PARTITION BY topic ORDER BY round(pct, 6) DESC, term DESC) AS INTEGER) AS rank
+  OVER (PARTITION BY topic ORDER BY {order_key_sql('pct')} DESC, term DESC) AS INTEGER) AS rank
   FROM top_terms) WHERE rank <= 10"""))
 def q_topic_concise_terms(spark, sf):
     t = TT.topic_concise_terms(TT.topic_top_terms(fx_(spark, sf).topic_terms, 30), 10)
     return t.select("topic", "rank", "term", r6("pct").alias("pct"))
 
 
-@register("topic_terms_ranked", fixture_sql(_top_terms_sql(20) + """
-SELECT topic, CAST(row_number() OVER (PARTITION BY topic ORDER BY round(pct, 6) DESC, term DESC)
+@register("topic_terms_ranked", fixture_sql(_top_terms_sql(20) + f"""
+SELECT topic, CAST(row_number() OVER (PARTITION BY topic ORDER BY {order_key_sql('pct')} DESC, term DESC)
   AS INTEGER) AS rank, term, round(pct, 6) AS pct FROM top_terms"""))
 def q_topic_terms_ranked(spark, sf):
     t = TT.topic_terms_ranked(TT.topic_top_terms(fx_(spark, sf).topic_terms, 20))
@@ -557,3 +560,61 @@ SELECT DISTINCT substr(pub_date, 1, 7) AS month,
 def q_shift_back_weeks(spark, sf):
     a = fx_(spark, sf).articles.select(D.month_key("pub_date").alias("month")).distinct()
     return a.select("month", D.shift_back_weeks(D.month_start("month"), 3).alias("label"))
+
+
+# ------------------------------------------------------------------ rollup
+_ROLLUP_SQL = fixture_sql(f""",
+r AS (SELECT d.*, a.type_of_material, substr(a.pub_date, 1, 7) AS month,
+    row_number() OVER (PARTITION BY d.article_id ORDER BY rw DESC, topic DESC) AS place,
+    row_number() OVER (PARTITION BY d.article_id ORDER BY rw DESC, topic) AS first_place
+  FROM dt d JOIN carts a USING (article_id))
+SELECT month, type_of_material, topic, count(*) AS n_docs, CAST(sum(CAST(place <= 3 AS INTEGER)) AS BIGINT) AS n_ranked,
+  CAST(sum(CAST(first_place = 1 AS INTEGER)) AS BIGINT) AS n_best, CAST(sum(CAST(weight > 0.001 AS INTEGER)) AS BIGINT) AS n_over,
+  CAST(sum(CAST(weight > 0.1 AS INTEGER)) AS BIGINT) AS n_strong, round(sum(weight), 6) AS weight_sum,
+  arg_min(CASE WHEN weight > 0 THEN article_id END, (-rw, article_id)) AS best_id,
+  round(max(CASE WHEN weight > 0 THEN weight END), 6) AS best_weight
+FROM r GROUP BY ALL""")
+
+
+def _rollup_rows(rollup):
+    return rollup.select(*RU.KEYS, *RU.COUNTS, r6("weight_sum").alias("weight_sum"),
+                         F.col("best.article_id").alias("best_id"), r6("best.weight").alias("best_weight"))
+
+
+@register("topic_rollup", _ROLLUP_SQL)
+def q_topic_rollup(spark, sf):
+    fx = fx_(spark, sf)
+    return _rollup_rows(RU.topic_rollup(fx.doc_topics, fx.articles))
+
+
+@register("topic_rollup_increments", _ROLLUP_SQL)
+def q_topic_rollup_increments(spark, sf):
+    """The same rollup, merged from those of three periods that cut through months."""
+    return _rollup_rows(_increments(spark, sf))
+
+
+def _increments(spark, sf):
+    fx = fx_(spark, sf)
+    day = F.col("pub_date")
+    parts = [day < "2002-06-17", (day >= "2002-06-17") & (day < "2003-03-09"), day >= "2003-03-09"]
+    kept = None
+    for own in parts:                       # each increment is merged into the stored rollup
+        new = RU.topic_rollup(fx.doc_topics.where(own), fx.articles)
+        path = write_table(new if kept is None else RU.merge_rollups(kept, new), "rollup")
+        kept = spark.read.parquet(path)
+    return kept
+
+
+@register("empire_counts_rollup", ORACLE["empire_counts"])
+def q_empire_counts_rollup(spark, sf):
+    return RU.empire_counts_of(_increments(spark, sf), K)
+
+
+@register("best_per_month_rollup", ORACLE["best_per_month"])
+def q_best_per_month_rollup(spark, sf):
+    return RU.best_per_month_of(_increments(spark, sf), K).select("month", "topic", "article_id", r6("weight").alias("weight"))
+
+
+@register("smooth_trend_rollup", _trend_sql(ranked=True, normalize=True))
+def q_smooth_trend_rollup(spark, sf):
+    return smooth_trend_of(_increments(spark, sf), K, normalize=True).select("date", "topic", r6("value").alias("value"))

@@ -1,19 +1,19 @@
 """Composite topic trend over time (ranked, threshold and normalised variants).
 
-Plan: scored News articles (one join) -> per-article topic hits plus a total
-pseudo-topic (array ops, no shuffle) -> one groupBy(month, topic) with partial
-aggregation -> a generated month x topic spine (months of the filtered data) ->
-rolling mean per topic -> label shift. Everything after the groupBy is
-months x topics rows.
+Plan: scored News articles -> one rollup by month and topic with partial aggregation
+(``operators/rollup.py``), stored -> a generated month x topic spine (months of the
+rollup) -> rolling mean per topic -> label shift. Everything after the rollup is months x
+topics rows; with a rollup that is kept, nothing else is read.
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import month_key, shift_back_weeks
+from ..functions.dates import shift_back_weeks
 from ..operators.project import with_record_columns
-from ..operators.windows import ranked_topics_col, rolling_month_mean
+from ..operators.rollup import over_types, topic_rollup
+from ..operators.windows import rolling_month_mean
 
 
 def trend_start(month_interval: int) -> str:
@@ -22,12 +22,6 @@ def trend_start(month_interval: int) -> str:
     return f"2001-0{10 - month_interval}"
 
 
-def _scored_news(doc_topics: DataFrame, articles: DataFrame, start: str) -> DataFrame:
-    dt = with_record_columns(doc_topics, articles, ["pub_date", "type_of_material"])
-    a = dt.filter((F.col("type_of_material") == "News") & (F.col("pub_date") > F.lit(start)))
-    return a.select("article_id", month_key("pub_date").alias("month"), "weights")
-
-
 def month_topic_spine(monthly: DataFrame, n_topics: int) -> DataFrame:
     """(month, mdate, topic) for every month from the first to the last month in
     ``monthly`` and every topic; generated from one aggregate row."""
@@ -39,31 +33,29 @@ def month_topic_spine(monthly: DataFrame, n_topics: int) -> DataFrame:
                          F.explode(F.sequence(F.lit(0), F.lit(n_topics - 1))).alias("topic"))
 
 
-TOTAL = -1   # pseudo-topic carrying the monthly article total in the same aggregate
-
-
 def smooth_trend(doc_topics: DataFrame, articles: DataFrame, n_topics: int, ranked: bool = True,
                  rank_number: int = 3, topic_threshold: float = .001, month_interval: int = 3,
-                 normalize: bool = False, empty_month: str = "null") -> DataFrame:
-    """Long trend (date, topic, value).
+                 normalize: bool = False, empty_month: str = "null", start: str | None = None) -> DataFrame:
+    """Long trend (date, topic, value) of scored News: the weights are read once, for
+    the rollup."""
+    start = trend_start(month_interval) if start is None else start
+    dt = with_record_columns(doc_topics, articles, ["pub_date", "type_of_material"])
+    dt = dt.where((F.col("type_of_material") == "News") & (F.col("pub_date") > F.lit(start)))
+    rollup = topic_rollup(dt, articles, rank_number, topic_threshold).checkpoint(eager=True)   # months x topics rows
+    return smooth_trend_of(rollup, n_topics, ranked, month_interval, normalize, empty_month, start)
 
-    One join of articles with weights and one groupBy(month, topic): every
-    article emits its hit topics plus the pseudo-topic -1, so the same
-    aggregate gives per-topic counts, monthly totals and the month range."""
-    scored = _scored_news(doc_topics, articles, trend_start(month_interval))
-    if ranked:
-        topics = F.transform(ranked_topics_col("weights", rank_number), lambda s: s["topic"])
-    else:
-        topics = F.filter(F.transform("weights", lambda w, i: F.when(w > F.lit(topic_threshold), i)),
-                          lambda t: t.isNotNull())
-    hits = scored.select("month", F.explode(F.concat(F.array(F.lit(TOTAL)), topics)).alias("topic"))
-    agg = hits.groupBy("month", "topic").agg(F.count(F.lit(1)).alias("n"))
-    totals = agg.filter(F.col("topic") == TOTAL).select("month", F.col("n").alias("total"))
-    counts = agg.filter(F.col("topic") != TOTAL)
-    spine = month_topic_spine(totals, n_topics)
-    m = spine.join(totals, "month", "left").join(counts, ["month", "topic"], "left")
+
+def smooth_trend_of(rollup: DataFrame, n_topics: int, ranked: bool = True, month_interval: int = 3,
+                    normalize: bool = False, empty_month: str = "null", start: str | None = None) -> DataFrame:
+    """Long trend (date, topic, value) from a stored rollup: News from the month of
+    ``start`` (default: as the interval asks), counts of ranked topics or of weights above
+    the rollup's threshold."""
+    start = trend_start(month_interval) if start is None else start
+    counts = over_types(rollup.where(F.col("month") >= start[:7]), ["News"]).select(
+        "month", "topic", F.col("n_docs").alias("total"), F.col("n_ranked" if ranked else "n_over").alias("n"))
+    m = month_topic_spine(counts, n_topics).join(counts, ["month", "topic"], "left")
     if empty_month == "null":
-        value = F.when(F.col("total").isNull(), F.lit(None)).otherwise(F.coalesce("n", F.lit(0)))
+        value = F.col("n")                       # a month with articles has a row a topic
     elif empty_month == "zero":
         value = F.coalesce("n", F.lit(0))
     else:

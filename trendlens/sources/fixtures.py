@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.ingest import clean_missing
@@ -19,7 +19,7 @@ from ..operators.tfidf import (TfidfModel, l2_normalise, partition_docs, prune_m
                               term_df_ctf, term_frequencies, vocab_term_weights, vocab_topk,
                               with_idf)
 from ..session import spread_if_narrow, write_table
-from .tables import read_table
+from .tables import ARTICLE_SCHEMA, DERIVED, read_table
 
 # --- fixed test-profile parameters ------------------------------------------
 FIXTURE_MAX_FEATURES = 5000
@@ -151,24 +151,12 @@ def build_fixture(spark: SparkSession, sf_dir: str, reuse: bool = True) -> Fixtu
                    topics_table(t["topic_terms"]), model, t["doc_topics"], t["raw_doc_topics"])
 
 
-LANDED_FIELDS = ["article_id", "web_url", "pub_date", "type_of_material", "document_type",
-                 "headline", "lead_paragraph"]
-
-
-def search_pages_from_articles(articles: DataFrame, bucket: int = 100,
-                               page_size: int = 10) -> DataFrame:
-    """Search-result pages (query, page, response) as the search API would have
-    returned them: query 'bucket-<article_id div bucket>', hits = bucket size,
-    pages of ``page_size`` records in article_id order. Each group holds at most
-    ``bucket`` records whatever the key skew of the table."""
-    grp = F.floor(F.col("article_id") / bucket).cast("long")
-    g = articles.groupBy(grp.alias("b")).agg(
-        F.sort_array(F.collect_list(F.struct(*LANDED_FIELDS))).alias("docs"))
-    n = F.size("docs")
-    pages = F.transform(F.sequence(F.lit(0), F.ceil(n / page_size).cast("int") - 1),
-                        lambda p: F.slice(F.col("docs"), p * page_size + 1, page_size))
-    return g.select(F.concat(F.lit("bucket-"), F.col("b").cast("string")).alias("query"),
-                    n.cast("long").alias("hits"), F.posexplode(pages).alias("page", "docs")
-                    ).select("query", F.col("page").cast("int").alias("page"),
-                             F.struct(F.struct(F.col("hits")).alias("meta"),
-                                      F.col("docs")).alias("response"))
+def landed_records(articles: DataFrame, bucket: int = 100) -> DataFrame:
+    """The articles as search results land (``landed_schema``): one query a hundred ids,
+    records in id order."""
+    query = F.concat(F.lit("bucket-"), F.floor(F.col("article_id") / bucket).cast("long").cast("string"))
+    own = Window.partitionBy("query")
+    return articles.withColumn("query", query).select(
+        "query", F.count(F.lit(1)).over(own).alias("hits"),
+        (F.row_number().over(own.orderBy("article_id")) - 1).cast("long").alias("position"),
+        *(f.name for f in ARTICLE_SCHEMA.fields if f.name not in DERIVED))

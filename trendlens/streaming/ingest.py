@@ -1,52 +1,73 @@
 """Incremental ingest as a Structured Streaming job.
 
-Landed search pages (JSON files) stream in; every micro-batch runs the same batch
-operators: flatten pages, keep the first record per URL, drop URLs already in
-the table, attach bodies from the pages table, clean, score with the topic
-model. Output tables are partitioned by ``batch_id`` and each batch overwrites
-only its own partition, so a retried batch is idempotent; the anti-join reads
-only partitions of earlier batches.
+Landed search results (JSON lines) stream in. URLs seen before are known to the stream's
+state, keyed by URL in the state store: a micro-batch looks up the URLs it brings and
+nothing else, so its work does not grow with the table. The first record of every new
+URL goes on to ``foreachBatch``: attach bodies, clean, score with the topic model.
+
+Output tables are partitioned by ``batch_id`` and each batch overwrites only its own
+partition; a retried batch reads the state as it was before it, so it writes the same
+rows again. A table that exists before the stream starts is the state's initial content.
 """
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.html import DEFAULT_RULES, extract_body
-from ..operators.ingest import ARTICLE_COLUMNS, clean_missing, first_per_url, land_articles
+from ..operators.html import DEFAULT_RULES
+from ..operators.ingest import ARTICLE_COLUMNS, bodies_of, clean_missing, first_per_url, land_articles
 from ..operators.project import TopicModel, store_topic_weights
-from ..sources.tables import SEARCH_PAGE_SCHEMA
+from ..sources.tables import landed_schema
+
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+ORDER = ["query", "page", "pos"]              # the order records came in
+
+
+class FirstOfUrl(StatefulProcessor):
+    """Passes the first record of a URL that the state does not know."""
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", T.StructType([T.StructField("seen", T.BooleanType())]))
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(p)
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if self.seen.exists():
+            return
+        first = None
+        for part in rows:                          # one record is held, however many a URL has
+            if not len(part):
+                continue
+            own = part.sort_values(ORDER, kind="stable").head(1)
+            if first is None or tuple(own.iloc[0][ORDER]) < tuple(first.iloc[0][ORDER]):
+                first = own
+        if first is not None:
+            self.seen.update((True,))
+            yield first
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        self.seen.update((True,))
 
-def process_batch(spark: SparkSession, pages_batch: DataFrame, batch_id: int, out: str,
-                  bodies_src: DataFrame, model: TopicModel, model_name: str,
-                  rules=DEFAULT_RULES, max_pages: int = 10) -> None:
-    """One micro-batch of the ingest (also usable as a plain batch job)."""
-    landed = land_articles(pages_batch, max_pages).withColumn(
-        "batch_pos", F.struct("query", "page", "pos"))
-    first = first_per_url(landed)
+    def close(self) -> None:
+        pass
+
+
+def ingest_new(spark: SparkSession, new: DataFrame, batch_id: int, out: str, pages: DataFrame, model: TopicModel,
+               model_name: str, rules=DEFAULT_RULES) -> None:
+    """Attach bodies to new records, clean, score, and write them as one batch."""
     art_path = f"{out}/articles"
-    if _exists(spark, art_path):
-        known = (spark.read.parquet(art_path).filter(F.col("batch_id") < batch_id)
-                 .select("web_url"))
-        first = first.join(known, "web_url", "left_anti")
-    bodies = extract_body(bodies_src.join(first.select("web_url"), "web_url", "left_semi"), rules)
-    new = first.join(bodies.select("web_url", "body"), "web_url", "left")
+    rows = new.join(bodies_of(new, pages, rules), "web_url", "left")
     got = F.col("body").isNotNull() & (F.col("body") != "")
-    new = new.select(
+    rows = rows.select(
         *[F.when(got, F.col("body")).otherwise(F.lit("")).alias(c) if c == "full_text"
           else F.when(got, F.lit(None).cast("boolean")).otherwise(F.lit(True)).alias(c)
           if c == "failed_scrape" else F.lit(None).cast("string").alias(c) if c == "clean_text"
           else F.col(c) for c in ARTICLE_COLUMNS])
-    new = clean_missing(new)
-    (new.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite")
+    (clean_missing(rows).withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(art_path))
     written = (spark.read.parquet(art_path).filter(F.col("batch_id") == batch_id)
                .drop("batch_id"))
@@ -56,26 +77,46 @@ def process_batch(spark: SparkSession, pages_batch: DataFrame, batch_id: int, ou
      .parquet(f"{out}/doc_topics"))
 
 
-def stream_ingest(spark: SparkSession, landing: str, bodies_src: DataFrame, model: TopicModel,
+def process_batch(spark: SparkSession, landed: DataFrame, batch_id: int, out: str, pages: DataFrame, model: TopicModel,
+                  model_name: str, rules=DEFAULT_RULES, max_pages: int = 10, known: DataFrame | None = None) -> None:
+    """The ingest of landed results as a plain batch job; ``known`` (web_url) are URLs in
+    the table already."""
+    first = first_per_url(land_articles(landed, max_pages).withColumn("batch_pos", F.struct(*ORDER)))
+    if known is not None:
+        first = first.join(known.select("web_url"), "web_url", "left_anti")
+    ingest_new(spark, first, batch_id, out, pages, model, model_name, rules)
+
+
+def stream_ingest(spark: SparkSession, landing: str, pages: DataFrame, model: TopicModel,
                   out: str, checkpoint: str, model_name: str = "model", rules=DEFAULT_RULES,
-                  max_files_per_trigger: int | None = None, available_now: bool = True):
-    """Start the streaming ingest; returns the StreamingQuery."""
-    reader = spark.readStream.schema(SEARCH_PAGE_SCHEMA)
+                  max_files_per_trigger: int | None = None, available_now: bool = True,
+                  id_type: T.DataType = T.StringType(), known: DataFrame | None = None, max_pages: int = 10):
+    """Start the streaming ingest; returns the StreamingQuery. ``known`` (web_url) are the
+    URLs of a table that exists before the first start."""
+    spark.conf.set(STORE, ROCKS)
+    reader = spark.readStream.schema(landed_schema(id_type))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    pages = reader.json(landing)
+    records = land_articles(reader.json(landing), max_pages).where("web_url is not null")
+    start = known.select("web_url").distinct().groupBy("web_url") if known is not None else None
+    new = records.groupBy("web_url").transformWithStateInPandas(
+        FirstOfUrl(), outputStructType=records.schema, outputMode="Append", timeMode="None", initialState=start)
 
     def run(batch_df: DataFrame, batch_id: int) -> None:
-        process_batch(spark, batch_df, batch_id, out, bodies_src, model, model_name, rules)
+        kept = batch_df.persist()                 # the state runs once a batch
+        try:
+            ingest_new(spark, kept, batch_id, out, pages, model, model_name, rules)
+        finally:
+            kept.unpersist()
 
-    w = pages.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    w = new.writeStream.outputMode("append").foreachBatch(run).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
 
 
-def write_landing(pages: DataFrame, landing: str, n_files: int = 4) -> str:
-    """Write search pages as JSON files (the landing folder of the search client)."""
-    pages.repartition(n_files).write.mode("errorifexists").json(landing)
+def write_landing(records: DataFrame, landing: str, n_files: int = 4) -> str:
+    """Write landed search results as JSON lines."""
+    records.repartition(n_files).write.mode("errorifexists").json(landing)
     return landing
 
 
