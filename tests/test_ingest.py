@@ -1,6 +1,8 @@
+from pyspark.sql import functions as F
+
 from trendlens.operators import ingest as IN
 from trendlens.operators.html import TEST_PROFILE_RULES, extract_one
-from trendlens.sources.tables import ARTICLE_SCHEMA
+from trendlens.sources.tables import ARTICLE_SCHEMA, landed_schema
 
 COLS = [f.name for f in ARTICLE_SCHEMA.fields]
 
@@ -65,15 +67,15 @@ def test_clean_missing_idempotent(spark):
         [(1, "hello world"), (2, None)]
 
 
-def test_land_articles_pages_limit(spark):
-    docs = [(i, f"u{i}", f"2002-01-{i + 1:02d}T00:00:00Z", "News", "article", ("h",), "l")
-            for i in range(25)]
-    pages = [("q", p, ((25,), docs[p * 10:(p + 1) * 10])) for p in range(3)]
-    df = spark.createDataFrame(pages, "query string, page int, response struct<meta:struct<hits:long>,"
-                               "docs:array<struct<article_id:long,web_url:string,pub_date:string,"
-                               "type_of_material:string,document_type:string,"
-                               "headline:struct<main:string>,lead_paragraph:string>>>")
-    assert IN.land_articles(df, max_pages=10).count() == 25
-    assert IN.land_articles(df, max_pages=2).count() == 20
-    cur = IN.ingest_cursor(IN.land_articles(df)).first()
+def test_land_articles_pages_limit(spark, tmp_path):
+    records = [("q", 25, i, f"id{i}", f"u{i}", f"2002-01-{i + 1:02d}T00:00:00Z", "News", "article", ("h",), "l")
+               for i in range(25)]
+    spark.createDataFrame(records, landed_schema()).write.json(f"{tmp_path}/landed")
+    landed = IN.read_landed(spark, f"{tmp_path}/landed")
+    assert IN.land_articles(landed, max_pages=10).count() == 25
+    assert IN.land_articles(landed, max_pages=2).count() == 20
+    assert IN.land_articles(landed.withColumn("hits", F.lit(9).cast("long"))).count() == 10
+    pos = {r["article_id"]: (r["page"], r["pos"]) for r in IN.land_articles(landed).collect()}
+    assert pos["id0"] == (0, 0) and pos["id24"] == (2, 4)
+    cur = IN.ingest_cursor(IN.land_articles(landed)).first()
     assert cur["last_date"] == "20020125"

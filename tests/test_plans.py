@@ -3,6 +3,9 @@ from pyspark.sql import functions as F
 
 from trendlens.operators import ingest as IN
 from trendlens.operators import topic_stats as TS
+from trendlens.operators.topic_terms import join_topic_names
+from trendlens.plans.trends import smooth_trend
+from trendlens.sources.sinks import join_best_metadata
 from trendlens.operators.filters import filter_date_range
 from trendlens.operators.tfidf import tfidf_transform
 from trendlens.sources.fixtures import build_fixture
@@ -44,5 +47,23 @@ def test_string_bounds_pushed_to_scan(spark):
 
 def test_topics_dimension_broadcast(spark):
     fx = build_fixture(spark, SF)
-    p = plan(TS.article_relevance(fx.raw_doc_topics, fx.topics))
+    p = plan(join_topic_names(fx.doc_topics.select(F.posexplode("weights").alias("topic", "w")), fx.topics))
     assert "BroadcastHashJoin" in p
+
+
+def test_relevance_is_computed_inside_rows(spark):
+    fx = build_fixture(spark, SF)
+    p = plan(TS.article_relevance(fx.raw_doc_topics, fx.topics))
+    assert "Exchange" not in p and "Join" not in p
+
+
+def test_trend_reads_the_stored_rollup_only(spark):
+    fx = build_fixture(spark, SF)
+    p = plan(smooth_trend(fx.doc_topics, fx.articles, 8, normalize=True))
+    assert "FileScan" not in p
+
+
+def test_best_articles_go_to_the_articles(spark):
+    fx = build_fixture(spark, SF)
+    p = plan(join_best_metadata(TS.best_overall(fx.doc_topics, fx.articles), fx.articles))
+    assert "BroadcastHashJoin" in p and "SortMergeJoin" not in p

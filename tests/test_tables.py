@@ -50,9 +50,12 @@ def test_bucketed_updates_equal_whole_ones(spark):
     assert files(after, rest) == files(table, rest) and not files(after, touched) & files(table, touched)
     assert key(table.read()) == key(a)                              # the version before is still there
     bodies = spark.createDataFrame([("u0", "a body"), ("u0", ""), ("u6", "")], "web_url string, body string")
-    assert key(after.update_bodies(bodies).read()) == key(IN.update_bodies(after.read(), bodies))
-    cleaned = after.clean_batch(batch.select("article_id"))
-    assert key(cleaned.read()) == key(IN.clean_batch(after.read(), batch.select("article_id")))
+    bodied = after.update_bodies(bodies)
+    assert key(bodied.read()) == key(IN.update_bodies(after.read(), bodies))
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):       # another update of that version was first
+        after.clean_batch(batch.select("article_id"))
+    cleaned = bodied.clean_batch(batch.select("article_id"))
+    assert key(cleaned.read()) == key(IN.clean_batch(bodied.read(), batch.select("article_id")))
     assert after.upsert(batch)[0].version == after.version            # nothing new: no new version
     assert BucketedArticles.open(spark, table.path).version == cleaned.version
     assert key(BucketedArticles.open(spark, table.path, 1).read()) == key(a)

@@ -17,7 +17,7 @@ def ranked_topics_col(weights, rank_number: int = 3) -> Column:
     """array<struct<rw, topic>> of the ``rank_number`` highest topics of a weight
     vector by the weights' order keys, ties to the higher topic."""
     w = F.col(weights) if isinstance(weights, str) else weights
-    pairs = F.transform(w, lambda v, i: F.struct(order_key(v).alias("rw"), i.alias("topic")))
+    pairs = F.transform(w, lambda v, i: F.named_struct(F.lit("rw"), order_key(v), F.lit("topic"), i))
     return F.slice(F.sort_array(pairs, asc=False), 1, rank_number)
 
 

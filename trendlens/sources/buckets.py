@@ -1,14 +1,16 @@
 """The article table in buckets of the id's hash, updated by rewriting touched buckets.
 
-    <path>/data/version=<n>/bucket=<b>/part-*    rows of bucket b as of version n
-    <path>/manifest/version=<n>                  (bucket, version): where each bucket is
+    <path>/data/<write>/bucket=<b>/part-*    rows of bucket b as one update wrote them
+    <path>/manifest/version=<n>              (bucket, write): where each bucket is
 
-An update writes the buckets that its rows fall into under the next version, then the
-manifest, last: readers see the whole update or nothing of it, files of the other
-buckets are untouched, and nothing is overwritten while it is read.
+An update writes the buckets that its rows fall into to a fresh folder, then the manifest
+of the next version, last: readers see the whole update or nothing of it, files of the
+other buckets are untouched, and nothing is overwritten while it is read. Of two updates
+of one version, the second to write its manifest fails.
 """
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,7 +32,7 @@ class BucketedArticles:
     spark: SparkSession
     path: str
     version: int
-    placed: dict[int, int]                    # bucket -> version that holds it
+    placed: dict[int, str]                    # bucket -> folder that holds it
     buckets: int
 
     @classmethod
@@ -50,11 +52,11 @@ class BucketedArticles:
             if not done:
                 raise FileNotFoundError(f"no table under {path}")
             version = max(done)
-        rows = spark.read.schema("bucket int, version int, buckets int").json(f"{path}/manifest/version={version}").collect()
-        return cls(spark, path, version, {r["bucket"]: r["version"] for r in rows if r["version"] is not None}, rows[0]["buckets"])
+        rows = spark.read.schema("bucket int, folder string, buckets int").json(f"{path}/manifest/version={version}").collect()
+        return cls(spark, path, version, {r["bucket"]: r["folder"] for r in rows if r["folder"] is not None}, rows[0]["buckets"])
 
     def files(self, buckets=None) -> list[str]:
-        return [f"{self.path}/data/version={v}/bucket={b}" for b, v in sorted(self.placed.items()) if buckets is None or b in buckets]
+        return [f"{self.path}/data/{v}/bucket={b}" for b, v in sorted(self.placed.items()) if buckets is None or b in buckets]
 
     def read(self, buckets=None) -> DataFrame:
         """Rows of all or of the given buckets."""
@@ -73,16 +75,17 @@ class BucketedArticles:
         rows = rows.select(*ARTICLE_COLUMNS)
         if not self.version:
             rows.limit(0).write.parquet(f"{self.path}/schema")
-        folder = f"{self.path}/data/version={version}"
+        name = f"{version}-{uuid.uuid4().hex[:12]}"
+        folder = f"{self.path}/data/{name}"
         (rows.withColumn("bucket", bucket_of(self.buckets)).repartition("bucket")
          .write.partitionBy("bucket").parquet(folder))
         # a bucket that has rows has a folder
         root = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
         fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         there = {int(s.getPath().getName()[7:]) for s in fs.listStatus(root) if s.getPath().getName().startswith("bucket=")}
-        placed = {b: v for b, v in self.placed.items() if b not in touched} | {b: version for b in there}
+        placed = {b: v for b, v in self.placed.items() if b not in touched} | {b: name for b in there}
         manifest = [(b, placed.get(b), self.buckets) for b in range(self.buckets)]
-        self.spark.createDataFrame(manifest, "bucket int, version int, buckets int").coalesce(1).write.json(
+        self.spark.createDataFrame(manifest, "bucket int, folder string, buckets int").coalesce(1).write.json(
             f"{self.path}/manifest/version={version}")
         return BucketedArticles(self.spark, self.path, version, placed, self.buckets)
 
