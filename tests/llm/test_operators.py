@@ -68,6 +68,18 @@ def test_packing_and_token_files(spark, docs):
     assert sorted(map(tuple, rows), key=lambda r: r[1]) == want
 
 
+def test_encoder_equals_the_library_with_little_memory():
+    rng = random.Random(12)
+    e = bitpack.TokenEncoder(tokenizer_file("byte_bpe_50k.json"), memory=50)
+    parts = ["the", " the", "  ", "\n", "'s", " 's", "'", " \u00a0", "\u2003", "\u1680x", " 12", "3", "\u00e9", " \u65e5\u672c", "\U0001f600", " !!", "<|endo",
+             "ftext|>", "<|endoftext|>", " \u0120", "\x1c", " \x85", "\u0327", " " + "x" * 300, "\x00", "\t"]
+    for _ in range(60):
+        texts = ["".join(rng.choice(parts) + rng.choice(["", " ", "ab", " cd"]) for _ in range(rng.randint(0, 40))) for _ in range(8)]
+        want = [t.ids for t in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert [i.tolist() for i in e.encode(texts)] == want
+    assert e.old
+
+
 def test_fm_index_against_brute_force():
     rng = random.Random(2)
     for k in range(60):

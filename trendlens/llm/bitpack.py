@@ -128,9 +128,11 @@ class PackReader:
 
 class TokenEncoder:
     """The tokenizers library over whole texts; pretokens seen before are looked up
-    (the byte-level pattern splits before any merge, so ids are the same)."""
+    (the byte-level pattern splits before any merge, so ids are the same). Two
+    generations of ``memory`` pretokens are kept: one that is met again moves to the
+    younger, and a full younger one takes the place of the older."""
 
-    def __init__(self, tokenizer_file: str, memory: int = 300_000):
+    def __init__(self, tokenizer_file: str, memory: int = 500_000):
         import os
 
         import regex
@@ -139,7 +141,10 @@ class TokenEncoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memory, self.known = memory, {}
+        self.memory, self.young, self.old = memory, {}, {}
+        self.opens = np.zeros(self.vocabulary, bool)          # tokens that begin with a blank
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
+            self.opens[i] = token.startswith("\u0120")
         self.pattern = regex.compile(
             r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
         # what the pattern stands for must be the file's own splitting
@@ -156,14 +161,39 @@ class TokenEncoder:
         if self.pattern is None:
             return self._whole(texts)
         words = [None if any(a in t for a in self.added) else self.pattern.findall(t) for t in texts]
-        known = self.known
-        new = list({w for ws in words if ws for w in ws if w not in known})
-        fresh = {w: i.tobytes() for w, i in zip(new, self._whole(new))}
-        out = [self._whole([t])[0] if ws is None else np.frombuffer(
-            b"".join([known.get(w) or fresh[w] for w in ws]), np.uint32) for t, ws in zip(texts, words)]
-        if len(known) + len(fresh) > self.memory:
-            known.clear()
-        known.update((w, i) for w, i in fresh.items() if len(w) <= 64)
+        missing = set().union(*(ws for ws in words if ws)).difference(self.young)
+        again = {w: self.old[w] for w in missing & self.old.keys()}
+        fresh = list(missing.difference(again))
+        young = self.young
+        young.update(again)
+        young.update(zip(fresh, self._pretokens(fresh)))
+        out = [self._whole([t])[0] if ws is None else np.frombuffer(b"".join(map(young.__getitem__, ws)), np.uint32)
+               for t, ws in zip(texts, words)]
+        for w in fresh:
+            if len(w) > 64:
+                del young[w]
+        if len(young) > self.memory:
+            self.old, self.young = young, {}
+        return out
+
+    def _pretokens(self, words: list[str]) -> list[bytes]:
+        """Ids of single pretokens. Those that begin with one blank are encoded in one text:
+        it splits before every blank again, and only a first token begins with one."""
+        apart = [k for k, w in enumerate(words) if w[0] != " " or len(w) < 2 or w[1].isspace()]
+        joined = sorted(set(range(len(words))).difference(apart))
+        out: list[bytes] = [b""] * len(words)
+        for at in range(0, len(joined), 1 << 14):
+            own = joined[at:at + (1 << 14)]
+            ids = self._whole(["".join(words[k] for k in own)])[0]
+            starts = np.flatnonzero(self.opens[ids])
+            if len(starts) != len(own):
+                apart += own
+                continue
+            data, ends = ids.tobytes(), [*(4 * starts[1:]).tolist(), 4 * len(ids)]
+            for k, s, e in zip(own, (4 * starts).tolist(), ends):
+                out[k] = data[s:e]
+        for k, ids in zip(apart, self._whole([words[k] for k in apart])):
+            out[k] = ids.tobytes()
         return out
 
 
