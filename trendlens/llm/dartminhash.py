@@ -34,6 +34,7 @@ WORDS = 5
 SIMILARITY = 0.8
 COORDINATES, BANDS = 128, 32
 BLOCK, BLOCK_ELEMENTS = 1024, 1 << 21      # members and elements of a bucket's block
+BROADCAST_IDS = 4_000_000                  # ids sent to the texts at most (32 MB of longs)
 _U = np.uint64
 
 
@@ -152,7 +153,8 @@ def sign(docs: DataFrame, weights: str, k: int = COORDINATES, bands: int = BANDS
 
 
 def weighted_sets(docs: DataFrame, weights: str) -> DataFrame:
-    """(id, elements array<long>, weights array<long>) of texts."""
+    """(id, elements array<long>, weights array<long>) of texts; no weights where every
+    element weighs one."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in chunks(batch.column(1)):
@@ -160,17 +162,35 @@ def weighted_sets(docs: DataFrame, weights: str) -> DataFrame:
                 sets = [_weigh(t, weights) for t in texts.to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [ids, pa.array([s[0].view(np.int64) for s in sets], pa.list_(pa.int64())),
-                     pa.array([s[1] for s in sets], pa.list_(pa.int64()))], names=["id", "elements", "weights"])
+                     pa.array([s[1] if weights == "count" else None for s in sets], pa.list_(pa.int64()))],
+                    names=["id", "elements", "weights"])
     return docs.mapInArrow(run, "id long, elements array<long>, weights array<long>")
 
 
-def similar(pairs: DataFrame, docs: DataFrame, weights: str, least: float) -> DataFrame:
+def of_ids(rows: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """The rows whose ``name`` is among the stored ``ids``. Up to BROADCAST_IDS ids are
+    sent to the rows, so these do not move; more meet them in a shuffle."""
+    few = ids.count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(ids) if few else ids.hint("merge"), name, "left_semi")
+
+
+def alike(pairs: DataFrame, sketches: DataFrame, need: float) -> DataFrame:
+    """The pairs (a, b) whose sketches agree on at least ``need`` coordinates."""
+    side = lambda s: sketches.select(F.col("id").alias(s), F.col("sketch").alias("s" + s))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+                        for c in ("sa", "sb"))
+                yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= need))
+    return (pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb")
+            .mapInArrow(run, "a long, b long").distinct())
+
+
+def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) of class ids whose exact weighted Jaccard similarity is at
     least ``least``."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = (docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id", "left_semi")
-             .select(F.col("doc_id").alias("id"), "text"))
-    sets = stored(weighted_sets(texts.dropDuplicates(), weights), "minhash-sets")
     side = lambda s: sets.select(F.col("id").alias(s), F.col("elements").alias("e" + s),
                                  F.col("weights").alias("w" + s))
     joined = pairs.join(side("a"), "a").join(side("b"), "b")
@@ -179,12 +199,18 @@ def similar(pairs: DataFrame, docs: DataFrame, weights: str, least: float) -> Da
         for batch in batches:
             keep = []
             for i in range(batch.num_rows):
-                ea, wa, eb, wb = (np.asarray(batch.column(c)[i].values) for c in ("ea", "wa", "eb", "wb"))
-                keep.append(bool(jaccard_at_least((ea, wa, wa.sum()), (eb, wb, wb.sum()), least)))
+                x, y = (_set_at(batch, i, s) for s in "ab")
+                keep.append(bool(jaccard_at_least(x, y, least)))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
     return joined.select("a", "b", "ea", "wa", "eb", "wb").mapInArrow(run, "a long, b long").distinct()
 
 
+def _set_at(batch: pa.RecordBatch, i: int, side: str) -> tuple[np.ndarray, np.ndarray, int]:
+    e, w = np.asarray(batch.column("e" + side)[i].values), batch.column("w" + side)[i].values
+    w = np.ones(len(e), np.int64) if w is None else np.asarray(w)
+    return e, w, w.sum()
+
+
 def jaccard_at_least(x, y, least: float) -> bool:
     """Exact weighted Jaccard of two sorted (elements, weights) against ``least``."""
     (ea, wa, ta), (eb, wb, tb) = x, y
@@ -195,20 +221,30 @@ def jaccard_at_least(x, y, least: float) -> bool:
     return shared >= least * (ta + tb - shared)
 
 
-def across(rows: DataFrame, k: int, least: float) -> DataFrame:
-    """Links (a, b) between members of a bucket (key, id, component, sketch, elements,
-    weights) that are in different components, enough of them to connect all
+def agreement(k: int, least: float) -> float:
+    """Coordinates on which sketches of sets as similar as ``least`` agree, less five
+    standard deviations."""
+    return k * max(0.0, least - 5 * (least * (1 - least) / k) ** 0.5)
+
+
+def across(rows: DataFrame, sets: DataFrame, k: int, least: float) -> DataFrame:
+    """Links (a, b) between members of a bucket (key, id, component, sketch; their
+    stored sets) that are in different components, enough of them to connect all
     that are linked: a pair is skipped once its ends are connected, and compared
     exactly if the sketches come within five standard deviations of ``least``.
     Large buckets are cut into blocks by members and elements; each pair of
-    blocks is one group, and a group returns fewer links than it has members."""
-    need = k * max(0.0, least - 5 * (least * (1 - least) / k) ** 0.5)
-    size = rows.groupBy("key").agg(F.greatest(
-        F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.size("elements")) / BLOCK_ELEMENTS)).cast("int").alias("blocks"))
-    cut = (rows.join(size, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    blocks is one group, and a group returns fewer links than it has members.
+    Blocks are dealt before the sets join, which so move to their groups only."""
+    need = agreement(k, least)
+    held = sets.groupBy("id").agg(F.sum(F.size("elements")).alias("held"))
+    slim = stored(rows.join(held, "id"), "minhash-members")
+    size = slim.groupBy("key").agg(F.greatest(
+        F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("held") / BLOCK_ELEMENTS)).cast("int").alias("blocks"))
+    cut = (slim.join(size, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
            .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block",
-                   "id", "component", "sketch", "elements", "weights"))
+                   "id", "component", "sketch")
+           .join(sets, "id"))
 
     def compare(t: pa.Table) -> pa.Table:
         ids, block = t.column("id").to_numpy(), t.column("block").to_numpy()
@@ -216,7 +252,7 @@ def across(rows: DataFrame, k: int, least: float) -> DataFrame:
         sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)
         e, w = t.column("elements").combine_chunks(), t.column("weights").combine_chunks()
         _, element = np.unique(np.asarray(e.flatten()), return_inverse=True)
-        weight = np.asarray(w.flatten())
+        weight = np.ones(len(element), np.int64) if w.null_count else np.asarray(w.flatten())
         ends = np.cumsum([0, *pc.list_value_length(e).to_pylist()])
         total = np.add.reduceat(weight, ends[:-1])
         own = np.zeros(element.max() + 1, weight.dtype)
@@ -260,20 +296,27 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weights: st
     classes = stored(signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")).where("rep is not null"),
                      "minhash-classes")
     own = signed.join(classes.select(F.col("rep").alias("doc_id"), "h1", "h2"), ["doc_id", "h1", "h2"], "left_semi")
-    rows = stored(own.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id")).distinct(), "minhash-bands")
+    rows = stored(own.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id")), "minhash-bands")
     buckets = rows.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z")
-    rows = stored(rows.join(buckets.select("key", "a"), "key"), "minhash-buckets")
-    pairs = stored(rows.where("id <> a").select("a", F.col("id").alias("b")).distinct(), "minhash-pairs")
-    links = stored(similar(pairs, docs, weights, similarity), "minhash-links")
+    rows = stored(rows.join(buckets.select("key", "a"), "key").distinct(), "minhash-buckets")
+    ids = stored(rows.select(F.col("id").alias("doc_id")).distinct(), "minhash-candidates")
+    sketches = stored(of_ids(signed, ids, "doc_id")
+                      .join(classes.select(F.col("rep").alias("doc_id"), "h1", "h2"), ["doc_id", "h1", "h2"], "left_semi")
+                      .select(F.col("doc_id").alias("id"), "sketch").distinct(), "minhash-sketches")
+    texts = of_ids(docs.select(F.col("doc_id").cast("long"), "text"), ids, "doc_id").dropDuplicates()
+    sets = stored(weighted_sets(texts.select(F.col("doc_id").alias("id"), "text"), weights), "minhash-sets")
+    pairs = rows.where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    pairs = stored(alike(pairs, sketches, agreement(k, similarity)), "minhash-pairs")
+    links = stored(similar(pairs, sets, similarity), "minhash-links")
     found = stored(connected_components(links), "minhash-components")
     named = (rows.join(found.withColumnRenamed("node", "id"), "id", "left")
              .select("key", "id", F.coalesce("component", "id").alias("component")))
-    mixed = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
-    sketches = own.select(F.col("doc_id").alias("id"), "sketch").dropDuplicates(["id"])
-    rest = stored(named.join(mixed.select("key"), "key", "left_semi").join(sketches, "id"), "minhash-rest")
-    sets = weighted_sets(docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-                         .join(rest.select("id").distinct(), "id", "left_semi").dropDuplicates(), weights)
-    more = stored(across(rest.join(stored(sets, "minhash-sets"), "id"), k, similarity), "minhash-more")
+    mixed = named.groupBy("key").agg(
+        F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n"),
+        F.bit_xor(F.xxhash64("id", F.lit(1))).alias("p"), F.bit_xor(F.xxhash64("id", F.lit(2))).alias("q")).where("x < y")
+    mixed = mixed.groupBy("x", "y", "n", "p", "q").agg(F.min("key").alias("key"))    # equal buckets count once
+    rest = named.join(mixed.select("key"), "key", "left_semi").join(sketches, "id")
+    more = stored(across(rest, sets, k, similarity), "minhash-more")
     if not more.isEmpty():
         found = stored(connected_components(links.union(more)), "minhash-components")
     return (signed.select("doc_id", "h1", "h2").join(classes, ["h1", "h2"], "left")
