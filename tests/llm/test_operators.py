@@ -265,6 +265,18 @@ def test_vectors(spark):
     assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in (900, 901, 902, 903))
 
 
+def test_vectors_of_extreme_size_or_alone_in_their_length(spark):
+    rows = [(1, [1e-200] * 3), (2, [1e-200] * 3), (3, [1e200, 0.0, 0.0]), (4, [1e200, 1e100, 0.0]), (5, [5e-324, 0.0, -0.0]),
+            (6, [1.0, 2.0, 3.0, 4.0]), (7, [1.0, 2.0, 3.0, 4.0]), (7, [1.0, 2.0, 3.0, 4.0]), (8, []), (9, [1.0, None, 1.0]),
+            (None, [3.0])]
+    df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, rep string")
+    got = sorted((-1 if r["vec_id"] is None else r["vec_id"], r["n_links"], r["component_id"], r["kept"])
+                 for r in pq.near_duplicates(df).collect())
+    assert got == [(-1, 0, None, True), (1, 1, 1, True), (2, 1, 1, False), (3, 2, 3, True), (4, 2, 3, False), (5, 2, 3, False),
+                   (6, 2, 6, True), (7, 2, 6, False), (7, 2, 6, False), (8, 0, 8, True), (9, 0, 9, True)]
+    assert pq.near_duplicates(df.limit(0)).count() == 0
+
+
 def test_vectors_linked_across_lists(spark):
     rng = np.random.default_rng(11)
     unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)

@@ -89,12 +89,30 @@ class Model:
             error += e
         return codes, np.sqrt(error)
 
-    def estimates(self, query_residuals: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """Asymmetric distances: sums of table entries, queries by coded vectors."""
-        out = np.zeros((len(query_residuals), len(codes)), np.float32)
+    def tables(self, x: np.ndarray) -> list[np.ndarray]:
+        """Per subspace, entries by queries: -2 * (query . entry). What else a squared
+        distance to a coded vector consists of depends on the query and the list, or on
+        the list and the code, so the tables hold for every list."""
+        return [(book @ (-2 * x[:, a:b].T)).astype(np.float32)
+                for a, b, book in zip(self.cuts, self.cuts[1:], self.books)]
+
+    def constants(self, codes: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """Per coded vector |r|^2 + 2 (centre . r), r its residual as coded."""
+        out = np.zeros(len(codes))
         for k, (a, b, book) in enumerate(zip(self.cuts, self.cuts[1:], self.books)):
-            out += squared(query_residuals[:, a:b], book).astype(np.float32)[:, codes[:, k]]
-        return np.sqrt(out)
+            r = book[codes[:, k]]
+            out += (r * (r + 2 * self.centres[of, a:b])).sum(1)
+        return out
+
+    def estimates(self, tables: list[np.ndarray], start: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Squared asymmetric distances, coded vectors by queries: ``start`` (|query - centre|^2
+        and the constants) and a table entry per subspace. A row of a table holds an entry
+        for all queries, so look-ups copy rows."""
+        out = start.astype(np.float32)
+        row = np.empty_like(out)
+        for k, table in enumerate(tables):
+            out += np.take(table, codes[:, k], axis=0, out=row, mode="clip")
+        return out
 
 
 def vectors_of(column: pa.Array, dim: int) -> np.ndarray:
@@ -135,8 +153,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     non-finite components only; rep is the smallest vec_id."""
     v = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
-    return v.where(F.col("v").isNotNull() & finite & (norm > 0) & (norm < float("inf"))).select(
+    return v.where(F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0)).select(
         "vec_id", F.transform("v", lambda x: x + F.lit(0.0)).alias("v"))        # no negative zeros
 
 
@@ -148,7 +165,10 @@ def link(vectors: DataFrame, least: float = COSINE, probes: int = PROBES) -> tup
     classes = stored(good.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
                      .withColumn("dim", F.size("v")).where("rep is not null"), "pq-classes")
     links = []
-    for row in classes.groupBy("dim").agg(F.count("*").alias("rows")).collect():      # one row a dimension
+    lengths = classes.groupBy("dim").agg(F.count("*").alias("rows"))
+    alone = classes.join(lengths.where("rows = 1").select("dim"), "dim", "left_semi")  # copies of one vector
+    links.append(alone.select(F.lit(0).alias("kind"), F.col("rep").alias("a"), F.col("n").alias("b")))
+    for row in lengths.where("rows > 1").collect():                                   # one row a dimension
         links.append(_link_dimension(classes.where(F.col("dim") == row["dim"]), row["dim"], row["rows"], least, probes))
     empty = spark.createDataFrame([], "kind int, a long, b long")
     found = empty
@@ -235,15 +255,22 @@ def _link_dimension(classes: DataFrame, dim: int, rows: int, least: float, probe
             error, n = s.column("error").to_numpy(), s.column("n").to_numpy()
             ids = np.concatenate([q.column("q_rep").to_numpy(), s.column("rep").to_numpy()])
             own, of = q.column("q_own").to_numpy(), s.column("list").to_numpy()
-            lists = [(k, np.flatnonzero(of == k)) for k in np.unique(of)]
+            lists = [(k, member[a:a + 512]) for k in np.unique(of) for member in [np.flatnonzero(of == k)]
+                     for a in range(0, len(member), 512)]
+            fixed, bound = m.constants(codes, of), ((radius + error + 1e-4) ** 2).astype(np.float32)
             x, y = [], []
             for at in range(0, len(qu), 256):
-                to = m.visits(qu[at:at + 256], own[at:at + 256], radius, probes)
+                block = qu[at:at + 256]
+                to = m.visits(block, own[at:at + 256], radius, probes)
+                far, tables = squared(block, m.centres), m.tables(block)
                 for k, member in lists:
-                    query = np.flatnonzero(to[:, k]) + at
-                    close = m.estimates(qu[query] - m.centres[k], codes[member]) <= radius + error[member] + 1e-4
-                    i, j = np.nonzero(close)
-                    i, j = query[i], member[j]
+                    query = np.flatnonzero(to[:, k])
+                    if not len(query):
+                        continue
+                    mine = tables if len(query) == len(block) else [np.take(t, query, axis=1) for t in tables]
+                    start = fixed[member][:, None] + far[query, k][None, :]
+                    j, i = np.nonzero(m.estimates(mine, start, codes[member]) <= bound[member][:, None])
+                    i, j = query[i] + at, member[j]
                     real = (qu[i] * su[j]).sum(1) >= least
                     x.append(i[real])
                     y.append(j[real])
