@@ -10,7 +10,8 @@ compared by exact cosine.
 Equal vectors form one class first and travel once, with their number. Small lists
 share a bin, which a query is sent to once. Bins are cut into blocks and their
 visitors too, so a dense list is spread over many tasks; a task returns link counts
-and a spanning forest, never all its pairs.
+and a spanning forest, never all its pairs. Of two bins only the vectors of the first
+visit the other, and a link found there counts for both its ends.
 """
 from __future__ import annotations
 
@@ -222,14 +223,15 @@ def _link_dimension(classes: DataFrame, dim: int, rows: int, least: float, probe
                 x = np.frombuffer(b"".join(part.column(1).to_pylist())).reshape(-1, dim)
                 to = m.visits(x, part.column(2).to_numpy(), radius, probes)
                 query, to = np.nonzero(to)
-                query, to = np.unique(np.column_stack([query, bins[to]]), axis=0).T
+                later = bins[to] >= bins[part.column(2).to_numpy()[query]]      # the other way round: the other visits
+                query, to = np.unique(np.column_stack([query[later], bins[to[later]]]), axis=0).T
                 yield pa.RecordBatch.from_arrays([*(c.take(pa.array(query)) for c in part.columns), pa.array(to)],
-                                                 names=["rep", "unit", "own", "bin"])
+                                                 names=["rep", "unit", "own", "n", "bin"])
 
     of_list = spark.createDataFrame([(i, int(b)) for i, b in enumerate(bins)], "list long, bin long")
     rows_ = rows_.join(F.broadcast(of_list), "list")                                  # LISTS rows at most
-    visitors = stored(rows_.select("rep", "unit", "list").mapInArrow(
-        visit, "rep long, unit binary, own long, bin long"), "pq-visits")
+    visitors = stored(rows_.select("rep", "unit", "list", "n").mapInArrow(
+        visit, "rep long, unit binary, own long, n long, bin long"), "pq-visits")
     size = F.broadcast(stored(
         visitors.groupBy("bin").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("query_blocks"))
         .join(rows_.groupBy("bin").agg(F.ceil(F.count("*") / LIST_BLOCK).cast("int").alias("list_blocks")), "bin"),
@@ -243,7 +245,7 @@ def _link_dimension(classes: DataFrame, dim: int, rows: int, least: float, probe
              .select("bin", "i", "j", "rep", "n", "unit", "codes", "error", "list"))
     queries = (visitors.join(size, "bin").withColumn("j", block("query_blocks", 2))
                .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("list_blocks") - 1)))
-               .select(*(F.col(c).alias("q_" + c) for c in ("bin", "i", "j", "rep", "unit", "own"))))
+               .select(*(F.col(c).alias("q_" + c) for c in ("bin", "i", "j", "rep", "unit", "own", "n"))))
 
     def compare(q: pa.Table, s: pa.Table) -> pa.Table:
         kind, a, b = [], [], []
@@ -275,7 +277,10 @@ def _link_dimension(classes: DataFrame, dim: int, rows: int, least: float, probe
                     x.append(i[real])
                     y.append(j[real])
             x, y = np.concatenate(x), np.concatenate(y)
-            hit = np.bincount(x, n[y], len(qu)).astype(np.int64)
+            # a query of another bin is not visited in turn, so its links count for both here
+            theirs = bins[own[x]] != s.column("bin")[0].as_py()
+            hit = np.concatenate([np.bincount(x, n[y], len(qu)), np.bincount(
+                y[theirs], q.column("q_n").to_numpy()[x[theirs]], len(su))]).astype(np.int64)
             seen = np.flatnonzero(hit)
             # the two sides may name one vector twice: nodes are class ids
             node, where = np.unique(ids, return_inverse=True)
