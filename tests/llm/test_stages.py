@@ -120,8 +120,39 @@ def test_the_last_stage_encodes_every_row(spark, folder):
     assert got == {i: pieces_of(t) for i, t, *_ in rows}
 
 
+def odd_rows(spark, texts):
+    """The texts with one id, and again with none, beside a column of a common name."""
+    return spark.createDataFrame([(i, t, None, "s", 0, 1) for i in (900, None) for t in texts],
+                                 "doc_id long, text string, lang string, source string, n_chars long, class_id int")
+
+
+def kept_of(df):
+    return sorted((r["doc_id"] or 0, r["text"] or "") for r in df.collect())
+
+
+def test_verdicts_hold_for_a_row_not_for_its_id(spark, folder):
+    path, rows, toxic = folder
+    texts = {i: t for i, t, *_ in rows}
+    docs = odd_rows(spark, [texts[305], texts[306], None, ""])
+    out = stages.drop_contaminated(spark, docs, path)
+    assert out.columns == docs.columns
+    assert kept_of(out) == sorted((i, t) for i in (0, 900) for t in (texts[306], "", ""))
+
+    long, near = texts[302], texts[303]
+    docs = odd_rows(spark, [long, near, texts[306]])
+    out = stages.drop_near_duplicates(spark, docs, path)
+    got = kept_of(out)
+    assert out.columns == docs.columns and len(got) == 2 and (900, texts[306]) in got
+    assert {(900, long), (900, near)} & set(got)
+
+    given = spark.read.parquet(f"{path}/documents.parquet")
+    docs = given.unionByName(odd_rows(spark, [texts[toxic[1]], texts[1]]).drop("class_id"))
+    out = kept_of(stages.drop_toxic(spark, docs, path).where("doc_id = 900 or doc_id is null"))
+    assert [t for i, t in out if i == 900] == [texts[1]] and (0, texts[1]) in out and (0, texts[toxic[1]]) not in out
+
+
 def test_filtering_stages_of_no_rows(spark, folder):
     path, *_ = folder
     docs = spark.read.parquet(f"{path}/documents.parquet").where(F.lit(False))
-    for stage in (stages.drop_contaminated, stages.mask_secrets, stages.encode_pieces):
+    for stage in (stages.drop_toxic, stages.drop_near_duplicates, stages.drop_contaminated, stages.mask_secrets, stages.encode_pieces):
         assert stage(spark, docs, path).count() == 0

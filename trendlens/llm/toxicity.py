@@ -292,7 +292,7 @@ def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, model_docs: int = MODEL_DOCS, curve_docs: int = CURVE_DOCS,
-                   max_grams: int = MAX_GRAMS) -> DataFrame:
+                   max_grams: int = MAX_GRAMS, scored: DataFrame | None = None) -> DataFrame:
     """(doc_id, held_out, score): a score from 0 to 1 for every whole text.
 
     The classifier is fitted on at most ``model_docs`` + ``curve_docs`` labelled
@@ -301,10 +301,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, model_docs: int = MODEL_D
     and repeated documents as often as they come. Nothing but the text enters a
     score. Null and empty texts get the curve's value for an empty text. Without
     training rows of both classes every score is 0. An empty table gives an
-    empty one; a null doc_id is not held out.
+    empty one; a null doc_id is not held out. ``scored``, if given, holds the
+    (doc_id, text) rows to score in place of those of ``docs``, learned from alone.
     """
     spark = docs.sparkSession
     rows, sizes = training_rows(docs, labels, model_docs, curve_docs)
+    docs = docs if scored is None else scored
     have = {(r["part"], r["toxic"]) for r in rows.select("part", "toxic").distinct().collect()}
     held = F.coalesce(fold_of(F.col("doc_id").cast("long")) == 2, F.lit(False)).alias("held_out")
     if not {("model", 0), ("model", 1)} <= have:
