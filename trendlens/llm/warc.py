@@ -15,7 +15,7 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shared_files
@@ -26,10 +26,16 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
+def payload_digest() -> Column:
+    """SHA-1 and SHA-256 in one: different payloads with one SHA-1 have been published."""
+    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
+    return F.concat(F.sha1(payload), F.sha2(payload, 256))
+
+
 def payload_roles(pages: DataFrame) -> DataFrame:
-    """(page_id, digest, first): hex SHA-1 of each payload and the smallest page_id
-    that has it. Groups are reduced by partial aggregation, and html never moves."""
-    d = pages.select("page_id", F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary")).alias("digest"),
+    """(page_id, digest, size, first): what a payload is known by and the smallest
+    page_id that has it. Groups are reduced by partial aggregation; only digests move."""
+    d = pages.select("page_id", payload_digest().alias("digest"),
                      F.coalesce(F.octet_length("html"), F.lit(0)).cast("long").alias("size"))
     first = d.groupBy("digest").agg(F.min("page_id").alias("first"))
     return d.distinct().join(first, "digest")
@@ -131,7 +137,7 @@ def write_archives(pages: DataFrame, min_bytes: int = 0, archive_bytes: int = 1
     p = pages.select(F.col("page_id").cast("long"), "url", "html")
     roles = payload_roles(p).select(F.col("page_id").alias("id"), "first", "size",
                                     F.col("digest").alias("d"))
-    rows = (p.withColumn("digest", F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary")))
+    rows = (p.withColumn("digest", payload_digest())
             .join(roles, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("d")))
             .select("page_id", "url", "html", "first"))
 
