@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 from ..functions.text import ngrams, vector_tokens
 from ..session import BROADCAST_MAX_ROWS, ensure_checkpoint_dir, text_partitions
 
+# buckets of the candidate sketch; beyond the number of distinct n-grams they only help,
+# fewer cost a longer list of candidates
+BUCKETS = 1 << 24
+
 
 @dataclass
 class TfidfModel:
@@ -33,14 +37,18 @@ def partition_docs(docs: DataFrame, id_col: str = "article_id",
             .repartition(text_partitions(docs.sparkSession), "article_id"))
 
 
-def term_frequencies(docs_p: DataFrame, ngram_range=(1, 1)) -> DataFrame:
-    """(article_id, term, tf). ``docs_p`` must be partitioned by article_id so the
-    count needs no shuffle."""
+def occurrences(docs_p: DataFrame, ngram_range=(1, 1)) -> DataFrame:
+    """(article_id, term), a row per n-gram of every document."""
     # tokens are materialised as a column first: the n-gram lambda refers to them
     # once per position and must not re-run the tokenizer each time
     toks = docs_p.select("article_id", vector_tokens("clean_text").alias("toks"))
-    grams = toks.select("article_id", F.explode(ngrams("toks", ngram_range)).alias("term"))
-    return grams.groupBy("article_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return toks.select("article_id", F.explode(ngrams("toks", ngram_range)).alias("term"))
+
+
+def term_frequencies(docs_p: DataFrame, ngram_range=(1, 1)) -> DataFrame:
+    """(article_id, term, tf). ``docs_p`` must be partitioned by article_id so the
+    count needs no shuffle."""
+    return occurrences(docs_p, ngram_range).groupBy("article_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def vocab_term_weights(docs_p: DataFrame, model: "TfidfModel") -> DataFrame:
@@ -93,11 +101,56 @@ def vocab_topk(stats: DataFrame, max_features: int | None) -> DataFrame:
     return cand.orderBy(F.desc("ctf"), F.asc("term")).limit(max_features)
 
 
+def candidate_stats(docs_p: DataFrame, n_docs, max_features: int, ngram_range=(1, 1), max_df=0.8,
+                    buckets: int = BUCKETS) -> DataFrame:
+    """(term, df, ctf) of all terms that can be among the ``max_features`` most frequent
+    after ``max_df``, with exact counts, stored.
+
+    Occurrences are first counted by hash bucket: one long each, combined before the
+    shuffle, and a bucket's count is an upper bound for every term in it. The terms
+    of the fullest buckets are counted exactly; the last place among them bounds the
+    cut-off from below, so buckets under it hold no member of the vocabulary. Terms
+    of the other buckets are counted in a second pass, if there are any. No n-gram
+    outside these buckets is ever shuffled."""
+    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).alias("bucket")
+    grams = occurrences(docs_p, ngram_range)
+    bounds = grams.groupBy(bucket).agg(F.count(F.lit(1)).alias("most")).checkpoint(eager=True)
+
+    def exact(chosen: DataFrame) -> DataFrame:
+        few = F.broadcast(chosen) if chosen.count() <= BROADCAST_MAX_ROWS else chosen
+        tf = (grams.select("article_id", "term", bucket).join(few, "bucket", "left_semi")
+              .groupBy("article_id", "term").agg(F.count(F.lit(1)).alias("tf")))
+        return prune_max_df(term_df_ctf(tf), n_docs, max_df).checkpoint(eager=True)
+
+    last = bounds.orderBy(F.desc("most")).limit(2 * max_features).agg(F.min("most").alias("m")).first()["m"] or 0
+    stats = exact(bounds.where(F.col("most") >= last).select("bucket"))
+    top = stats.orderBy(F.desc("ctf")).limit(max_features).agg(F.min("ctf").alias("m"), F.count("*").alias("n")).first()
+    cut = top["m"] if top["n"] == max_features else 0
+    rest = bounds.where((F.col("most") >= cut) & (F.col("most") < last)).select("bucket")
+    return stats if cut >= last or rest.isEmpty() else stats.unionByName(exact(rest))
+
+
+def numbered_terms(vocab: DataFrame) -> DataFrame:
+    """``vocab`` with term_id, the place of each term in ascending order, without
+    bringing all terms to one task: ranges are numbered by themselves, and the sizes
+    of the ranges before are added."""
+    spark = vocab.sparkSession
+    ranges = (vocab.repartitionByRange(text_partitions(spark), "term")
+              .withColumn("range", F.spark_partition_id()).checkpoint(eager=True))
+    before = F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))    # a row per range
+    starts = ranges.groupBy("range").agg(F.count(F.lit(1)).alias("n")).select("range", F.coalesce(before, F.lit(0)).alias("start"))
+    own = F.row_number().over(Window.partitionBy("range").orderBy("term")) - 1
+    return (ranges.withColumn("own", own).join(F.broadcast(starts), "range")
+            .withColumn("term_id", (F.col("start") + F.col("own")).cast("int")).drop("range", "start", "own"))
+
+
 def with_idf(vocab: DataFrame, n_docs) -> DataFrame:
-    """Smoothed idf ln((1+N)/(1+df)) + 1 and an alphabetical term_id."""
+    """Smoothed idf ln((1+N)/(1+df)) + 1 and an alphabetical term_id, if there is none
+    yet (in one task: for a vocabulary of bounded size)."""
+    if "term_id" not in vocab.columns:
+        vocab = vocab.withColumn("term_id", (F.row_number().over(Window.orderBy("term")) - 1).cast("int"))
     return (vocab
             .withColumn("idf", F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0)
-            .withColumn("term_id", (F.row_number().over(Window.orderBy("term")) - 1).cast("int"))
             .select("term", "term_id", "df", "ctf", "idf"))
 
 
@@ -113,13 +166,13 @@ def fit_vocab(tf: DataFrame, n_docs, max_features: int | None = 5000, max_df=0.8
 
 def tfidf_fit(docs: DataFrame, max_features: int | None = 5000, ngram_range=(1, 1),
               max_df=0.8, id_col: str = "article_id",
-              text_col: str = "clean_text") -> tuple[DataFrame, TfidfModel]:
+              text_col: str = "clean_text", buckets: int = BUCKETS) -> tuple[DataFrame, TfidfModel]:
     """Fit vocabulary + idf on ``docs`` and return (doc_terms, model).
 
     ``docs`` is every document of the fit (empty texts count in N). Like any
-    estimator fit it runs jobs eagerly: the pruned term statistics (one row per
-    distinct n-gram) and the vocabulary (<= max_features rows) are checkpointed
-    to the shared folder, so the cut-off subquery and the top-k read stored rows.
+    estimator fit it runs jobs eagerly: the bucket counts, the statistics of the
+    candidate terms and the vocabulary (<= max_features rows) are checkpointed to the
+    shared folder; without ``max_features`` every term is a member and is counted.
     The returned doc-term table is lazy: it re-explodes the text over the same
     article_id partitions, keeps vocabulary n-grams before counting and
     normalises partition-locally — cheaper than shuffling materialised
@@ -127,9 +180,12 @@ def tfidf_fit(docs: DataFrame, max_features: int | None = 5000, ngram_range=(1,
     ensure_checkpoint_dir(docs.sparkSession)
     docs_p = partition_docs(docs, id_col, text_col)
     n_docs = F.lit(float(docs_p.count()))
-    stats = prune_max_df(term_df_ctf(term_frequencies(docs_p, ngram_range)), n_docs, max_df)
-    stats = stats.checkpoint(eager=True)
-    vocab = with_idf(vocab_topk(stats, max_features), n_docs).checkpoint(eager=True)
+    if max_features is None:
+        stats = prune_max_df(term_df_ctf(term_frequencies(docs_p, ngram_range)), n_docs, max_df)
+        vocab = with_idf(numbered_terms(stats), n_docs).checkpoint(eager=True)
+    else:
+        stats = candidate_stats(docs_p, n_docs, max_features, ngram_range, max_df, buckets)
+        vocab = with_idf(vocab_topk(stats, max_features), n_docs).checkpoint(eager=True)
     model = TfidfModel(vocab, tuple(ngram_range), max_features)
     return l2_normalise(vocab_term_weights(docs_p, model)), model
 
