@@ -29,8 +29,6 @@ STRETCH = 24                     # symbols of the stretch
 ERRORS = 2.0                     # standard errors taken off every log ratio
 TELLING, FEW = 1.0, 20           # log ratio a word must exceed to tell; words added to every text
 CURVE_SHARE = 5                  # one labelled row in so many is kept for the curve
-MODEL_DOCS = 6000                # training rows a class, at most
-CURVE_DOCS = 2000                # rows a class for the logistic curve, at most
 MAX_GRAMS = 1 << 22              # grams and contexts of one broadcast; a larger model goes in parts
 THRESHOLD = 0.3
 GAP = " " * ORDER
@@ -67,22 +65,16 @@ def grams(data: np.ndarray) -> np.ndarray:
     return key
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, model_docs: int, curve_docs: int) -> tuple[DataFrame, dict]:
-    """A bounded, repeatable choice of labelled rows (held-out fold excluded), per
-    class, as (text, toxic, part); and how many labels each class has."""
+def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict]:
+    """All labelled rows (held-out fold excluded) as (text, toxic, part); and how many
+    labels each class has."""
     known = (labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long"), "toxic")
              .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
              .where((fold_of(F.col("doc_id")) != 2) & F.col("toxic").isin(0, 1)))
+    known = stored(known.withColumn("part", F.when(F.pmod(F.xxhash64("doc_id", F.lit("curve")), F.lit(CURVE_SHARE)) == 0, "curve")
+                                    .otherwise("model")), "toxicity-labels")
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    chosen = None
-    for toxic in (0, 1):
-        for part, most in (("model", model_docs), ("curve", curve_docs)):
-            fold = F.pmod(F.xxhash64("doc_id", F.lit("curve")), F.lit(CURVE_SHARE)) == 0
-            few = (known.where((F.col("toxic") == toxic) & (fold if part == "curve" else ~fold))
-                   .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).withColumn("part", F.lit(part)))
-            chosen = few if chosen is None else chosen.union(few)
-    picked = docs.select(F.col("doc_id").cast("long"), "text").join(
-        F.broadcast(chosen), "doc_id")                 # at most 2 * (model_docs + curve_docs) rows
+    picked = docs.select(F.col("doc_id").cast("long"), "text").join(known, "doc_id")
     return stored(picked.select("text", "toxic", "part"), "toxicity-rows"), sizes
 
 
@@ -272,40 +264,60 @@ def measures(key: np.ndarray, starts: np.ndarray, ends: np.ndarray, ratio: np.nd
     return np.sign(x) * np.sqrt(np.abs(x))
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-4) -> np.ndarray:
-    """Weighted logistic regression by Newton steps on standardised features:
-    intercept and slopes for the features as given."""
-    middle, spread = x.mean(0), x.std(0) + 1e-12
-    a = np.column_stack([np.ones(len(x)), (x - middle) / spread])
-    w = np.zeros(a.shape[1])
-    weight = weight / weight.sum()
+def sums_of(known: DataFrame, part) -> list[np.ndarray]:
+    """The sums over all rows (toxic, measures) of the arrays that ``part`` (y, x) gives a batch."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            y, x = batch.column(0).to_numpy().astype(float), np.column_stack([c.to_numpy() for c in batch.columns[1:]])
+            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([np.ravel(p) for p in part(y, x)])], pa.list_(pa.float64()))],
+                                             names=["sums"])
+    shapes = [np.shape(p) for p in part(np.zeros(1), np.zeros((1, len(known.columns) - 1)))]
+    total = np.zeros(sum(int(np.prod(s)) for s in shapes))
+    for r in known.mapInArrow(run, "sums array<double>").toLocalIterator():    # a few numbers a batch of rows
+        total += r["sums"]
+    ends = np.cumsum([int(np.prod(s)) for s in shapes])[:-1]
+    return [p.reshape(s) for p, s in zip(np.split(total, ends), shapes)]
+
+
+def fit_curve(known: DataFrame, share: float, ridge: float = 1e-4) -> np.ndarray:
+    """Logistic regression of rows (toxic, measures) by Newton steps on standardised
+    measures, the classes weighted to ``share`` toxic rows: intercept and slopes for the
+    measures as given. Every step adds up its gradient and curvature over all rows in Spark."""
+    n, toxic, total = sums_of(known, lambda y, x: (np.float64(len(y)), y.sum(), x.sum(0)))
+    middle = total / n
+    spread = np.sqrt(sums_of(known, lambda y, x: (((x - middle) ** 2).sum(0),))[0] / n) + 1e-12
+    own = np.array([(1 - share) / max(1.0, n - toxic), share / max(1.0, toxic)])
+    own = own / ((n - toxic) * own[0] + toxic * own[1])
+    w = np.zeros(len(middle) + 1)
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        grad = a.T @ (weight * (p - y)) + ridge * w
-        hess = (a * (weight * p * (1 - p))[:, None]).T @ a + ridge * np.eye(len(w))
-        step = np.linalg.solve(hess, grad)
-        w -= step
+        def part(y, x, w=w):
+            a = np.column_stack([np.ones(len(x)), (x - middle) / spread])
+            p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+            weight = own[y.astype(int)]
+            return a.T @ (weight * (p - y)), (a * (weight * p * (1 - p))[:, None]).T @ a
+        grad, hess = sums_of(known, part)
+        step = np.linalg.solve(hess + ridge * np.eye(len(w)), grad + ridge * w)
+        w = w - step
         if np.abs(step).max() < 1e-9:
             break
     slopes = w[1:] / spread
     return np.concatenate([[w[0] - slopes @ middle], slopes])
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, model_docs: int = MODEL_DOCS, curve_docs: int = CURVE_DOCS,
-                   max_grams: int = MAX_GRAMS, scored: DataFrame | None = None) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, max_grams: int = MAX_GRAMS,
+                   scored: DataFrame | None = None) -> DataFrame:
     """(doc_id, held_out, score): a score from 0 to 1 for every whole text.
 
-    The classifier is fitted on at most ``model_docs`` + ``curve_docs`` labelled
-    rows a class, chosen by a hash of doc_id outside the held-out fold; repeated
-    labels of a document count as their maximum, null labels and ids not at all,
-    and repeated documents as often as they come. Nothing but the text enters a
-    score. Null and empty texts get the curve's value for an empty text. Without
+    The classifier is fitted on all labelled rows outside the held-out fold, the
+    models on four in five of them and the curve on the others; repeated labels of
+    a document count as their maximum, null labels and ids not at all, and repeated
+    documents as often as they come. Nothing but the text enters a score. Null and empty texts get the curve's value for an empty text. Without
     training rows of both classes every score is 0. An empty table gives an
     empty one; a null doc_id is not held out. ``scored``, if given, holds the
     (doc_id, text) rows to score in place of those of ``docs``, learned from alone.
     """
     spark = docs.sparkSession
-    rows, sizes = training_rows(docs, labels, model_docs, curve_docs)
+    rows, sizes = training_rows(docs, labels)
     docs = docs if scored is None else scored
     have = {(r["part"], r["toxic"]) for r in rows.select("part", "toxic").distinct().collect()}
     held = F.coalesce(fold_of(F.col("doc_id").cast("long")) == 2, F.lit(False)).alias("held_out")
@@ -336,13 +348,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, model_docs: int = MODEL_D
         return df if shared is not None else add_ratios(df, ratios)
 
     part = "curve" if {("curve", 0), ("curve", 1)} <= have else "model"
-    known = (ready(rows.where(F.col("part") == part).select(F.col("toxic").cast("long").alias("doc_id"), "text"))
-             .mapInArrow(measured(None), "doc_id long, mean double, root double, peak double, telling double").toPandas().sort_values(
-                 ["doc_id", *names]))
-    y = known["doc_id"].to_numpy(float)
-    share = sizes[1] / (sizes[0] + sizes[1])
-    weight = np.where(y == 1, share / max(1, y.sum()), (1 - share) / max(1, (1 - y).sum()))
-    curve = fit_curve(known[names].to_numpy(float), y, weight)
+    known = stored(ready(rows.where(F.col("part") == part).select(F.col("toxic").cast("long").alias("doc_id"), "text"))
+                   .mapInArrow(measured(None), "doc_id long, mean double, root double, peak double, telling double"), "toxicity-curve")
+    curve = fit_curve(known, sizes[1] / (sizes[0] + sizes[1]))
     scored = ready(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(
         measured(curve), "doc_id long, score double")
     return scored.select("doc_id", held, "score")
