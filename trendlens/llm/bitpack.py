@@ -8,12 +8,14 @@ range of ids, and unpacks it with NumPy alone.
 """
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,6 +27,11 @@ MAGIC = b"TIDPACK1"
 BLOCK = 1 << 16
 TAIL = struct.Struct("<8sIIQQQQ")
 FILE_IDS = 1 << 24
+# what the tokenizer's pattern takes as blank (White_Space; re's own class has four more)
+BLANKS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+ODD_BLANKS = f"[{BLANKS[4:]}]"
+_LETTER = np.array([chr(b).isascii() and chr(b).isalpha() for b in range(256)])
+_SIGN = np.array([32 < b < 128 for b in range(256)]) & ~_LETTER
 
 
 def bits_for(vocabulary: int) -> int:
@@ -126,10 +133,46 @@ class PackReader:
             yield d, int(s), held[s - at:e - at]
 
 
+def pieces(texts: pa.LargeStringArray) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """What ``TokenEncoder.pattern`` finds in texts without ``ODD_BLANKS``, cut once more
+    behind ASCII letters, and how many pieces end with each text."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    size = int(offsets[-1] - offsets[0])
+    if not size:
+        return pa.array([], pa.large_string()).dictionary_encode(), np.zeros(len(texts), np.int64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0]:offsets[-1]]
+    offsets = offsets - offsets[0]
+    blank = (data == 32) | (data > 8) & (data < 14)
+    after = np.append(~blank[1:], False)                       # a byte that is not blank follows in the text
+    after[offsets[1:][offsets[1:] > 0] - 1] = False
+    begin = blank & after
+    begin[1:] |= blank[1:] & ~blank[:-1] | ~blank[1:] & blank[:-1] & (data[:-1] != 32)
+    begin[1:] |= _LETTER[data[:-1]] & _SIGN[data[1:]]          # a run of letters ends before a sign or digit
+    begin[offsets[:-1][offsets[:-1] < size]] = True
+    at = np.flatnonzero(begin)
+    found = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(np.append(at, size)), pa.py_buffer(data))
+    return found.dictionary_encode(), np.searchsorted(at, offsets[1:])
+
+
+def joined(ids: list[bytes], indices: pa.Array, ends: np.ndarray) -> Iterator[np.ndarray]:
+    """The ids of each text, from those of its pieces."""
+    if not len(indices):
+        yield from (np.zeros(0, np.uint32) for _ in ends)
+        return
+    taken = pa.array(ids, pa.large_binary()).take(indices)
+    offsets = np.frombuffer(taken.buffers()[1], np.int64)[:len(taken) + 1] // 4
+    flat, start = np.frombuffer(taken.buffers()[2], np.uint32), 0
+    for end in offsets[ends].tolist():
+        yield flat[start:end]
+        start = end
+
+
 class TokenEncoder:
-    """The tokenizers library over whole texts; pretokens seen before are looked up
-    (the byte-level pattern splits before any merge, so ids are the same). Two
-    generations of ``memory`` pretokens are kept: one that is met again moves to the
+    """The tokenizers library over whole texts; pieces seen before are looked up. A piece
+    is a run without blanks with the one space before it, or a part of a run of blanks:
+    one or more whole pretokens, as none reaches over a blank but its own first space (and
+    the byte-level pattern splits before any merge, so ids are the same). Two
+    generations of ``memory`` pieces are kept: one that is met again moves to the
     younger, and a full younger one takes the place of the older."""
 
     def __init__(self, tokenizer_file: str, memory: int = 500_000):
@@ -145,12 +188,13 @@ class TokenEncoder:
         self.opens = np.zeros(self.vocabulary, bool)          # tokens that begin with a blank
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.opens[i] = token.startswith("\u0120")
-        self.pattern = regex.compile(
+        whole = regex.compile(
             r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-        # what the pattern stands for must be the file's own splitting
+        self.pattern = re.compile(f" ?[^{BLANKS}]+|[{BLANKS}]+(?![^{BLANKS}])|[{BLANKS}]+")
+        # what the patterns stand for must be the file's own splitting
         probe = "it's a  b\n\n c1,2 ..x\t"
         if [t for t, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(probe)] != [
-                self.tokenizer.pre_tokenizer.pre_tokenize_str(w)[0][0] for w in self.pattern.findall(probe)] \
+                self.tokenizer.pre_tokenizer.pre_tokenize_str(w)[0][0] for w in whole.findall(probe)] \
                 or self.tokenizer.normalizer is not None:
             self.pattern = None
 
@@ -160,15 +204,28 @@ class TokenEncoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if self.pattern is None:
             return self._whole(texts)
-        words = [None if any(a in t for a in self.added) else self.pattern.findall(t) for t in texts]
-        missing = set().union(*(ws for ws in words if ws)).difference(self.young)
+        column = pa.array(texts, pa.large_string())
+        whole = np.zeros(len(texts), bool)                    # texts that hold added tokens
+        for token in self.added:
+            whole |= np.asarray(pc.match_substring(column, token))
+        odd = ~whole & np.asarray(pc.match_substring_regex(column, ODD_BLANKS))
+        words = {int(k): self.pattern.findall(texts[k]) for k in np.flatnonzero(odd)}
+        plain = np.flatnonzero(~whole & ~odd)
+        coded, ends = pieces(column.take(pa.array(plain)))
+        own = coded.dictionary.to_numpy(zero_copy_only=False).tolist()    # to_pylist makes a scalar of each
+        young = self.young
+        missing = set(own).union(*words.values()).difference(young)
         again = {w: self.old[w] for w in missing & self.old.keys()}
         fresh = list(missing.difference(again))
-        young = self.young
         young.update(again)
         young.update(zip(fresh, self._pretokens(fresh)))
-        out = [self._whole([t])[0] if ws is None else np.frombuffer(b"".join(map(young.__getitem__, ws)), np.uint32)
-               for t, ws in zip(texts, words)]
+        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
+        for k, ids in zip(plain, joined([young[w] for w in own], coded.indices, ends)):
+            out[k] = ids
+        for k, ws in words.items():
+            out[k] = np.frombuffer(b"".join(map(young.__getitem__, ws)), np.uint32)
+        for k in np.flatnonzero(whole):
+            out[k] = self._whole([texts[k]])[0]
         for w in fresh:
             if len(w) > 64:
                 del young[w]
@@ -177,7 +234,7 @@ class TokenEncoder:
         return out
 
     def _pretokens(self, words: list[str]) -> list[bytes]:
-        """Ids of single pretokens. Those that begin with one blank are encoded in one text:
+        """Ids of single pieces. Those that begin with one blank are encoded in one text:
         it splits before every blank again, and only a first token begins with one."""
         apart = [k for k, w in enumerate(words) if w[0] != " " or len(w) < 2 or w[1].isspace()]
         joined = sorted(set(range(len(words))).difference(apart))
@@ -227,8 +284,8 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, end_id: int, name: s
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
             texts = batch.column(1)
-            for a in range(0, len(doc_ids), 256):
-                for d, ids in zip(doc_ids[a:a + 256], e.encode([t or "" for t in texts[a:a + 256].to_pylist()])):
+            for a in range(0, len(doc_ids), 512):
+                for d, ids in zip(doc_ids[a:a + 512], e.encode([t or "" for t in texts[a:a + 512].to_pylist()])):
                     if writer is None:
                         uri, stream = shared_files.create(folder, ".ids")
                         writer = PackWriter(stream, bits)
