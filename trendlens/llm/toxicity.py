@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, stored
+from .common import chunks, stored, with_hit
 
 ORDER = 7                        # symbols; a gram is a 56-bit number
 OWN = 4                          # shortest grams counted per class
@@ -74,10 +74,16 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict]:
     known = stored(known.withColumn("part", F.when(F.pmod(F.xxhash64("doc_id", F.lit("curve")), F.lit(CURVE_SHARE)) == 0, "curve")
                                     .otherwise("model")), "toxicity-labels")
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    picked = docs.select(F.col("doc_id").cast("long"), "text").join(known, "doc_id")
+    picked = likely(docs.select(F.col("doc_id").cast("long"), "text"), known).join(known, "doc_id")
     return stored(picked.select("text", "toxic", "part"), "toxicity-rows"), sizes
 
 
+def likely(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """``docs`` less most rows whose doc_id is not in ``known``, so that the join's shuffle
+    does not move all texts; rows with a known id stay."""
+    return with_hit(docs, "doc_id", known, "doc_id").where("hit").drop("hit")
+
+
 def count_grams(rows: DataFrame) -> DataFrame:
     """(gram, t, o): occurrences in toxic and in ordinary rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
