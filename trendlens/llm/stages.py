@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import dartminhash, fmindex, pieces, secrets, toxicity
-from .common import prepare, stored, table
+from .common import prepare, stored, table, with_hit
 from .queries import tokenizer_file
 
 
@@ -21,9 +21,18 @@ def texts_of(rows):
     return rows.select(F.col(ROW).alias("doc_id"), "text")
 
 
+def moved_and_kept(rows, gone):
+    """Of ``rows``: those whose number may be a doc_id of ``gone``, which alone meet it in a
+    join, and the others, whose texts stay where they are."""
+    hit = with_hit(rows, ROW, gone, "doc_id")
+    return hit.where("hit").drop("hit"), hit.where("not hit").drop("hit")
+
+
 def without(rows, gone):
     """``rows`` less those whose number is a doc_id of ``gone``, numbers dropped."""
-    return rows.join(gone.select(F.col("doc_id").alias(ROW)), ROW, "left_anti").select(
+    gone = stored(gone.select("doc_id"), "pipeline-gone")
+    moved, kept = moved_and_kept(rows, gone)
+    return moved.join(gone.select(F.col("doc_id").alias(ROW)), ROW, "left_anti").unionByName(kept).select(
         [F.col(c) for c in rows.columns if c != ROW])
 
 
