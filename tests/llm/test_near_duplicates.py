@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from trendlens.llm import dartminhash
@@ -55,3 +56,17 @@ def test_classes_in_crowded_buckets(spark, monkeypatch, weights, sent):
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, key string").repartition(3)
     got = dartminhash.near_duplicates(df, weights=weights, bands=128)
     assert sorted((r["doc_id"], r["class_id"]) for r in got.collect()) == classes(rows, weights, 0.8)
+
+
+def test_workers_forget_the_words_of_ended_tasks(spark):
+    from trendlens.llm import dartminhash
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(40))) for i in range(64)], "doc_id long, text string").repartition(4)
+
+    def kept(batches):
+        from trendlens.llm.dartminhash import _HASH
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(_HASH)] * batch.num_rows)], names=["n"])
+    for made in (dartminhash.sign(docs, "set"), dartminhash.weighted_sets(docs.withColumnRenamed("doc_id", "id"), "count")):
+        assert made.count() == 64
+        assert made.collect()                                      # the workers are reused by the next tasks
+        assert docs.mapInArrow(kept, "n long").agg({"n": "max"}).first()[0] == 0

@@ -56,6 +56,22 @@ class _WordHash(dict):
 _HASH = _WordHash()
 
 
+def forget() -> None:
+    _HASH.clear()
+    pa.default_memory_pool().release_unused()
+
+
+def forgetting(run):
+    """``run`` with the words' hashes dropped at its end: Spark keeps the worker and its
+    memory for later tasks, and while the JVM alone is at work."""
+    def until_done(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            forget()               # by its name: a task's own function has copies of the globals it names
+    return until_done
+
+
 def shingles(text: str | None, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes and how often each occurs. A text of fewer
     words, but not none, is one shingle."""
@@ -149,7 +165,7 @@ def sign(docs: DataFrame, weights: str, k: int = COORDINATES, bands: int = BANDS
                      pa.array([row.tobytes() for row in sketch])], schema=schema)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, h1 long, h2 long, bands array<long>, sketch binary")
+        forgetting(run), "doc_id long, h1 long, h2 long, bands array<long>, sketch binary")
 
 
 def weighted_sets(docs: DataFrame, weights: str) -> DataFrame:
@@ -164,7 +180,7 @@ def weighted_sets(docs: DataFrame, weights: str) -> DataFrame:
                     [ids, pa.array([s[0].view(np.int64) for s in sets], pa.list_(pa.int64())),
                      pa.array([s[1] if weights == "count" else None for s in sets], pa.list_(pa.int64()))],
                     names=["id", "elements", "weights"])
-    return docs.mapInArrow(run, "id long, elements array<long>, weights array<long>")
+    return docs.mapInArrow(forgetting(run), "id long, elements array<long>, weights array<long>")
 
 
 def of_ids(rows: DataFrame, ids: DataFrame, name: str) -> DataFrame:
