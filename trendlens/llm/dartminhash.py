@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, connected_components, stored
+from .common import chunks, connected_components, release, stored
 from .fmindex import words_of
 
 WORDS = 5
@@ -58,7 +58,7 @@ _HASH = _WordHash()
 
 def forget() -> None:
     _HASH.clear()
-    pa.default_memory_pool().release_unused()
+    release()
 
 
 def forgetting(run):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import releasing, stored
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")          # on bytes after lower-casing A-Z
 SHARD_WORDS = 1 << 21
@@ -168,6 +168,11 @@ class Phrases:
             own = sorted(w for w in found if len(w) == n)
             self.by_length[n] = np.array(own, np.int64), [sorted(found[w]) for w in own]
         self.shortest = min(self.by_length, default=0)
+        self._number = _Numbers(self.vocabulary)
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """The words' numbers, 0 for words that no item has: four bytes a word are held."""
+        return np.fromiter(map(self._number.__getitem__, words), np.int32, len(words))
 
 
 class _Numbers(dict):
@@ -177,18 +182,21 @@ class _Numbers(dict):
 
 def search_shard(words: list[list[bytes]], phrases: Phrases) -> list[tuple[list[str], list[tuple[int, int]]]]:
     """Per document: the ids of the items found, and merged word spans [start, end)."""
-    empty: list[tuple[list[str], list[tuple[int, int]]]] = [([], []) for _ in words]
+    return search_numbers([phrases.numbers(w) for w in words], phrases)
+
+
+def search_numbers(docs: list[np.ndarray], phrases: Phrases) -> list[tuple[list[str], list[tuple[int, int]]]]:
+    """``search_shard`` of documents as arrays of their words' numbers."""
+    empty: list[tuple[list[str], list[tuple[int, int]]]] = [([], []) for _ in docs]
     if not phrases.by_length:
         return empty
-    number = _Numbers(phrases.vocabulary)
-    lengths = np.array([len(w) + 1 for w in words], np.int64)
-    ids = np.zeros(int(lengths.sum()), np.int64)
+    lengths = np.array([len(w) + 1 for w in docs], np.int64)
     starts = np.concatenate([[0], np.cumsum(lengths)])
-    for s, w in zip(starts, words):                       # a zero between documents
-        ids[s:s + len(w)] = np.fromiter(map(number.__getitem__, w), np.int64, len(w))
-    known = (ids > 0).astype(np.int8)
-    edge = np.diff(known, prepend=0)
+    gap = np.zeros(1, np.int32)                            # a zero between documents
+    ids = np.concatenate([x for w in docs for x in (w, gap)] or [gap])
+    edge = np.diff((ids > 0).view(np.int8), prepend=np.int8(0))
     a, b = np.flatnonzero(edge > 0), np.flatnonzero(edge < 0)     # strings of known words
+    del edge
     keep = b - a >= phrases.shortest
     a, b = a[keep], b[keep]
     if not len(a):
@@ -198,8 +206,9 @@ def search_shard(words: list[list[bytes]], phrases: Phrases) -> list[tuple[list[
     offset = np.arange(at[-1]) - np.repeat(at[:-1], size)
     source = np.repeat(a, size) + offset
     index = FMIndex(ids[source], len(phrases.vocabulary) + 1, offset)
-    cover = np.zeros(len(ids) + 1, np.int64)
-    found: list[set[str]] = [set() for _ in words]
+    del ids, offset
+    cover = np.zeros(len(source) + 1, np.int64)           # of the strings alone: no phrase is found elsewhere
+    found: list[set[str]] = [set() for _ in docs]
     for n, (windows, items) in phrases.by_length.items():
         lo, hi = index.ranges(windows)
         hits = np.flatnonzero(hi > lo)
@@ -207,16 +216,15 @@ def search_shard(words: list[list[bytes]], phrases: Phrases) -> list[tuple[list[
             many = (hi - lo)[block]
             which = np.repeat(block, many)
             rows = np.repeat(lo[block], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            p = source[index.locate(rows)]
+            p = index.locate(rows)
             np.add.at(cover, p, 1)
             np.add.at(cover, p + n, -1)
-            doc = np.searchsorted(starts, p, "right") - 1
+            doc = np.searchsorted(starts, source[p], "right") - 1
             for pair in np.unique(doc * len(items) + which):
                 found[pair // len(items)].update(items[pair % len(items)])
-    hit = (np.cumsum(cover)[:-1] > 0).astype(np.int8)
-    hit[starts[1:] - 1] = 0
-    edge = np.diff(hit, prepend=0, append=0)
-    for s, e in zip(np.flatnonzero(edge > 0), np.flatnonzero(edge < 0)):
+    hit = (np.cumsum(cover)[:-1] > 0).view(np.int8)       # never a closing zero, so spans stay in their string
+    edge = np.diff(hit, prepend=np.int8(0), append=np.int8(0))
+    for s, e in zip(source[np.flatnonzero(edge > 0)], source[np.flatnonzero(edge < 0) - 1] + 1):
         d = int(np.searchsorted(starts, s, "right")) - 1
         empty[d][1].append((int(s - starts[d]), int(e - starts[d])))
     return [(sorted(f), spans) for f, (_, spans) in zip(found, empty)]
@@ -290,26 +298,26 @@ def _searcher(items, window: int, shard_words: int, keyed: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
         phrases = Phrases(items.value, window)
-        ids, words, keys, size = [], [], [], 0
+        ids, docs, keys, size = [], [], [], 0
 
         def result():
             rows = [{"doc_id": d, "n_words": len(w), "items": i,
                      "spans": [{"start": s, "end": e} for s, e in spans], "row_key": k}
-                    for d, w, k, (i, spans) in zip(ids, words, keys, search_shard(words, phrases))]
+                    for d, w, k, (i, spans) in zip(ids, docs, keys, search_numbers(docs, phrases))]
             return pa.RecordBatch.from_pylist(rows, schema)
         for batch in batches:
             for d, text in zip(batch.column(0), batch.column(1)):
                 text = text.as_py()
                 ids.append(d.as_py())
-                words.append(words_of(text))
+                docs.append(phrases.numbers(words_of(text)))
                 keys.append(xxhash.xxh64_intdigest(text or "") - (1 << 63) if keyed else 0)
-                size += len(words[-1]) + 1
+                size += len(docs[-1]) + 1
                 if size >= shard_words:
                     yield result()
-                    ids, words, keys, size = [], [], [], 0
+                    ids, docs, keys, size = [], [], [], 0
         if ids:
             yield result()
-    return run
+    return releasing(run)
 
 
 def digests(found: DataFrame) -> DataFrame:

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import releasing
+
 SPACE = "▁"
 
 
@@ -215,17 +217,26 @@ class PieceEncoder:
 
 class _Words(dict):
     """word -> ids as bytes; emptied when it holds ``memory`` words. Words over 64
-    characters are not kept."""
+    characters are not kept, others from their second time on: most words of a large
+    collection come once (a mark is shared by words of one hash, which only keeps more)."""
+
+    MARKS = 1 << 21
 
     def __init__(self, encoder: PieceEncoder):
         self.encoder = encoder
+        self.marks = bytearray(self.MARKS)
 
     def __missing__(self, word: str) -> bytes:
         got = self.encoder.word_ids(word)
         if len(self) >= self.encoder.memory:
             self.clear()
+            self.marks = bytearray(self.MARKS)
         if len(word) <= 64:
-            self[word] = got
+            at = hash(word) % self.MARKS
+            if self.marks[at]:
+                self[word] = got
+            else:
+                self.marks[at] = 1
         return got
 
 
@@ -258,14 +269,14 @@ def encode_and_decode(docs: DataFrame, model_file: str) -> DataFrame:
                 ids.append(got)
                 texts.append(e.model.decode(got.tolist()) if len(got) else "")
                 size += len(got)
-                if size >= 1 << 20:
+                if size >= 1 << 18:
                     yield _batch(doc_ids, ids, texts)
                     ids, texts, doc_ids, size = [], [], [], 0
             if doc_ids:
                 yield _batch(doc_ids, ids, texts)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, piece_ids array<int>, decoded string")
+        releasing(run), "doc_id long, piece_ids array<int>, decoded string")
 
 
 def _batch(doc_ids: list, ids: list[np.ndarray], texts: list[str]) -> pa.RecordBatch:

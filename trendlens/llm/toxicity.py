@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, stored, with_hit
+from .common import chunks, releasing, stored, with_hit
 
 ORDER = 7                        # symbols; a gram is a 56-bit number
 OWN = 4                          # shortest grams counted per class
@@ -95,7 +95,7 @@ def count_grams(rows: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n * y), pa.array(n * (1 - y))],
                                                      names=["gram", "t", "o"])
 
-    return (rows.select("text", F.col("toxic").cast("int")).mapInArrow(run, "gram long, t long, o long")
+    return (rows.select("text", F.col("toxic").cast("int")).mapInArrow(releasing(run), "gram long, t long, o long")
             .groupBy("gram").agg(F.sum("t").alias("t"), F.sum("o").alias("o")))
 
 
@@ -236,7 +236,7 @@ def add_ratios(docs: DataFrame, ratios: list[DataFrame]) -> DataFrame:
                         [batch.column(0)[a:b], batch.column(1)[a:b],
                          pa.array([ratio[i:j].tobytes() for i, j in zip(starts, ends)], pa.binary())],
                         names=["doc_id", "text", "ratios"])
-        return run
+        return releasing(run)
 
     for k, part in enumerate(ratios):
         shared = docs.sparkSession.sparkContext.broadcast(collected(part))
@@ -348,7 +348,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_grams: int = MAX_GRAM
                         x = 1 / (1 + np.exp(-np.clip(curve[0] + x @ curve[1:], -700, 700)))[:, None]
                     yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], *(pa.array(c) for c in x.T.copy())],
                                                      names=["doc_id", *(names if curve is None else ["score"])])
-        return run
+        return releasing(run)
 
     def ready(df: DataFrame) -> DataFrame:
         return df if shared is not None else add_ratios(df, ratios)
