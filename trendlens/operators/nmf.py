@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shuffles_dropped
 from .blocks import GRAM, DocBlocks, pack_docs
 
 EPS = 1e-12
@@ -84,7 +85,7 @@ class TopicFactors:
 
     def __init__(self, doc_terms: DataFrame, terms: DataFrame, n_topics: int, seed: int = 0,
                  max_features: int | None = None, docs: DataFrame | None = None, init: str = "nndsvd",
-                 solver: str = "hals"):
+                 solver: str = "hals", packed: tuple[DataFrame, np.ndarray] | None = None):
         self.spark, self.k, self.seed, self.init, self.solver = doc_terms.sparkSession, n_topics, seed, init, SOLVERS[solver]
         self.terms = terms.select("term", "term_id")
         start = None
@@ -93,11 +94,16 @@ class TopicFactors:
             start = hashed_start(own.distinct(), "article_id", "w", n_topics, seed)
         elif init != "nndsvd":
             raise ValueError(f"unknown start {init!r}")
-        self.packed = pack_docs(doc_terms, terms, docs, max_features, start)
         size = self.terms.agg(F.max("term_id").alias("last")).first()["last"]
-        self.x = DocBlocks(self.packed, 0 if size is None else size + 1)
-        self.xx = float(doc_terms.join(F.broadcast(self.terms) if max_features else self.terms, "term").agg(
-            F.sum(F.col("tfidf") * F.col("tfidf"))).first()[0] or 0.0)
+        if packed is not None and start is None:
+            self.packed, idf = packed
+            squares = self.packed.agg(F.sum("squares"))
+        else:
+            self.packed, idf = pack_docs(doc_terms, terms, docs, max_features, start), None
+            squares = doc_terms.join(F.broadcast(self.terms) if max_features else self.terms, "term").agg(
+                F.sum(F.col("tfidf") * F.col("tfidf")))
+        self.x = DocBlocks(self.packed, 0 if size is None else size + 1, idf=idf)
+        self.xx = float(squares.first()[0] or 0.0)
 
     def svd(self) -> tuple[DataFrame, np.ndarray, np.ndarray]:
         """(state with B = X.Q, R, singular values): B.R has the left vectors, scaled by the
@@ -161,7 +167,10 @@ class TopicFactors:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([c], pa.int32()), pa.array([new.tobytes()], pa.binary()), pa.array([float((new * wtx).sum())])],
                         names=["chunk", "h", "cross"])
-        chunks = self.x.merged(state, False).mapInArrow(run, "chunk int, h binary, cross double").checkpoint(eager=True)
+        schema = "chunk int, h binary, cross double"
+        chunks = self.x.stored(self.x.merged(state, False).mapInArrow(run, schema), "chunks", schema)
+        for _, block in sent:
+            block.destroy()
         new, cross = np.zeros_like(h), 0.0
         for r in chunks.collect():                                   # terms x K numbers, a model parameter
             part = np.frombuffer(r["h"]).reshape(-1, k)
@@ -247,19 +256,22 @@ def _zeros(k: int):
 
 def nmf_fit(doc_terms: DataFrame, terms: DataFrame, n_topics: int = 20, max_iter: int = 200,
             tol: float = 1e-4, seed: int = 0, max_features: int | None = None, docs: DataFrame | None = None,
-            init: str = "nndsvd", solver: str = "hals") -> NMFResult:
+            init: str = "nndsvd", solver: str = "hals", packed: tuple[DataFrame, np.ndarray] | None = None) -> NMFResult:
     """Factorise X (doc_terms) into W (documents x K) and H (K x terms). ``docs``
-    (article_id) gives documents without vocabulary terms their (zero) row of W."""
-    return TopicFactors(doc_terms, terms, n_topics, seed, max_features, docs, init, solver).fit(max_iter, tol)
+    (article_id) gives documents without vocabulary terms their (zero) row of W. ``packed``
+    is X with all documents as ``packed_weights`` gives it: nothing is packed anew then."""
+    with shuffles_dropped(doc_terms.sparkSession):
+        return TopicFactors(doc_terms, terms, n_topics, seed, max_features, docs, init, solver, packed).fit(max_iter, tol)
 
 
 def nmf_step(doc_terms: DataFrame, terms: DataFrame, n_topics: int, seed: int = 0,
              max_features: int | None = None, solver: str = "mu") -> tuple[DataFrame, DataFrame]:
     """One update of W, then of H, from the hashed start: (W1, H1)."""
-    m = TopicFactors(doc_terms, terms, n_topics, seed, max_features, init="hash", solver=solver)
-    state, h = m.start()
-    state, wtw = m.step_w(state, h)
-    _, chunks, _ = m.step_h(state, h, wtw)
-    out = m.x.rows(state), m.terms_of(chunks)
-    m.close()
+    with shuffles_dropped(doc_terms.sparkSession):
+        m = TopicFactors(doc_terms, terms, n_topics, seed, max_features, init="hash", solver=solver)
+        state, h = m.start()
+        state, wtw = m.step_w(state, h)
+        _, chunks, _ = m.step_h(state, h, wtw)
+        out = m.x.rows(state), m.terms_of(chunks)
+        m.close()
     return out

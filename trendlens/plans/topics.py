@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators.filters import filter_relevant
 from ..operators.nmf import NMFResult, nmf_fit
 from ..operators.project import join_relevance
-from ..operators.tfidf import TfidfModel, tfidf_fit
+from ..operators.tfidf import TfidfModel, packed_weights, tfidf_fit
 from ..operators.topic_stats import article_relevance
 from ..operators.topic_terms import topic_top_terms
 
@@ -31,7 +31,7 @@ def initial_topics(articles: DataFrame, predicate: Column | None = None, max_fea
     terms. Without articles all tables are empty."""
     docs = _docs(articles, predicate)
     doc_terms, tf = tfidf_fit(docs, max_features, ngram_range, max_df)
-    res = nmf_fit(doc_terms, tf.vocab, n_topics, max_iter, tol, seed, max_features, docs=docs)
+    res = nmf_fit(doc_terms, tf.vocab, n_topics, max_iter, tol, seed, max_features, docs=docs, packed=packed_weights(docs, tf))
     return res, topic_top_terms(res.topic_terms(), n_top_words), tf
 
 
@@ -73,5 +73,5 @@ def final_topics(articles: DataFrame, relevance: DataFrame, threshold: float | N
     If no article is relevant all tables are empty."""
     docs = relevant_docs(articles, relevance, threshold, quantile, predicate).select("article_id", "clean_text")
     doc_terms, tf = tfidf_fit(docs, max_features, ngram_range, max_df)
-    res = nmf_fit(doc_terms, tf.vocab, n_topics, max_iter, tol, seed, max_features, docs=docs)
+    res = nmf_fit(doc_terms, tf.vocab, n_topics, max_iter, tol, seed, max_features, docs=docs, packed=packed_weights(docs, tf))
     return tf, res, topic_top_terms(res.topic_terms(), n_top_words)
